@@ -19,13 +19,14 @@ def hot_threshold(total: int, least: int = LEAST) -> int:
     return max(least, -(-total // MAX_HOT))
 
 
-def hot_keys(df: DataFrame, key: str, least: int = LEAST) -> list:
+def hot_keys(df: DataFrame, key: str, least: int = LEAST, total: int | None = None) -> list:
     """Values of ``key`` that hold at least ``hot_threshold`` rows; at most 1000. Nulls are never hot.
 
     Fewer rows than ``least`` in all cannot have one, which saves the aggregation.
+    ``total`` is the number of rows, where known.
     """
     df = df.select(key)
-    total = df.count()
+    total = df.count() if total is None else total
     if total < least:
         return []
     n = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
