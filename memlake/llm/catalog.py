@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memlake.llm import components, format_dups
+from memlake.llm import bpe, chunking, components, format_dups, packing
 from memlake.sources.tables import table
 
 
@@ -16,8 +16,28 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return format_dups.format_copies(table(spark, d, "memories"))
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, d, "documents"))
+
+
+def p9_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(table(spark, d, "documents"), CAPACITY)
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_report(p9_packed(spark, d), CAPACITY)
+
+
+def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.split_documents(table(spark, d, "documents"), LIMIT, OVERLAP)
+
+
+#: Production parameters: tokens per container, tokens per piece, tokens that neighbours share.
+CAPACITY, LIMIT, OVERLAP = 2048, 512, 64
+
+
 def queries() -> dict:
-    return {"p3_found": p3_found, "p7_found": p7_found}
+    return {f.__name__: f for f in (p3_found, p7_found, p8_ids, p9_packed, p9_report, p10_pieces)}
 
 
 P3_SQL = r"""
