@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from memlake.llm import bpe, chunking, components, format_dups, packing
+from memlake.llm import bpe, chunking, components, format_dups, near_dups, packing
 from memlake.sources.tables import table
 
 
@@ -12,6 +13,15 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return components.group_forms(table(spark, d, "entity_aliases"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_dups.near_dup_pairs(table(spark, d, "memories"))
+
+
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of class representatives with their similarity."""
+    return near_dups.near_duplicates(table(spark, d, "memories"))[0].withColumn("similarity", F.round("similarity", 9))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return format_dups.format_copies(table(spark, d, "memories"))
 
@@ -37,7 +47,7 @@ CAPACITY, LIMIT, OVERLAP = 2048, 512, 64
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p7_found, p8_ids, p9_packed, p9_report, p10_pieces)}
+    return {f.__name__: f for f in (p3_found, p5_found, p5_classes, p7_found, p8_ids, p9_packed, p9_report, p10_pieces)}
 
 
 P3_SQL = r"""
