@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm import bpe, chunking, components, format_dups, near_dups, packing
+from memlake.llm import bpe, chunking, components, format_dups, near_dups, packing, pii
 from memlake.sources.tables import table
 
 
@@ -22,6 +22,15 @@ def p5_classes(spark: SparkSession, d: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, d, "memories"))[0].withColumn("similarity", F.round("similarity", 9))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find_items(table(spark, d, "memories"), table(spark, d, "name_parts")).select("mem_key", "text_field", "kind", "pii").distinct()
+
+
+def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
+    memories = table(spark, d, "memories")
+    return pii.redact(memories, pii.find_items(memories, table(spark, d, "name_parts")))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return format_dups.format_copies(table(spark, d, "memories"))
 
@@ -47,7 +56,7 @@ CAPACITY, LIMIT, OVERLAP = 2048, 512, 64
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p5_found, p5_classes, p7_found, p8_ids, p9_packed, p9_report, p10_pieces)}
+    return {f.__name__: f for f in (p3_found, p5_found, p5_classes, p6_found, p6_redacted, p7_found, p8_ids, p9_packed, p9_report, p10_pieces)}
 
 
 P3_SQL = r"""

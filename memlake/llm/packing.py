@@ -16,10 +16,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memlake.llm import bpe
+from memlake.operators import skew
 from memlake.sources.tables import Scratch
 
-SALTS = 256
-
 
 def plan_packs(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """[(sizes in a pack, number of such packs)], longest sizes first.
@@ -76,7 +75,7 @@ def _items(sizes: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     return rows.select("k", "part", F.col("start").cast("int").alias("start"), F.least(F.col("n") - F.col("start"), F.lit(capacity)).cast("int").alias("size"))
 
 
-def pack(spark: SparkSession, sizes: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_tokens") -> DataFrame:
+def pack(spark: SparkSession, sizes: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_tokens", least_hot: int = skew.LEAST) -> DataFrame:
     """key, part, start, size, container, slot: every item in a container of ``capacity``.
 
     Only an item larger than the capacity is divided: ``part`` numbers its pieces from 0
@@ -88,9 +87,11 @@ def pack(spark: SparkSession, sizes: DataFrame, capacity: int, key: str = "doc_i
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
     scratch = Scratch(spark, "packing")
-    items = scratch.write(_items(sizes, key, size, capacity).withColumn("salt", F.pmod(F.xxhash64("k", "part"), F.lit(SALTS)).cast("int")))
+    items = scratch.write(_items(sizes, key, size, capacity))
+    hot = skew.hot_keys(items, "size", least_hot)
+    items = items.withColumn("salt", skew.salt("size", F.struct("k", "part"), hot))
     counts = items.where(F.col("size") > 0).groupBy("size", "salt").agg(F.count("*").alias("n"))
-    counted = counts.collect()  # at most capacity * SALTS rows
+    counted = counts.collect()  # at most capacity + 1000 * skew.SALTS rows
     offsets, histogram = [], {}
     for s, salt, n in sorted(counted):
         offsets.append((s, salt, histogram.get(s, 0)))
