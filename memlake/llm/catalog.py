@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm import bpe, chunking, components, format_dups, near_dups, packing, pii
+from memlake.llm import bpe, chunking, components, format_dups, languages, near_dups, packing, pii
 from memlake.sources.tables import table
 
 
+def p2_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Every stretch with its confidence and place."""
+    return languages.memory_languages(table(spark, d, "en"), table(spark, d, "memories")).drop("kept").distinct()
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return languages.language_cases(languages.memory_languages(table(spark, d, "en"), table(spark, d, "memories")))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return components.group_forms(table(spark, d, "entity_aliases"))
 
@@ -56,7 +65,7 @@ CAPACITY, LIMIT, OVERLAP = 2048, 512, 64
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p5_found, p5_classes, p6_found, p6_redacted, p7_found, p8_ids, p9_packed, p9_report, p10_pieces)}
+    return {f.__name__: f for f in (p2_found, p2_labels, p3_found, p5_found, p5_classes, p6_found, p6_redacted, p7_found, p8_ids, p9_packed, p9_report, p10_pieces)}
 
 
 P3_SQL = r"""
