@@ -1,21 +1,24 @@
 """Near-duplicate texts by prefix filtering on character n-grams (problem 5).
 
-A text is the set of its n-grams, ordered rarest first. Two sets of Jaccard
-similarity t or more share an n-gram among their first n - ceil(t n) + 1 ones, so
-only prefixes are joined. Filters on the way, none of which loses a pair:
+A text is the set of its n-grams, ordered rarest first. Two sets x, y of Jaccard
+similarity t or more share at least a = t/(1+t) (|x|+|y|) n-grams, so the first
+|x| - a + L of one and the first |y| - a + L of the other share L of them (prefix
+filter; L more than one leaves few false pairs). Filters on the way, none of which
+loses a pair:
 
 - length: t |y| <= |x|;
-- index prefix: the shorter set shows a shared n-gram within n - ceil(2t/(1+t) n) + 1;
-- position: what can still follow the shared n-gram must reach the overlap needed;
+- position: shared n-grams count only within the prefixes that the pair's sizes allow;
+- count: min(L, a) of them must be shared;
 - suffix: n-grams counted in slices of the hash space bound the overlap before it is computed.
 
 Each surviving pair is verified once on the exact n-grams of the whole texts.
 
 Equal texts form one class before anything else; classes are joined, and members
-come back at the end. Frequencies are counted over all classes in a fixed number of
-hash cells (any common order is correct, a true one keeps posting lists short).
-Prefix entries travel packed, 7 bytes an n-gram, by n-gram bucket; posting lists are
-walked in blocks of bounded size.
+come back at the end. Only texts of one namespace and field meet. A group of at most
+``LOCAL_CHARS`` characters is joined within one task. Of larger groups the prefix
+n-grams are spread over buckets, packed, 7 bytes each, ordered by counts over all
+their texts, and the shared n-grams of a pair are added up over the buckets.
+Posting lists are walked in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -34,8 +37,12 @@ GRAM = 4
 CELLS = 1 << 18
 SEGMENTS = 16
 BATCH = 4096
-#: Prefix entries that one bucket should hold, and candidate pairs made at a time.
+#: Prefix entries that one bucket should hold, and matches made at a time.
 BUCKET, BLOCK = 1_500_000, 1_000_000
+#: n-grams that the prefixes of a pair must share.
+SHARED = 12
+#: Characters of a group that is joined within one task.
+LOCAL_CHARS = 12_000_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _EPS = 1e-9
 
@@ -123,7 +130,7 @@ def _prefix_entries(texts: DataFrame, n: int, t: float, buckets: int, freq) -> D
                 size = np.bincount(owner, minlength=len(some))
                 start = np.concatenate([[0], np.cumsum(size)[:-1]])
                 pos = np.arange(len(key)) - start[owner]
-                held = pos < (size - np.ceil(t * size - _EPS).astype(np.int64) + 1)[owner]
+                held = pos < _prefix(size, t)[owner]
                 owner, pos = owner[held], pos[held]
                 token = ((key[held] & np.uint64((1 << 36) - 1)) ^ group[owner]) * _M3
                 token ^= token >> np.uint64(31)
@@ -162,94 +169,201 @@ def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
     return tuple(map(np.concatenate, (ids, sizes, tokens, places)))
 
 
-def _bucket_pairs(blobs: list[bytes], t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs (a < b) of one bucket, distinct within blocks."""
-    ids, size, token, pos = _unpack(blobs)
+def _merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    code, n = np.concatenate(codes), np.concatenate(counts)
+    order = np.argsort(code, kind="stable")
+    code, n = code[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    return code[first], np.add.reduceat(n, first)
+
+
+def _needed(x: np.ndarray, y: np.ndarray, t: float) -> np.ndarray:
+    """Overlap of two sets of these sizes at similarity t."""
+    return np.ceil(t / (1 + t) * (x + y) - _EPS).astype(np.int64)
+
+
+def _matches(owner: np.ndarray, size: np.ndarray, token: np.ndarray, pos: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """(owner << 32 | owner, shared n-grams) of the pairs that share n-grams within their prefixes; the smaller set first."""
+    none = np.empty(0, np.int64)
     order = np.argsort(token, kind="stable")
     token = token[order]
     same = token[1:] == token[:-1]
     again = np.concatenate([[False], same]) | np.concatenate([same, [False]])
     order, token = order[again], token[again]
     if not len(token):
-        return
-    ids, size, pos = ids[order], size[order].astype(np.int64), pos[order].astype(np.int64)
-    order = np.lexsort((size, token))
-    ids, size, token, pos = ids[order], size[order], token[order], pos[order]
+        return none, none
+    owner, size, pos = owner[order], size[order], pos[order]
     number = np.cumsum(np.concatenate([[0], token[1:] != token[:-1]]))
+    span = int(size.max()) + 2
+    order = np.argsort(number * span + size, kind="stable")
+    owner, size, pos, number = owner[order], size[order], pos[order], number[order]
     # partners of i: those after it in its posting list whose size is at most size / t
-    span = int(size.max() / t) + 2
-    key = number * span + size
-    last = np.searchsorted(key, number * span + np.minimum(np.floor(size / t + _EPS).astype(np.int64), span - 1), side="right")
-    index = size - np.ceil(2 * t / (1 + t) * size - _EPS).astype(np.int64) + 1
-    count = np.where(pos < np.minimum(index, 255) + (index > 255), last - np.arange(len(ids)) - 1, 0)
-    at = 0
+    last = np.searchsorted(number * span + size, number * span + np.minimum(np.floor(size / t + _EPS).astype(np.int64), span - 1), side="right")
+    count = last - np.arange(len(owner)) - 1
+    codes, counts, held = [], [], 0
     ends = np.cumsum(count)
-    while at < len(ids):
+    at = 0
+    while at < len(owner):
         done = ends[at - 1] if at else 0
         upto = max(at + 1, int(np.searchsorted(ends, done + BLOCK, side="right")))
         # one list longer than a block is itself walked in blocks
         for first in range(0, max(1, int(count[at:upto].max(initial=0))), BLOCK):
             part = np.minimum(np.maximum(count[at:upto] - first, 0), BLOCK)
             i = np.repeat(np.arange(at, upto), part)
-            if len(i):
-                j = i + 1 + first + np.arange(len(i)) - np.repeat(np.cumsum(part) - part, part)
-                need = np.ceil(t / (1 + t) * (size[i] + size[j]) - _EPS)
-                ok = (1 + np.minimum(size[i] - pos[i], size[j] - pos[j]) - 1 >= need) & (ids[i] != ids[j])
-                a, b = ids[i[ok]], ids[j[ok]]
-                pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.empty((0, 2), np.uint64)
-                yield pair[:, 0].view(np.int64) if not len(pair) else np.ascontiguousarray(pair[:, 0]).view(np.int64), np.ascontiguousarray(pair[:, 1]).view(np.int64)
+            if not len(i):
+                continue
+            j = i + 1 + first + np.arange(len(i)) - np.repeat(np.cumsum(part) - part, part)
+            spare = SHARED - _needed(size[i], size[j], t)
+            ok = (pos[i] < np.minimum(size[i] + spare, 255)) | (pos[i] == 255) & (size[i] + spare > 255)
+            ok &= (pos[j] < np.minimum(size[j] + spare, 255)) | (pos[j] == 255) & (size[j] + spare > 255)
+            ok &= owner[i] != owner[j]
+            if ok.any():
+                code = np.sort(owner[i[ok]] << 32 | owner[j[ok]])
+                first_of = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+                codes.append(code[first_of])
+                counts.append(np.diff(np.append(first_of, len(code))))
+                held += len(first_of)
+                if held > 4 * BLOCK:
+                    code, n = _merged(codes, counts)
+                    codes, counts, held = [code], [n], 0
         at = upto
+    return _merged(codes, counts) if codes else (none, none)
+
+
+def _prefix(size: np.ndarray, t: float) -> np.ndarray:
+    return np.minimum(size, size - np.ceil(t * size - _EPS).astype(np.int64) + SHARED)
+
+
+def _group_pairs(texts: list[str], n: int, t: float) -> tuple[list[int], list[int], list[float]]:
+    """(i, j, similarity) of the texts of one group that reach the threshold and still differ without blanks."""
+    freq = np.zeros(CELLS, np.int64)
+    for at in range(0, len(texts), BATCH):
+        owner, h = _gram_hashes(texts[at : at + BATCH], n)
+        freq += np.bincount((h & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+    owners, tokens, places, sizes, parts = [], [], [], [], []
+    for at in range(0, len(texts), BATCH):
+        some = texts[at : at + BATCH]
+        owner, key = _ordered_sets(some, n, freq)
+        size = np.bincount(owner, minlength=len(some))
+        parts.append(np.bincount(owner * SLICES + (key & np.uint64(SLICES - 1)).astype(np.int64), minlength=len(some) * SLICES).reshape(-1, SLICES).astype(np.uint16))
+        pos = np.arange(len(key)) - (np.cumsum(size) - size)[owner]
+        held = pos < _prefix(size, t)[owner]
+        owners.append(owner[held] + at)
+        tokens.append(key[held] & np.uint64((1 << 36) - 1))
+        places.append(np.minimum(pos[held], 255))
+        sizes.append(size)
+    owner, size, part = np.concatenate(owners), np.concatenate(sizes), np.concatenate(parts)
+    code, count = _matches(owner, size[owner], np.concatenate(tokens), np.concatenate(places), t)
+    i, j = code >> 32, code & 0xFFFFFFFF
+    need = _needed(size[i], size[j], t)
+    # two of the hashed n-grams may coincide, hence one less
+    ok = count >= np.minimum(SHARED, need) - 1
+    i, j, need = i[ok], j[ok], need[ok]
+    bound = np.concatenate([np.minimum(part[i[k : k + 100_000]], part[j[k : k + 100_000]]).sum(1, dtype=np.int64) for k in range(0, len(i), 100_000)] or [need])
+    ok = bound >= need - 2
+    return _verified(texts, i[ok].tolist(), j[ok].tolist(), n, t)
+
+
+def _verified(texts: list[str], left: list[int], right: list[int], n: int, t: float) -> tuple[list[int], list[int], list[float]]:
+    out: tuple[list, list, list] = ([], [], [])
+    sets: dict[int, frozenset[str]] = {}
+    for i, j in zip(left, right):
+        for k in (i, j):
+            if k not in sets:
+                if len(sets) > 4000:
+                    sets.clear()
+                for m in {i, j} - sets.keys():
+                    s = texts[m]
+                    sets[m] = frozenset([s[q : q + n] for q in range(len(s) - n + 1)])
+        p, q = sets[i], sets[j]
+        common = len(p & q)
+        union = len(p) + len(q) - common
+        if union and common >= t * union - _EPS and texts[i].replace(" ", "") != texts[j].replace(" ", ""):
+            for column, x in zip(out, (i, j, common / union)):
+                column.append(x)
+    return out
+
+
+SLICES = 32
+_PAIR = "text_field string, rep_a string, rep_b string, similarity double"
+
+
+def _local(texts: DataFrame, n: int, t: float) -> DataFrame:
+    """Pairs of groups that fit into a task."""
+
+    def run(group: pa.Table) -> pa.Table:
+        reps, norms, fields = (group.column(c).to_pylist() for c in ("rep", "norm", "text_field"))
+        i, j, sim = _group_pairs(norms, n, t) if len(norms) > 1 else ([], [], [])
+        names = ["text_field", "rep_a", "rep_b", "similarity"]
+        return pa.Table.from_arrays([pa.array([fields[k] for k in i], pa.string()), pa.array([reps[k] for k in i], pa.string()), pa.array([reps[k] for k in j], pa.string()), pa.array(sim, pa.float64())], names)
+
+    return texts.select("grp", "text_field", "rep", "norm").groupBy("grp").applyInArrow(run, _PAIR)
 
 
 def _candidates(entries: DataFrame, t: float, buckets: int) -> DataFrame:
+    """(a, b): ids of the texts that share enough n-grams within their prefixes, added up over the buckets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
         for batch in batches:
             for b, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held.setdefault(b, []).append(raw)
         for b in list(held):
-            for x, y in _bucket_pairs(held.pop(b), t):
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
-
-    return entries.repartitionById(buckets, F.col("bucket")).mapInArrow(run, "a long, b long").distinct()
-
-
-SLICES = 32
+            ids, size, token, pos = _unpack(held.pop(b))
+            who, owner = np.unique(ids, return_inverse=True)
+            code, count = _matches(owner.astype(np.int64), size.astype(np.int64), token, pos.astype(np.int64), t)
+            size_of = np.zeros(len(who), np.int64)
+            size_of[owner] = size
+            i, j = code >> 32, code & 0xFFFFFFFF
+            need = np.minimum(SHARED, _needed(size_of[i], size_of[j], t)) - 1
+            a, b_ = who[i].view(np.int64), who[j].view(np.int64)
+            for k in range(0, len(code), 100_000):
+                x, y = a[k : k + 100_000], b_[k : k + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(count[k : k + 100_000].astype(np.int32)), pa.array(need[k : k + 100_000].astype(np.int32))], ["a", "b", "c", "need"])
+
+    rows = entries.repartitionById(buckets, F.col("bucket")).mapInArrow(run, "a long, b long, c int, need int")
+    return rows.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need")).where("c >= need").select("a", "b")
 
 
 def _verify(pairs: DataFrame, n: int, t: float) -> DataFrame:
-    """(rep_a, rep_b, similarity) of the pairs (rep_a, norm_a, rep_b, norm_b) that reach the threshold on exact n-grams and still differ without blanks."""
+    """Verified pairs of (text_field, rep_a, norm_a, rep_b, norm_b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 1024):
-                rep_a, norm_a, rep_b, norm_b = (c.to_pylist() for c in batch.slice(at, 1024).columns)
+                field, rep_a, norm_a, rep_b, norm_b = (c.to_pylist() for c in batch.slice(at, 1024).columns)
                 number: dict[str, int] = {}
                 left = [number.setdefault(x, len(number)) for x in norm_a]
                 right = [number.setdefault(x, len(number)) for x in norm_b]
                 texts = list(number)
                 owner, key = _ordered_sets(texts, n, None)
                 size = np.bincount(owner, minlength=len(texts))
-                part = np.bincount(owner * SLICES + (key >> np.uint64(31)).astype(np.int64) % SLICES, minlength=len(texts) * SLICES).reshape(-1, SLICES)
+                part = np.bincount(owner * SLICES + (key & np.uint64(SLICES - 1)).astype(np.int64), minlength=len(texts) * SLICES).reshape(-1, SLICES)
                 x, y = np.array(left), np.array(right)
-                need = np.ceil(t / (1 + t) * (size[x] + size[y]) - _EPS)
-                hopeful = np.minimum(part[x], part[y]).sum(1) >= need - 2
-                keep, sim = [], []
-                sets: dict[int, frozenset[str]] = {}
-                for k in np.flatnonzero(hopeful).tolist():
-                    for i in (left[k], right[k]):
-                        if i not in sets:
-                            s = texts[i]
-                            sets[i] = frozenset([s[q : q + n] for q in range(len(s) - n + 1)])
-                    p, q = sets[left[k]], sets[right[k]]
-                    common = len(p & q)
-                    union = len(p) + len(q) - common
-                    if union and common >= t * union - _EPS and norm_a[k].replace(" ", "") != norm_b[k].replace(" ", ""):
-                        keep.append(k)
-                        sim.append(common / union)
-                yield pa.RecordBatch.from_arrays([pa.array([rep_a[k] for k in keep], pa.string()), pa.array([rep_b[k] for k in keep], pa.string()), pa.array(sim, pa.float64())], ["rep_a", "rep_b", "similarity"])
-
-    return pairs.select("rep_a", "norm_a", "rep_b", "norm_b").mapInArrow(run, "rep_a string, rep_b string, similarity double")
+                hopeful = np.flatnonzero(np.minimum(part[x], part[y]).sum(1) >= _needed(size[x], size[y], t) - 2).tolist()
+                rows = [(field[k], rep_a[k], rep_b[k], s[0]) for k in hopeful if (s := _verified(texts, [left[k]], [right[k]], n, t)[2])]
+                kinds = (pa.string(), pa.string(), pa.string(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds[c]) for c in range(4)], ["text_field", "rep_a", "rep_b", "similarity"])
+
+    return pairs.select("text_field", "rep_a", "norm_a", "rep_b", "norm_b").mapInArrow(run, _PAIR)
+
+
+def _spread(texts: DataFrame, n: int, t: float, scratch: Scratch) -> DataFrame:
+    """Pairs of groups that are too large for a task."""
+    spark = texts.sparkSession
+    freq = _frequencies(texts, n)
+    entries = int(freq.sum() * (1 - t)) + 1
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // BUCKET))
+    packed = _prefix_entries(texts, n, t, buckets, spark.sparkContext.broadcast(np.minimum(freq, 65535).astype(np.uint16)))
+    pairs = scratch.write(_candidates(packed, t, buckets))
+    side = lambda s: texts.select(F.col("id").alias(s), F.col("text_field").alias(f"f_{s}"), F.col("rep").alias(f"rep_{s}"), F.col("norm").alias(f"norm_{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where("f_a = f_b").withColumnRenamed("f_a", "text_field")
+    return _verify(both, n, t)
+
+
+def _outside(texts: DataFrame, large: DataFrame, n_large: int, how: str) -> DataFrame:
+    """Texts whose group is (``left_semi``) or is not (``left_anti``) large; the list is sent to all tasks only while it is short."""
+    return texts.join(F.broadcast(large) if n_large <= 100_000 else large, "grp", how)
 
 
 def near_duplicates(
@@ -260,6 +374,7 @@ def near_duplicates(
     threshold: float = 0.7,
     gram: int = GRAM,
     least_hot: int = skew.LEAST,
+    local_chars: int = LOCAL_CHARS,
 ) -> tuple[DataFrame, DataFrame]:
     """(pairs of classes, members).
 
@@ -284,16 +399,11 @@ def near_duplicates(
     texts = best.select("cls", F.col("r.mem_key").alias("rep"), "r.text_field", "r.norm", F.xxhash64(F.col("r.text_field"), F.coalesce(F.concat(F.lit("n"), "r.ns"), F.lit("-"))).alias("grp"))
     texts = scratch.write(texts.withColumn("id", F.xxhash64("rep", "text_field")))
 
-    freq = _frequencies(texts, gram)
-    entries = int(freq.sum() * (1 - threshold)) + 1
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // BUCKET))
-    packed = _prefix_entries(texts, gram, threshold, buckets, spark.sparkContext.broadcast(np.minimum(freq, 65535).astype(np.uint16)))
-    pairs = scratch.write(_candidates(packed, threshold, buckets))
-
-    side = lambda s: texts.select(F.col("id").alias(s), F.concat_ws("\x00", "text_field", "rep").alias(f"rep_{s}"), F.col("norm").alias(f"norm_{s}"))
-    verified = _verify(pairs.join(side("a"), "a").join(side("b"), "b"), gram, threshold)
-    split = lambda c, i: F.split(c, "\x00")[i]
-    verified = verified.select(split("rep_a", 0).alias("text_field"), split("rep_a", 1).alias("rep_a"), split("rep_b", 1).alias("rep_b"), "similarity", split("rep_b", 0).alias("f")).where("f = text_field").drop("f")
+    large = texts.groupBy("grp").agg(F.sum(F.length("norm")).alias("n")).where(F.col("n") > local_chars).select("grp")
+    n_large = large.count()
+    verified = _local(texts if not n_large else _outside(texts, large, n_large, "left_anti"), gram, threshold)
+    if n_large:
+        verified = verified.unionByName(_spread(_outside(texts, large, n_large, "left_semi"), gram, threshold, scratch))
     members = rows.select("cls", "mem_key").distinct()
     hot = skew.hot_keys(rows, "cls", least_hot)
     members = skew.salted_join(members, texts.select("cls", "rep", "text_field"), "cls", F.col("mem_key"), hot)
