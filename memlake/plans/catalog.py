@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from memlake.plans import problems
+from memlake.plans import problems, records
 
-MODULES = [problems]
+MODULES = [problems, records]
 
 
 def queries() -> dict:
