@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from memlake.functions.text import BLANK
+
 CJK = r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{3040}-\x{30ff}]"
 CJK_HANGUL = r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}]"
 
@@ -154,7 +156,7 @@ def content_hash(*parts: Column | str) -> Column:
 
 
 def normal_hash(c: Column | str, first: int | None = None) -> Column:
-    t = F.trim(F.regexp_replace(F.lower(_c(c)), r"\s+", " "))
+    t = F.trim(F.regexp_replace(F.lower(_c(c)), BLANK + "+", " "))
     return F.substring(F.sha2(F.substring(t, 1, first) if first else t, 256), 1, 16)
 
 

@@ -79,7 +79,7 @@ def inject(matched: DataFrame, budget: int) -> DataFrame:
 
 def mine_keywords(df: DataFrame, key: str = "storage_key", least: int = 3) -> DataFrame:
     """(namespace, keyword, n): keywords found in at least ``least`` distinct records of a namespace."""
-    each = df.select(key, "namespace", F.explode(L.keywords("content")).alias("keyword"))
+    each = df.select(key, "namespace", F.explode(L.keywords("content", most=2**31 - 1)).alias("keyword"))
     return each.groupBy("namespace", "keyword").agg(F.countDistinct(key).alias("n")).where(F.col("n") >= least)
 
 

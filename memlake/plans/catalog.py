@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from memlake.plans import problems, records
+from memlake.plans import extras, graph, problems, records
 
-MODULES = [problems, records]
+MODULES = [problems, records, graph, extras]
 
 
 def queries() -> dict:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions import language as L
 from memlake.functions import scoring as S
+from memlake.functions.text import BLANK
 from memlake.operators import analytics as A
 from memlake.operators import classify as C
 from memlake.operators import recall as R
@@ -133,7 +134,7 @@ def m18(spark, d):
     return records(spark, d).select("storage_key", S.may_count_access("last_accessed_at", now()).alias("may_count"))
 
 
-@query("m19_m20_hashes", f"select storage_key, substr(sha256(type || ':' || content), 1, 16) h1, substr(sha256(trim(regexp_replace(lower(content), '[\\s\\v]+', ' ', 'g'))), 1, 16) h2 from {REC}")
+@query("m19_m20_hashes", f"select storage_key, substr(sha256(type || ':' || content), 1, 16) h1, substr(sha256(trim(regexp_replace(lower(content), '{BLANK}+', ' ', 'g'))), 1, 16) h2 from {REC}")
 def m19(spark, d):
     return records(spark, d).select("storage_key", L.content_hash("type", "content").alias("h1"), L.normal_hash("content").alias("h2"))
 
@@ -377,7 +378,7 @@ def j12(spark, d):
 
 
 @query("j13_w3_adjacent", f"""select older_key, newer_key from (select lag(storage_key) over (partition by namespace, type, h order by created_at, storage_key) older_key, storage_key newer_key from
- (select *, substr(sha256(substr(trim(regexp_replace(lower(content), '[\\s\\v]+', ' ', 'g')), 1, 100)), 1, 16) h from {REC})) where older_key is not null""")
+ (select *, substr(sha256(substr(trim(regexp_replace(lower(content), '{BLANK}+', ' ', 'g')), 1, 100)), 1, 16) h from {REC})) where older_key is not null""")
 def j13(spark, d):
     return A.adjacent_updates(records(spark, d))
 
@@ -407,7 +408,7 @@ def d14(spark, d):
     return A.merge_sources(records(spark, d), "latest_wins")
 
 
-@query("d16_repeat_upgrade", f"select namespace, h, count(*) n, case when count(*) >= 3 then 'hard' when count(*) >= 2 then 'soft' else 'none' end as level from (select namespace, substr(sha256(trim(regexp_replace(lower(content), '[\\s\\v]+', ' ', 'g'))), 1, 16) h from {REC} where type = 'correction') group by 1, 2")
+@query("d16_repeat_upgrade", f"select namespace, h, count(*) n, case when count(*) >= 3 then 'hard' when count(*) >= 2 then 'soft' else 'none' end as level from (select namespace, substr(sha256(trim(regexp_replace(lower(content), '{BLANK}+', ' ', 'g'))), 1, 16) h from {REC} where type = 'correction') group by 1, 2")
 def d16(spark, d):
     g = records(spark, d).where("type = 'correction'").groupBy("namespace", L.normal_hash("content").alias("h")).agg(F.count("*").alias("n"))
     return g.withColumn("level", F.when(F.col("n") >= 3, "hard").when(F.col("n") >= 2, "soft").otherwise("none"))
@@ -503,7 +504,7 @@ def c4(spark, d):
     return e.select("id", F.transform(C.labels("message"), lambda x: x["type"]).alias("labels"))
 
 
-@query("c12_q26_repeats", "select id, row_number() over (partition by sha256(message) order by id) nth from (select distinct on (id) * from en) where message is not null")
+@query("c12_q26_repeats", "select id, (row_number() over (partition by sha256(message) order by id))::int nth from (select distinct on (id) * from en) where message is not null")
 def c12(spark, d):
     e = table(spark, d, "en").dropDuplicates(["id"]).where("message is not null").withColumn("all", F.lit(1))
     return C.repeats(e, "message", "all", "id").select("id", "nth")
