@@ -34,9 +34,9 @@ NONE = "und"
 SAMPLE = 5_000
 DIM = 1 << 15
 #: Groups that the training sentences are divided into before labels are looked at, and centroids per language.
-GROUPS, CLUSTERS = 120, 12
-#: A group is divided until one label has this share of it, or it is too small to tell.
-PURE, SMALL = 0.72, 6
+GROUPS, CLUSTERS = 200, 16
+#: A group is divided until one label has the first share of it or it is small; a group without the second share teaches nothing.
+PURE, CLEAR, SMALL = 0.75, 0.6, 8
 #: What a change of language costs, in relative cosine times the root of the number of words.
 SWITCH = 0.6
 #: Share of the usual training similarity below which a sentence is rejected.
@@ -244,20 +244,20 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     df = np.bincount(idx, minlength=DIM)
     idf = np.where(df > 0, np.log((n + 1) / (df + 1)) + 0.1, 0)
     w = _normed(owner, tf * idf[idx], n)
-    group, _ = _cluster(owner, idx, w, n, min(GROUPS, max(len(LANGUAGES), n // 8)), 4, rng)
+    group, _ = _cluster(owner, idx, w, n, min(GROUPS, max(len(LANGUAGES), n // 7)), 4, rng)
     label = np.full(n, -1)
     todo = [np.flatnonzero(group == g) for g in range(group.max() + 1)]
     while todo:
         mine = todo.pop()
         votes = np.bincount(y[mine], minlength=len(LANGUAGES))
         parts = []
-        if len(mine) > SMALL and votes.max() < PURE * len(mine):
+        if len(mine) >= SMALL and votes.max() < PURE * len(mine):
             sub, _ = _cluster(*_part(owner, idx, w, mine, n), len(mine), 3, 5, rng)
             parts = [mine[sub == k] for k in range(3) if (sub == k).any()]
         if len(parts) > 1:
             todo += parts
         else:
-            label[mine] = votes.argmax()
+            label[mine] = votes.argmax() if votes.max() >= CLEAR * len(mine) else -1
     all_c, all_l, usual = [], [], np.zeros(len(LANGUAGES))
     for k in range(len(LANGUAGES)):
         mine = np.flatnonzero(label == k)

@@ -24,7 +24,8 @@ def plan_packs(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int
     """[(sizes in a pack, number of such packs)], longest sizes first.
 
     ``histogram`` counts items by size, 1 <= size <= capacity. For each size, from the
-    longest, items go into the open packs with the most room; those without room open new ones.
+    longest, items go into the open packs with the most room; those that find none open
+    new packs, which take as many of the size as they can hold.
     """
     packs: dict[tuple[int, ...], int] = {}
     room: list[tuple[int, tuple[int, ...]]] = []  # the most room first
@@ -34,19 +35,22 @@ def plan_packs(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int
             if room and -room[0][0] >= size:
                 free, pattern = heapq.heappop(room)
                 free, n = -free, packs.pop(pattern)
-                take = min(n, left)
+                each = min(free // size, max(1, left // n))
+                take = min(n, left // each)
                 if take < n:
                     packs[pattern] = n - take
                     heapq.heappush(room, (-free, pattern))
-                more = pattern + (size,)
             else:
-                take, free, more = left, capacity, (size,)
+                free, pattern = capacity, ()
+                each = min(free // size, left)
+                take = left // each
+            more = pattern + (size,) * each
             if more in packs:
                 packs[more] += take
             else:
                 packs[more] = take
-                heapq.heappush(room, (-(free - size), more))
-            left -= take
+                heapq.heappush(room, (-(free - size * each), more))
+            left -= take * each
     return sorted(packs.items(), key=lambda x: (tuple(-s for s in x[0]), x[1]))
 
 
