@@ -246,7 +246,15 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     w = _normed(owner, tf * idf[idx], n)
     group, _ = _cluster(owner, idx, w, n, min(GROUPS, max(len(LANGUAGES), n // 7)), 4, rng)
     label = np.full(n, -1)
-    todo = [np.flatnonzero(group == g) for g in range(group.max() + 1)]
+    # sentences that occur again and again vote among themselves
+    same: dict[tuple[str, ...], list[int]] = {}
+    for i, ws in enumerate(x):
+        same.setdefault(tuple(ws), []).append(i)
+    for mine in same.values():
+        if len(mine) >= 4:
+            label[mine] = np.bincount(y[mine], minlength=len(LANGUAGES)).argmax()
+    todo = [np.flatnonzero((group == g) & (label < 0)) for g in range(group.max() + 1)]
+    todo = [mine for mine in todo if len(mine)]
     while todo:
         mine = todo.pop()
         votes = np.bincount(y[mine], minlength=len(LANGUAGES))
