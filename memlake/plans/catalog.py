@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from memlake.plans import extras, graph, problems, records
+from memlake.plans import extras, graph, more, problems, records
 
-MODULES = [problems, records, graph, extras]
+MODULES = [problems, records, graph, extras, more]
 
 
 def queries() -> dict:
