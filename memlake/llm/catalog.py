@@ -81,5 +81,35 @@ select n as namespace, form, seen grp from r
 """
 
 
+P5_SQL = r"""
+with m as (select distinct storage_key k, namespace ns, content, raw_text from memories where storage_key is not null),
+t as (select k, ns, 'content' f, content x from m union all select k, ns, 'raw_text', raw_text from m),
+n as (select k, ns, f, trim(regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g')) s from t where x is not null),
+g as (select k, ns, f, replace(s, ' ', '') tight, list_distinct(list_transform(range(1, length(s) - 2), lambda i: substr(s, i, 4))) g from n where length(s) >= 4)
+select a.f text_field, a.k key_a, b.k key_b from g a join g b on a.f = b.f and a.ns is not distinct from b.ns and a.k < b.k and a.tight <> b.tight
+ and least(len(a.g), len(b.g)) >= 0.7 * greatest(len(a.g), len(b.g))
+where len(list_intersect(a.g, b.g)) >= 0.7 * (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))
+"""
+
+
+def _p7_sql() -> str:
+    ld = lambda x: f"regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+    name = r"[\p{L}_][\p{L}\p{N}_.-]*"
+    op = "(?:=>|->|[:=])"
+    head = rf"^\s*[-*+•]?\s*[\"'']?({name})[\"'']?\s*{op}([\s\S]*)$"
+    cases = ""
+    for sep, no in ((r"\n+", r"\n"), (r"\|", r"|\n"), (";", r";\n"), (",", r",\n"), ("&", r"&\s"), (r"\s+", r"\s")):
+        field = rf"\s*[-*+•]?\s*[\"'']?{name}[\"'']?\s*{op}\s*[^{no}]*"
+        pair = f"list_transform(list_filter(regexp_split_to_array(t, '{sep}'), lambda x: length(trim(x)) > 0), lambda x: {ld(f'regexp_extract(x, {chr(39)}{head}{chr(39)}, 1)')} || '=' || {ld(f'regexp_extract(x, {chr(39)}{head}{chr(39)}, 2)')})"
+        cases += f" when regexp_matches(t, '^{field}(?:{sep}{field}){{2,}}(?:{sep}\\s*)?$') then {pair}"
+    json = f"list_transform(json_keys(t), lambda q: {ld('q')} || '=' || {ld('coalesce(json_extract_string(t, ' + chr(39) + '$.' + chr(34) + chr(39) + ' || q || ' + chr(39) + chr(34) + chr(39) + '), ' + chr(39) + 'null' + chr(39) + ')')})"
+    return f"""
+with m as (select distinct storage_key k, namespace ns, type ty, content c, trim(replace(content, chr(13) || chr(10), chr(10))) t from memories where storage_key is not null and content is not null),
+x as (select k, ns, ty, case when starts_with(t, '{{') and json_valid(t) then {json} {cases} end l, {ld('c')} s from m),
+g as (select k, ns, ty, case when l is not null and len(l) > 0 then array_to_string(list_sort(list_distinct(l)), '&') else '.' || s end canon from x)
+select k mem_key, grp_key, n_copies from (select k, min(k) over w grp_key, count(*) over w n_copies from g window w as (partition by ns, ty, canon)) where n_copies > 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_SQL}
+    return {"p3_found": P3_SQL, "p5_found": P5_SQL, "p7_found": _p7_sql()}
