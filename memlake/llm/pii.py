@@ -71,6 +71,8 @@ _LINK = r"(?:de la|de los|de las|del|de|des|du|da|das|do|dos|la|le|les|l['’]|d
 _NO = r"(?:n\.?[º°] ?|[Nn]o\. ?|Nr\. ?|№ ?|д\. ?)?"
 _FIRST = re.compile(rf"(?<![\w.,:/-])\d{{1,4}}[A-Za-z]?(?: bis| ter)?,? (?:(?:St\.|{STREET}|{_LINK}|{_CAP}) ){{0,4}}(?:{STREET}|{_CAP}(?:['’]s)?(?: (?:{STREET}))?)(?!\w)")
 _THEN = re.compile(rf"(?<![\w.-])(?:(?:ул|пер|пр|наб|пл|бул)\. ?|(?:{STREET}) )?(?:(?:{_CAP}|{_LINK}) ){{0,4}}?(?:{_CAP}|переулок|улица|проспект|шоссе|бульвар|площадь),? {_NO}\d{{1,4}}(?: ?[a-z](?!\w))?(?![\w:/]|[.,-]\d)")
+#: What every match of ``_THEN`` ends with; cheap to look for first.
+_THEN_END = re.compile(rf"(?:[{_UP}][\w'’-]*|переулок|улица|проспект|шоссе|бульвар|площадь),? {_NO}\d{{1,4}}(?: ?[a-z](?!\w))?(?![\w:/]|[.,-]\d)")
 _STREETISH = re.compile(
     rf"\b(?:{STREET})(?!\w)|(?:stra(?:ß|ss)e|str\.|weg|gasse|platz|allee|ufer|damm)(?= \d)|\b(?:ул|пер|пр|наб|пл)\.|переул|улиц|проспект|шоссе|бульвар|площад"
 )
@@ -158,7 +160,7 @@ class Finder:
                     yield "name", s, e, "", ["L" + _left(t, s), "R" + _right(t, e)]
 
     def _addresses(self, t: str):
-        for rx in (_FIRST, _THEN):
+        for rx in (_FIRST, _THEN) if _THEN_END.search(t) else (_FIRST,):
             for m in rx.finditer(t):
                 x = m.group()
                 street = _STREETISH.search(x)
