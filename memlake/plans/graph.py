@@ -213,7 +213,7 @@ def q8c(spark, d):
     return P.observation_conflicts(observations(spark, d), "subject", "predicate")
 
 
-@query("k12_candidate_rank", f"select event_id, r as rank, count(*) filter (where r = 1) over (partition by subject, predicate) > 1 as open from (select *, rank() over (partition by subject, predicate order by observed_at::date desc, value_json) r from {_OBS})")
+@query("k12_candidate_rank", f"select event_id, r::int as rank, count(*) filter (where r = 1) over (partition by subject, predicate) > 1 as open from (select *, rank() over (partition by subject, predicate order by observed_at::date desc, value_json) r from {_OBS})")
 def k12(spark, d):
     return P.ranked_candidates(observations(spark, d), ["subject", "predicate"], F.desc(F.to_date("observed_at")), F.asc("value_json")).select("event_id", "rank", "open")
 
@@ -241,7 +241,7 @@ def r8(spark, d):
     return A.rate_limits(table(spark, d, "events"), "ts", ["user_id"]).select("event_id", "n_hour", "n_day", "blocked")
 
 
-@query("w8_d6_version_chain", "select o_orderkey, row_number() over w version_no, lead(o_orderdate) over w valid_to from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)")
+@query("w8_d6_version_chain", "select o_orderkey, (row_number() over w)::int version_no, lead(o_orderdate) over w valid_to from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)")
 def w8(spark, d):
     return A.version_chain(table(spark, d, "orders"), "o_custkey", "o_orderdate", "o_orderkey").select("o_orderkey", "version_no", "valid_to")
 
@@ -269,7 +269,7 @@ _SCENES = "(select * from (values ('s1', 'economy brass please'), ('s2', 'promo
 
 @query("r1_r2_match", rf"""with r as (select *, list_distinct(regexp_extract_all("trigger", '[\p{{L}}\p{{N}}_]+')) rt from {_RULES}), s as (select *, list_distinct(regexp_extract_all(lower(scene), '[\p{{L}}\p{{N}}_]+')) st from {_SCENES}),
  h as (select scene_id, rule_id, round(least(1.0, (case when lower(scene) = "trigger" then 1.0 when contains(lower(scene), "trigger") then 0.8 else 0.5 end) + (case when override then 0.1 else 0.0 end) + least(trigger_count/10.0*0.02, 0.1) + 0.05*confidence), 6) score from s join r on list_has_any(st, rt))
- select * from (select scene_id, rule_id, score::double score, row_number() over (partition by scene_id order by score desc, rule_id) "rank" from h) where "rank" <= 5""")
+ select * from (select scene_id, rule_id, score::double score, (row_number() over (partition by scene_id order by score desc, rule_id))::int "rank" from h) where "rank" <= 5""")
 def r1(spark, d):
     scenes = spark.createDataFrame([("s1", "economy brass please"), ("s2", "promo steel"), ("s3", "standard polished tin for the large one"), ("s4", "nothing")], "scene_id string, scene string")
     return U.match(scenes, rules(spark, d))

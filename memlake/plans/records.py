@@ -255,7 +255,7 @@ def k5(spark, d):
     return records(spark, d).withColumn("rn", F.row_number().over(w)).where("type <> 'sentiment_marker' or rn <= 3").select("storage_key", "type")
 
 
-@query("a3_w1_per_type", f"select namespace, type, storage_key, rn from (select *, row_number() over (partition by namespace, type order by importance_score desc, created_at desc, storage_key) rn from {REC}) where rn <= 3")
+@query("a3_w1_per_type", f"select namespace, type, storage_key, rn from (select *, (row_number() over (partition by namespace, type order by importance_score desc, created_at desc, storage_key))::int rn from {REC}) where rn <= 3")
 def a3(spark, d):
     m = R.limit_per(records(spark, d), 3, ["namespace", "type"], F.desc("importance_score"), F.desc("created_at"), F.asc("storage_key"))
     return m.select("namespace", "type", "storage_key", "rn")
@@ -269,13 +269,13 @@ def k10(spark, d):
 
 
 @query("w7_session_first", f"""with x as (select *, coalesce(metadata ->> '$.session_id', storage_key) sess from {REC}), y as (select *, row_number() over (partition by namespace, sess order by importance_score desc, storage_key) nth from x)
- select storage_key, row_number() over (partition by namespace order by nth > 1, importance_score desc, storage_key) "position" from y""")
+ select storage_key, (row_number() over (partition by namespace order by nth > 1, importance_score desc, storage_key))::int "position" from y""")
 def w7(spark, d):
     m = records(spark, d).withColumn("session", F.coalesce(F.get_json_object("metadata", "$.session_id"), "storage_key"))
     return R.session_first(m, F.desc("importance_score"), F.asc("storage_key")).select("storage_key", "position")
 
 
-@query("k9_type_priority", f"select storage_key, row_number() over (partition by namespace order by case when type in ('correction','decision') then 0 when type = 'user_preference' then 1 else 2 end, importance_score desc, storage_key) pos from {REC}")
+@query("k9_type_priority", f"select storage_key, row_number() over (partition by namespace order by case when type in ('correction','decision') then 0 when type = 'user_preference' then 1 else 2 end, importance_score desc, storage_key)::int pos from {REC}")
 def k9(spark, d):
     p = F.when(F.col("type").isin("correction", "decision"), 0).when(F.col("type") == "user_preference", 1).otherwise(2)
     w = Window.partitionBy("namespace").orderBy(p, F.desc("importance_score"), "storage_key")
