@@ -156,7 +156,7 @@ def k8(spark, d):
     return records(spark, d).select("storage_key", F.row_number().over(w).alias("drop_no"))
 
 
-@query("p4_score", f"select storage_key, coalesce((recall_hint ->> '$.score')::double, (recall_hint ->> '$.boost')::double, importance_score, confidence) score from {REC}")
+@query("proj4_score", f"select storage_key, coalesce((recall_hint ->> '$.score')::double, (recall_hint ->> '$.boost')::double, importance_score, confidence) score from {REC}")
 def p4score(spark, d):
     hint = lambda k: F.get_json_object("recall_hint", f"$.{k}").cast("double")
     return records(spark, d).select("storage_key", F.coalesce(hint("score"), hint("boost"), "importance_score", "confidence").alias("score"))

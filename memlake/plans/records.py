@@ -198,12 +198,12 @@ def f12(spark, d):
     return m.select("storage_key", (F.col("importance_score") * 0.5).alias("importance"))
 
 
-@query("p2_projection_cut", f"select storage_key, substr(content, 1, 100) preview, length(content) > 100 truncated from {REC}")
+@query("proj2_cut", f"select storage_key, substr(content, 1, 100) preview, length(content) > 100 truncated from {REC}")
 def p2cut(spark, d):
     return records(spark, d).select("storage_key", F.substring("content", 1, 100).alias("preview"), (F.length("content") > 100).alias("truncated"))
 
 
-@query("p3_subject_counts", f"select coalesce(metadata ->> '$.subject', version_chain_id, storage_key) subject, count(distinct storage_key) n from {REC} group by 1 having count(distinct storage_key) > 1")
+@query("proj3_subjects", f"select coalesce(metadata ->> '$.subject', version_chain_id, storage_key) subject, count(distinct storage_key) n from {REC} group by 1 having count(distinct storage_key) > 1")
 def p3s(spark, d):
     return A.conflict_subject_counts(records(spark, d))
 
