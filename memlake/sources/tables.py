@@ -3,14 +3,34 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers wherever they run; once per Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_memlake_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    if root.is_dir() and root.parent.suffix != ".zip":
+        at = Path(tempfile.mkdtemp(prefix="memlake-code-")) / "memlake.zip"  # served to the workers by the driver itself
+        with zipfile.ZipFile(at, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(str(at))
+        atexit.register(shutil.rmtree, at.parent, True)
+    sc._memlake_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` under ``sf_dir`` (a parquet file or a folder of them)."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
