@@ -113,9 +113,8 @@ def cuts(start_token: np.ndarray, rank: np.ndarray, mark: np.ndarray, total: int
                 first += int(inside[0])
 
 
-def split_text(text: str, words: list[str], enc: bpe.Encoder, cutter: _Cutter, limit: int, overlap: int, least: int) -> list[tuple[int, int, int, int]]:
-    """[(first character, end, tokens, repeated characters)] of the pieces; one if the text fits. ``words`` are its pre-tokens."""
-    ids = list(map(enc.cache.__getitem__, words))
+def split_text(text: str, words: list[str], ids: list[tuple[int, ...]], enc: bpe.Encoder, cutter: _Cutter, limit: int, overlap: int, least: int) -> list[tuple[int, int, int, int]]:
+    """[(first character, end, tokens, repeated characters)] of the pieces; one if the text fits. ``words`` are its pre-tokens, ``ids`` their tokens."""
     total = sum(map(len, ids))
     if total <= limit:
         return [(0, len(text), total, 0)]
@@ -185,8 +184,9 @@ def split_documents(df: DataFrame, limit: int = 512, overlap: int = 64, least: i
                 texts = some.column(1).to_pylist()
                 words = [enc.split(t) if t else () for t in texts]
                 enc.learn(w for x in words for w in x)
+                ids = [list(map(enc.cache.__getitem__, x)) for x in words]  # held here: counting a piece afresh may clear the cache
                 for i, t in enumerate(texts):
-                    for no, (lo, hi, n, over) in enumerate(split_text(t, words[i], enc, cutter, limit, overlap, least) if t else ()):
+                    for no, (lo, hi, n, over) in enumerate(split_text(t, words[i], ids[i], enc, cutter, limit, overlap, least) if t else ()):
                         rows.append((i, no, lo, hi, n, over))
                         pieces.append(t[lo:hi])
                 cols = np.array(rows, np.int32).reshape(-1, 6)

@@ -178,3 +178,24 @@ def test_edits_move_only_neighbouring_pieces(spark):
     df = spark.createDataFrame([(1, text), (2, edited)], "doc_id long, text string")
     pieces = {k: {r.piece for r in chunking.split_documents(df.where(F.col("doc_id") == k), 256, 0).collect()} for k in (1, 2)}
     assert len(pieces[1] & pieces[2]) >= len(pieces[1]) - 5
+
+
+def test_splitting_with_a_full_word_cache(monkeypatch):
+    pa = pytest.importorskip("pyarrow")
+
+    class Local:  # runs the function over one batch in this process, where the bound of the cache can be set
+        def __init__(self, texts):
+            self.batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+            self.schema = {"doc_id": type("Field", (), {"dataType": type("Kind", (), {"simpleString": lambda _: "bigint"})()})}
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return [r for b in run([self.batch]) for r in b.to_pylist()]
+
+    texts = ["\n\n".join(f"Text {k} has paragraph {j} of words w{k}x{j}." for j in range(60)) for k in range(6)]
+    want = chunking.split_documents(Local(texts), 128, 16)
+    assert len(want) > 2 * len(texts)
+    monkeypatch.setattr(bpe, "CACHE", 5)
+    assert chunking.split_documents(Local(texts), 128, 16) == want
