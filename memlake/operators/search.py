@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions import language as L
+from memlake.operators import analytics as A
+from memlake.sources.tables import Scratch
 
 
 def bm25(docs: DataFrame, key: str, tokens: Column, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -73,19 +75,32 @@ def scope_filter(df: DataFrame, text: str, table: dict[str, str], asked: list[st
 
 
 def near_groups(df: DataFrame, by: list[str], key: str, tokens: str, least: float) -> DataFrame:
-    """(by, key, leader): greedy leader groups in order of key. The walk is sequential within a group, which must be bounded."""
-    schema = df.select(*by, key).schema.simpleString()[7:-1].replace(":", " ") + ", leader string"
-
-    def run(pdf):
-        leaders, out = [], []
-        for k, t in sorted(zip(pdf[key], map(frozenset, pdf[tokens])), key=lambda r: r[0]):
-            hit = next((m for m, s in leaders if t | s and len(t & s) / len(t | s) >= least), None)
-            if hit is None:
-                leaders.append((k, t))
-            out.append((k, hit or k))
-        return type(pdf)({**{b: [pdf[b].iloc[0]] * len(out) for b in by}, key: [o[0] for o in out], "leader": [o[1] for o in out]})
-
-    return df.select(*by, key, tokens).groupBy(*by).applyInPandas(run, schema)
+    """(by, key, leader): greedy leader groups in order of key, which is unique: a row joins the first leader that it resembles, else it leads.
+
+    Equal token sets share their leader, so only the first of each is compared. Of the links
+    among these, rows that no undecided row precedes lead, and what they are linked to
+    follows; the rounds end when no link is left undecided.
+    """
+    scratch = Scratch(df.sparkSession, "near_groups")
+    rows = scratch.write(df.select(*by, key, F.array_sort(F.coalesce(tokens, F.array().cast("array<string>"))).alias("tok")))
+    # empty sets resemble nothing, not even each other
+    own = F.when(F.size("tok") == 0, F.col(key))
+    first = rows.groupBy(*by, "tok", own.alias("own")).agg(F.min(key).alias(key))
+    links = scratch.write(A.jaccard_pairs(first, key, "tok", by, least).select("key_a", "key_b"))
+    gone = lambda df, out, c: df.join(out.select(F.col("v").alias(c)), c, "left_anti")
+    follow, left = None, links
+    while not left.isEmpty():
+        heads = left.select("key_a").distinct().join(left.select(F.col("key_b").alias("key_a")).distinct(), "key_a", "left_anti")
+        found = scratch.write(left.join(heads, "key_a", "left_semi").select(F.col("key_b").alias("v")).distinct())
+        follow = found if follow is None else follow.unionByName(found)
+        last, left = left, scratch.write(gone(gone(left, found, "key_a"), found, "key_b"))
+        if last is not links:
+            scratch.drop(last)
+    led = links if follow is None else gone(links, follow, "key_a")
+    led = led.groupBy(F.col("key_b").alias("first")).agg(F.min("key_a").alias("led"))
+    w = Window.partitionBy(*by, "tok", own)
+    out = rows.withColumn("first", F.min(key).over(w)).join(led, "first", "left")
+    return out.select(*by, key, F.coalesce("led", "first").alias("leader"))
 
 
 def last_words(df: DataFrame, by: str, order: str, n: int = 10) -> DataFrame:

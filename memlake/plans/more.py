@@ -71,9 +71,7 @@ def f10(spark, d):
 
 @query("q4_leader_groups")
 def q4(spark, d):
-    from memlake.operators.recall import limit_per
-
-    m = limit_per(records(spark, d).where("type = 'user_preference'"), 500, ["namespace"], F.asc("storage_key")).withColumn("tok", L.space_tokens("content"))
+    m = records(spark, d).where("type = 'user_preference'").withColumn("tok", L.space_tokens("content"))
     return S.near_groups(m, ["namespace"], "storage_key", "tok", 0.4)
 
 

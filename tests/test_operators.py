@@ -149,3 +149,21 @@ def test_hot_keys_are_bounded(spark):
 
 def test_half_life():
     assert math.isclose(0.5 ** (30 / 30), 0.5)
+
+
+def test_leader_groups_take_every_preference(spark, tmp_path):
+    import random
+
+    rng = random.Random(7)
+    # more than 500 in one namespace
+    rows = [(f"k{i:04}", rng.choice(["n"] * 9 + ["m", None]), "user_preference", " ".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(0, 7))), 0) for i in range(700)]
+    spark.createDataFrame(rows + [("z", "n", "decision", "a b", 0)], "storage_key string, namespace string, type string, content string, access_count int").write.parquet(str(tmp_path / "memories.parquet"))
+    want, leaders = set(), {}
+    for k, ns, _, text, _ in rows:
+        t = set(text.split())
+        hit = next((j for j, u in leaders.setdefault(ns, []) if t | u and len(t & u) / len(t | u) >= 0.4), None)
+        if hit is None:
+            leaders[ns].append((k, t))
+        want.add((ns, k, hit or k))
+    got = [tuple(r) for r in catalog.queries()["q4_leader_groups"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want
