@@ -311,7 +311,7 @@ def e2(spark, d):
 
 @query("k11_mmr")
 def k11(spark, d):
-    m = R.limit_per(R.RecallFilter().apply(records(spark, d)), 100, ["namespace"], F.desc("importance_score"), F.asc("storage_key")).withColumn("tok", L.mixed_tokens("content"))
+    m = R.RecallFilter().apply(records(spark, d)).withColumn("tok", L.mixed_tokens("content"))
     return R.mmr(m, 10, "namespace", "importance_score", "tok", "storage_key")
 
 

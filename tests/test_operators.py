@@ -167,3 +167,27 @@ def test_leader_groups_take_every_preference(spark, tmp_path):
         want.add((ns, k, hit or k))
     got = [tuple(r) for r in catalog.queries()["q4_leader_groups"](spark, str(tmp_path)).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def write_memories(spark, folder, rows, columns):
+    spark.createDataFrame([(*r, 0) for r in rows], columns + ", access_count int").write.parquet(str(folder / "memories.parquet"))
+
+
+def test_mmr_takes_every_record(spark, tmp_path):
+    import random
+
+    rng = random.Random(9)
+    rows = [(f"a{i:03}", "hot", "decision", 1.0 - i / 10_000, "same old words again", False) for i in range(120)] + [("z", "hot", "decision", 0.9, "quite another thing", False)]
+    rows += [(f"r{i:03}", rng.choice(["u", None]), "decision", rng.choice([0.0, 0.5, 1.0, rng.random()]), " ".join(rng.choice(["aa", "bb", "cc", "dd", "库", "ee"]) for _ in range(rng.randint(0, 5))), False) for i in range(150)]
+    write_memories(spark, tmp_path, rows, "storage_key string, namespace string, type string, importance_score double, content string, paused boolean")
+    want = set()
+    for ns in ("hot", "u", None):
+        left = {r[0]: (r[3], set(r[4].split())) for r in rows if r[1] == ns}
+        top, had = max(s for s, _ in left.values()) or 1.0, []
+        for pick in range(1, 11):
+            value = lambda k: round(0.7 * left[k][0] / top - 0.3 * max((len(left[k][1] & t) / len(left[k][1] | t) if left[k][1] | t else 0.0 for t in had), default=0.0), 12)
+            k = min(left, key=lambda k: (-value(k), k))
+            had.append(left.pop(k)[1])
+            want.add((ns, k, pick))
+    assert ("hot", "z", 2) in want
+    assert {tuple(r) for r in catalog.queries()["k11_mmr"](spark, str(tmp_path)).collect()} == want
