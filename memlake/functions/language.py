@@ -139,10 +139,11 @@ def summary(c: Column | str, level: int) -> Column:
 
 
 def keywords(c: Column | str, most: int = 50) -> Column:
-    """English words of three letters and more, and every two neighbouring CJK characters; at most ``most``."""
+    """English words of three letters and more, and every two to four neighbouring CJK characters; at most ``most``."""
     words = matches(F.lower(_c(c)), r"[a-z]{3,}")
-    runs = matches(c, CJK + "+")
-    grams = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) >= 2, F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substr(r, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))))
+    runs = matches(c, CJK + "{2,}")
+    at = lambda r, i: F.transform(F.sequence(F.lit(2), F.least(F.lit(4), F.length(r) - i + 1)), lambda n: F.substr(r, i, n))
+    grams = F.flatten(F.transform(runs, lambda r: F.flatten(F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: at(r, i)))))
     return F.slice(F.array_distinct(F.concat(words, grams)), 1, most)
 
 

@@ -311,6 +311,12 @@ def r10(spark, d):
     return U.mine_keywords(records(spark, d).where(~L.has_cjk("content")))
 
 
+@query("r10_a21_all_mining")
+def r10_all(spark, d):
+    """As r10_a21_mining, with the records that hold CJK characters."""
+    return U.mine_keywords(records(spark, d))
+
+
 @query("j19_source_states", f"""with s as (select id::varchar rule_id, weight confidence, source_memory_key k from {RELN} where source_memory_key is not null)
  select rule_id, round(greatest(0.0, s.confidence - 0.1*count(*) filter (where m.storage_key is null) - 0.05*count(*) filter (where m.superseded)), 6) confidence, count(*) filter (where not m.superseded) n_active, count(*) filter (where m.superseded) n_superseded, count(*) filter (where m.storage_key is null) n_deleted
  from s left join {REC} m on m.storage_key = s.k group by rule_id, s.confidence""")

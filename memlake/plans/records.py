@@ -463,7 +463,13 @@ def x15(spark, d):
 @query("x17_keywords", f"select storage_key, list_sort(list_distinct(regexp_extract_all(lower(content), '[a-z]{{3,}}'))) words from {REC} where not regexp_matches(content, '{CJK}')")
 def x17(spark, d):
     m = records(spark, d).where(~L.has_cjk("content"))
-    return m.select("storage_key", F.array_sort(L.keywords("content", 10_000)).alias("words"))
+    return m.select("storage_key", F.array_sort(L.keywords("content", 2**31 - 1)).alias("words"))
+
+
+@query("x17_all_keywords")
+def x17_all(spark, d):
+    """As x17_keywords, with the records that hold CJK characters."""
+    return records(spark, d).select("storage_key", F.array_sort(L.keywords("content", 2**31 - 1)).alias("words"))
 
 
 @query("x18_negation", f"select storage_key from {REC} where regexp_matches(lower(content), '(^|[^a-z])(not|never|don''t|no longer|avoid|stop)($|[^a-z])')")

@@ -173,6 +173,20 @@ def write_memories(spark, folder, rows, columns):
     spark.createDataFrame([(*r, 0) for r in rows], columns + ", access_count int").write.parquet(str(folder / "memories.parquet"))
 
 
+def test_keywords_of_all_records(spark, tmp_path):
+    import re
+
+    texts = ["Move the 数据库备份 to ab S3", "plain words only", "数据库 backup", "の数据库备份é", "字", ""]
+    write_memories(spark, tmp_path, [(f"k{i}", "n", t) for i, t in enumerate(texts)], "storage_key string, namespace string, content string")
+    want = {}
+    for i, t in enumerate(texts):
+        runs = re.findall("[\u3400-\u4dbf\u4e00-\u9fff\u3040-\u30ff]+", t)
+        want[f"k{i}"] = sorted(set(re.findall("[a-z]{3,}", t.lower())) | {r[a : a + n] for r in runs for n in (2, 3, 4) for a in range(len(r) - n + 1)})
+    assert {r.storage_key: r.words for r in catalog.queries()["x17_all_keywords"](spark, str(tmp_path)).collect()} == want
+    mined = {w: sum(w in ws for ws in want.values()) for ws in want.values() for w in ws}
+    assert {r.keyword: r.n for r in catalog.queries()["r10_a21_all_mining"](spark, str(tmp_path)).collect()} == {w: n for w, n in mined.items() if n >= 3}
+
+
 def test_mmr_takes_every_record(spark, tmp_path):
     import random
 
