@@ -56,6 +56,12 @@ def g1(spark, d):
     return S.entities(records(spark, d), "storage_key", "content").where("kind = 'tool'")
 
 
+@query("g1_g4_all_entities")
+def g1_all(spark, d):
+    """As g1_g4_entities, of all four kinds."""
+    return S.entities(records(spark, d), "storage_key", "content")
+
+
 VOCABULARY = {"ops": ("rollout", "pipeline", "cluster"), "data": ("schema", "migration", "index"), "art": ("zzzz",)}
 
 

@@ -187,6 +187,12 @@ def test_keywords_of_all_records(spark, tmp_path):
     assert {r.keyword: r.n for r in catalog.queries()["r10_a21_all_mining"](spark, str(tmp_path)).collect()} == {w: n for w, n in mined.items() if n >= 3}
 
 
+def test_entities_of_all_kinds(spark, tmp_path):
+    write_memories(spark, tmp_path, [("a", "Use git-lint and git-lint on src/app/main.py with the API"), ("b", "Ada Lovelace wrote 用CLI做"), ("c", "nothing here"), ("d", None)], "storage_key string, content string")
+    got = sorted(tuple(r) for r in catalog.queries()["g1_g4_all_entities"](spark, str(tmp_path)).collect())
+    assert got == [("a", "acronym", "API"), ("a", "path", "src/app/main.py"), ("a", "tool", "git-lint"), ("b", "acronym", "CLI"), ("b", "name", "Ada Lovelace")]
+
+
 def test_mmr_takes_every_record(spark, tmp_path):
     import random
 
