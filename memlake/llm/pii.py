@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -114,6 +115,11 @@ def _right(t: str, at: int) -> str:
     return " ".join(s.split(" ")[:3]) if s.startswith(" ") else " ".join(s.split(" ")[:2])
 
 
+@lru_cache(4096)
+def _between(le: str, ri: str) -> re.Pattern:
+    return re.compile(re.escape(le) + rf"({_CJK_PART}{{1,5}}[ 　]?{_CJK_PART}{{1,4}}?)" + re.escape(ri))
+
+
 class Finder:
     """Candidates of a text: (shape, start, end, seed kind or '', patterns)."""
 
@@ -124,7 +130,7 @@ class Finder:
         east = lambda names: "|".join(sorted(map(re.escape, (p for p in names if _CJK.match(p))), key=lambda x: (-len(x), x)))
         g, f = east(given), east(family)
         self.east_seed = re.compile(f"(?:{f})[ 　]?(?:{g})") if g and f else None
-        self.delimited = [(le, re.compile(re.escape(le) + rf"({_CJK_PART}{{1,5}}[ 　]?{_CJK_PART}{{1,4}}?)" + re.escape(ri))) for le, ri in delimiters]
+        self.delimited = [(le, _between(le, ri)) for le, ri in delimiters]
 
     def _number(self, t: str):
         for m in _NUMBER.finditer(t):
@@ -203,14 +209,17 @@ def _together(k: str):
 OCCURRENCE = "mem_key string, text_field string, shape string, s int, e int, surface string, seed string, patterns array<string>"
 
 
-def _delimiters(df: DataFrame, key: str, fields: tuple[str, ...], parts: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """(left, right) contexts of seed names in scripts without blanks that occur at least twice and with two different names.
+#: Contexts of names up to which their list is sent to all tasks; longer ones are joined.
+MOST_CONTEXTS = 1000
+_CJK_ONE = re.compile(_CJK_PART)
+_SPAN = re.compile(rf"{_CJK_PART}{{1,5}}[ 　]?{_CJK_PART}{{1,4}}")
 
-    A pair is kept if it holds a thousandth of all such seeds, so there are at most 1000.
-    """
+
+def _contexts(df: DataFrame, fields: tuple[str, ...], parts: list[tuple[str, str]]) -> DataFrame | None:
+    """(le, ri): contexts of seed names in scripts without blanks that occur at least twice and with two different names."""
     finder = Finder(parts)
     if finder.east_seed is None:
-        return []
+        return None
     known = "(?:" + finder.east_seed.pattern + ")"
     texts = df.select(F.explode(F.array(*[F.col(f) for f in fields])).alias("t")).where(F.col("t").rlike(known))
 
@@ -225,14 +234,45 @@ def _delimiters(df: DataFrame, key: str, fields: tuple[str, ...], parts: list[tu
                         rows.append((le, ri, m.group()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["le", "ri", "x"])
 
-    seen = texts.mapInArrow(run, "le string, ri string, x string").groupBy("le", "ri").agg(F.count("*").alias("n"), F.approx_count_distinct("x").alias("d"))
-    all_n = seen.agg(F.sum("n")).first()[0] or 0
-    kept = seen.where((F.col("n") >= max(2, -(-all_n // 1000))) & (F.col("d") >= 2)).select("le", "ri").collect()
-    return sorted((r[0], r[1]) for r in kept)
+    seen = texts.mapInArrow(run, "le string, ri string, x string").groupBy("le", "ri").agg(F.count("*").alias("n"), F.min("x").alias("x"), F.max("x").alias("y"))
+    return seen.where("n >= 2 and x <> y").select("le", "ri")
+
+
+def _with_contexts(df: DataFrame, contexts: DataFrame, key: str, fields: tuple[str, ...], scratch: Scratch) -> DataFrame:
+    """key, fields, contexts: each row with the contexts that enclose some span of its texts, whatever their number."""
+    rows = scratch.write(df.where(F.col(key).isNotNull()).select(F.monotonically_increasing_id().alias("id"), F.col(key).cast("string"), *fields))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            for at in range(0, len(ids), 256):
+                out = []
+                for i, t in enumerate(zip(*(batch.column(j + 1).slice(at, 256).to_pylist() for j in range(len(fields))))):
+                    # a context is at most three characters before a span and two behind it, both not blank alone
+                    out += [(ids[at + i], le, ri) for le, ri in {x for f in t if f and _CJK.search(f) for x in _around(f)}]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), *[pa.array([r[j] for r in out], pa.string()) for j in (1, 2)]], ["id", "le", "ri"])
+
+    near = rows.select("id", *fields).mapInArrow(run, "id long, le string, ri string")
+    mine = near.join(contexts, ["le", "ri"]).groupBy("id").agg(F.array_sort(F.collect_set(F.struct("le", "ri"))).alias("contexts"))
+    return rows.join(mine, "id", "left").drop("id")
+
+
+def _around(t: str) -> Iterator[tuple[str, str]]:
+    """(left, right) of every span of ``t`` that may be a name."""
+    for s in range(2, len(t)):
+        if not _CJK_ONE.match(t[s]):
+            continue
+        les = [le for n in (2, 3) if s >= n and len((le := t[s - n : s]).strip()) >= 2]
+        for e in range(s + 2, min(s + 10, len(t) - 1) + 1) if les else ():
+            if _SPAN.fullmatch(t, s, e):
+                for n in (1, 2):
+                    if e + n <= len(t) and (ri := t[e : e + n]).strip():
+                        yield from ((le, ri) for le in les)
 
 
 def occurrences(df: DataFrame, parts: list[tuple[str, str]], delimiters: list[tuple[str, str]], key: str, fields: tuple[str, ...]) -> DataFrame:
-    """All candidates of the texts (``OCCURRENCE``)."""
+    """All candidates of the texts (``OCCURRENCE``); a column ``contexts`` holds a row's own delimiters."""
+    own = ["contexts"] if "contexts" in df.columns else []
     names = ["mem_key", "text_field", "shape", "s", "e", "surface", "seed", "patterns"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,14 +280,17 @@ def occurrences(df: DataFrame, parts: list[tuple[str, str]], delimiters: list[tu
         for batch in batches:
             rows = []
             keys = batch.column(0).to_pylist()
+            around = [[(x["le"], _between(x["le"], x["ri"])) for x in xs or ()] for xs in batch.column(len(fields) + 1).to_pylist()] if own else None
             for i, f in enumerate(fields):
-                for k, t in zip(keys, batch.column(i + 1).to_pylist()):
+                for j, (k, t) in enumerate(zip(keys, batch.column(i + 1).to_pylist())):
                     if t:
+                        if around is not None:
+                            find.delimited = around[j]
                         rows += [(k, f, shape, s, e, t[s:e], seed, ps) for shape, s, e, seed, ps in find(t)]
             kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kinds[j]) for j in range(8)], names)
 
-    return df.select(F.col(key).cast("string"), *fields).where(F.col(key).isNotNull()).mapInArrow(run, OCCURRENCE)
+    return df.select(F.col(key).cast("string"), *fields, *own).where(F.col(key).isNotNull()).mapInArrow(run, OCCURRENCE)
 
 
 def believe(occ: DataFrame, scratch: Scratch, rounds: int = ROUNDS, least_hot: int = skew.LEAST) -> DataFrame:
@@ -278,7 +321,7 @@ def believe(occ: DataFrame, scratch: Scratch, rounds: int = ROUNDS, least_hot: i
     return score
 
 
-def find_items(df: DataFrame, name_parts: DataFrame, key: str = "storage_key", fields: tuple[str, ...] = ("content", "raw_text", "original_message"), rounds: int = ROUNDS, least_hot: int = skew.LEAST) -> DataFrame:
+def find_items(df: DataFrame, name_parts: DataFrame, key: str = "storage_key", fields: tuple[str, ...] = ("content", "raw_text", "original_message"), rounds: int = ROUNDS, least_hot: int = skew.LEAST, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     """mem_key, text_field, kind, s, e, pii, score: the items of each text in the order of their place, without overlaps.
 
     Null keys, null and empty texts have none. Rows delivered twice give their items once.
@@ -287,7 +330,13 @@ def find_items(df: DataFrame, name_parts: DataFrame, key: str = "storage_key", f
     spark = df.sparkSession
     scratch = Scratch(spark, "pii")
     parts = sorted({(r[0], r[1]) for r in name_parts.select("name_part", "kind").collect() if r[0] and r[1]})
-    occ = scratch.write(occurrences(df, parts, _delimiters(df, key, fields, parts), key, fields))
+    contexts = _contexts(df, fields, parts)
+    few = []
+    if contexts is not None:
+        contexts = scratch.write(contexts)
+        few = sorted((r[0], r[1]) for r in contexts.limit(most_contexts + 1).collect())
+    many = len(few) > most_contexts
+    occ = scratch.write(occurrences(_with_contexts(df, contexts, key, fields, scratch) if many else df, parts, [] if many else few, key, fields))
     score = believe(occ, scratch, rounds, least_hot)
     kinds = ("phone", "id_number", "address", "name")
     sure = occ.where(F.size("patterns") == 0).select("mem_key", "text_field", F.col("seed").alias("kind"), "s", "e", F.col("surface").alias("pii"), F.lit(1.0).alias("score"))

@@ -90,3 +90,13 @@ def test_no_memories(spark):
     df = spark.createDataFrame([], "storage_key string, content string, raw_text string, original_message string")
     parts = spark.createDataFrame([], "name_part string, kind string")
     assert pii.find_items(df, parts).count() == 0
+
+
+def test_rare_contexts_of_names_count_in_large_inputs(spark):
+    parts = spark.createDataFrame([(p, "family") for p in "王李"] + [(p, "given") for p in ("伟", "芳", "强")], "name_part string, kind string")
+    rows = [(f"h{i}", "今天客户王伟先生来。" * 30) for i in range(75)] + [(f"g{i}", "今天客户李芳先生来。" * 30) for i in range(75)]
+    rows += [(f"r{i}", f"本项目负责人{x}签字了。") for i, x in enumerate(("王伟", "李芳", "王强", "李伟"))] + [("new", "本项目负责人赵敏签字了。")]
+    df = spark.createDataFrame([(k, t, None, None) for k, t in rows], "storage_key string, content string, raw_text string, original_message string")
+    found = [{tuple(r)[:6] for r in pii.find_items(df, parts, most_contexts=n).collect()} for n in (1000, 0)]
+    assert ("name", "赵敏") in {(r[2], r[5]) for r in found[0] if r[0] == "new"}
+    assert found[0] == found[1]
