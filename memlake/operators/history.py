@@ -2,13 +2,15 @@
 
 Presence bitmaps: the readings of an entity, in order of their start, are the
 positions of a bitmap; every attribute state (hash) has its own bitmap with a bit
-for each reading that showed it. Runs of consecutive bits are the periods in which
-the state held, whatever gaps lie between two runs of one state.
+for each reading that showed it. A run of consecutive bits is a period in which the
+state held; a gap in a state's bitmap ends its run, and a later run is a period of its
+own. By the problem's definition exports that did not see an entity are no readings
+of it, so positions count its readings, not all exports.
 
 Scale: one shuffle on (entity, slice). Cold entities have a single slice; a hot
-entity (at most 1000 can be, see ``skew``) is cut at its start quantiles into
-slices, whose border runs (two per slice) are stitched afterwards. Bitmaps are
-words of 64 bits, so no group collects more than 64 readings.
+entity (see ``skew``) is cut at its start quantiles into slices of about equal size,
+whose border runs (two per slice) are stitched afterwards. Bitmaps are words of 64
+bits, so no group collects more than 64 readings.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from memlake.operators import skew
 
 STATE = ("content_hash", "type", "tier", "confidence", "paused")
 WORD = 64
-SLICES = 64
+#: Quantiles of a hot entity; it is cut at as many of them as it has shares.
+SLICES = 1000
 
 
 def reading_start(updated: str = "updated_at", created: str = "created_at") -> Column:
@@ -50,12 +53,15 @@ def readings(snapshots: DataFrame, present: DataFrame, key: str = "storage_key",
 
 
 def _slices(rows: DataFrame, least: int) -> DataFrame | None:
-    """(mem_key, cuts) of the hot entities, or None."""
+    """(mem_key, cuts, h_snap, h_live) of the hot entities, or None."""
     hot = skew.hot_keys(rows, "mem_key", least)
-    if not hot:
+    if hot is None:
         return None
     at = [i / SLICES for i in range(1, SLICES)]
-    return rows.where(F.col("mem_key").isin(hot)).groupBy("mem_key").agg(F.percentile_approx("start_us", at, 10_000).alias("cuts"))
+    by = skew.mark(rows, "mem_key", hot).where("salts is not null").groupBy("mem_key", "salts")
+    cuts = by.agg(F.percentile_approx("start_us", at, 10_000).alias("q"), F.max("snap_us").alias("h_snap"), F.max("prio").alias("h_live"))
+    step = F.greatest(F.lit(1), F.floor(F.lit(SLICES) / F.col("salts")))
+    return cuts.select("mem_key", F.array_distinct(F.filter("q", lambda x, i: (i + 1) % step == 0)).alias("cuts"), "h_snap", "h_live")
 
 
 def validity_periods(snapshots: DataFrame, present: DataFrame, key: str = "storage_key", state: tuple[str, ...] = STATE, least_hot: int = skew.LEAST) -> DataFrame:
@@ -71,24 +77,26 @@ def validity_periods(snapshots: DataFrame, present: DataFrame, key: str = "stora
     """
     rows = readings(snapshots, present, key, state)
     cuts = _slices(rows, least_hot)
+    none = F.lit(None).cast("long")
     if cuts is None:
-        rows = rows.withColumn("slice", F.lit(0))
+        rows = rows.select("*", F.lit(0).alias("slice"), none.alias("h_snap"), F.lit(None).cast("int").alias("h_live"))
         part = ["mem_key"]
-    else:  # at most 1000 rows of 63 numbers
+    else:  # at most skew.MAX_HOT entities
         rows = rows.join(F.broadcast(cuts), "mem_key", "left")
         rows = rows.withColumn("slice", F.when(F.col("cuts").isNull(), 0).otherwise(F.size(F.filter("cuts", lambda x: x <= F.col("start_us"))))).drop("cuts")
         part = ["mem_key", "slice"]
     rows = rows.repartition(*part)
+    own = list(dict.fromkeys([*part, "slice"]))
 
     best = F.max(F.struct("prio", "snap_us", "load_us", "state", "version"))
-    one = rows.groupBy(*dict.fromkeys([*part, "slice"]), "start_us").agg(best.alias("r"), F.max("snap_us").alias("snap"), F.max("prio").alias("live"))
+    one = rows.groupBy(*own, "start_us").agg(best.alias("r"), F.max("snap_us").alias("snap"), F.max("prio").alias("live"), F.max("h_snap").alias("h_snap"), F.max("h_live").alias("h_live"))
     whole = Window.partitionBy(*part)
-    one = one.select(*dict.fromkeys([*part, "slice"]), "start_us", "r.state", "r.version", F.max("snap").over(whole).alias("snap"), F.max("live").over(whole).alias("live"))
+    # of a hot entity the latest snapshot is that of all its slices
+    one = one.select(*own, "start_us", "r.state", "r.version", F.coalesce("h_snap", F.max("snap").over(whole)).alias("snap"), F.coalesce("h_live", F.max("live").over(whole)).alias("live"))
     one = one.where(F.col("start_us").isNotNull())
 
-    nth = F.row_number().over(whole.orderBy("start_us")) - 1
-    one = one.withColumn("nth", nth)
-    bits = one.groupBy(*dict.fromkeys([*part, "slice"]), "snap", "live", F.expr(f"nth div {WORD}").alias("word"), "state").agg(
+    one = one.withColumn("nth", F.row_number().over(whole.orderBy("start_us")) - 1)
+    bits = one.groupBy(*own, "snap", "live", F.expr(f"nth div {WORD}").alias("word"), "state").agg(
         F.expr(f"bit_or(shiftleft(1L, cast(nth % {WORD} as int)))").alias("bm"),
         F.collect_list(F.struct((F.col("nth") % WORD).alias("bit"), "start_us", "version")).alias("cells"),
     )
@@ -96,14 +104,14 @@ def validity_periods(snapshots: DataFrame, present: DataFrame, key: str = "stora
     runs = bits.withColumn("at", F.expr(f"explode(filter(sequence(0, {WORD - 1}), i -> (shiftrightunsigned(bm & ~shiftleft(bm, 1), i) & 1L) = 1L))"))
     runs = runs.withColumn("upto", F.expr("at + bit_count((~shiftrightunsigned(bm, at) & (shiftrightunsigned(bm, at) + 1L)) - 1L) - 1"))
     runs = runs.withColumn("own", F.expr("filter(cells, c -> c.bit between at and upto)")).select(
-        *dict.fromkeys([*part, "slice"]), "snap", "live", "state", F.expr("array_min(transform(own, c -> c.start_us))").alias("since"), F.expr("array_min(transform(own, c -> c.version))").alias("version")
+        *own, "snap", "live", "state", F.expr(f"word * {WORD} + at").alias("a"), F.expr(f"word * {WORD} + upto").alias("b"),
+        F.expr("array_min(transform(own, c -> c.start_us))").alias("since"), F.expr("array_min(transform(own, c -> c.version))").alias("version"),
     )
-    # runs that touch across the border of two words are one
-    order = whole.orderBy("since")
-    runs = runs.withColumn("new", F.coalesce((F.lag("state").over(order) != F.col("state")).cast("int"), F.lit(1)))
-    runs = runs.withColumn("run", F.sum("new").over(order))
-    runs = runs.groupBy(*dict.fromkeys([*part, "slice"]), "snap", "live", "run", "state").agg(F.min("since").alias("since"), F.min("version").alias("version"))
-    runs = runs.withColumn("until", F.lead("since").over(whole.orderBy("since")))
+    # bits that are consecutive across the border of two words of one state's bitmap are one run
+    bitmap = Window.partitionBy(*part, "state").orderBy("a")
+    runs = runs.withColumn("run", F.sum(F.when(F.lag("b").over(bitmap) + 1 == F.col("a"), 0).otherwise(1)).over(bitmap))
+    runs = runs.groupBy(*own, "snap", "live", "run", "state").agg(F.min("a").alias("a"), F.min("since").alias("since"), F.min("version").alias("version"))
+    runs = runs.withColumn("until", F.lead("since").over(whole.orderBy("a")))
     if cuts is not None:
         runs = _stitched(runs)
     last = F.when(F.col("live") == 1, F.lit(-1)).otherwise(F.col("snap"))
@@ -112,16 +120,11 @@ def validity_periods(snapshots: DataFrame, present: DataFrame, key: str = "stora
 
 def _stitched(runs: DataFrame) -> DataFrame:
     """Joins the runs of sliced entities across slice borders: only the first and last run of each slice take part."""
-    here = Window.partitionBy("mem_key", "slice")
-    runs = runs.withColumn("border", F.col("until").isNull() | (F.col("run") == 1))
+    runs = runs.withColumn("border", F.col("until").isNull() | (F.col("a") == 0))
     inner = runs.where(~F.col("border")).select("mem_key", "version", "since", "until", "snap", "live")
-    edge = runs.where("border")
     by = Window.partitionBy("mem_key").orderBy("since")
-    every = Window.partitionBy("mem_key")
-    edge = edge.withColumn("until", F.coalesce("until", F.lead("since").over(by)))
+    edge = runs.where("border").withColumn("until", F.coalesce("until", F.lead("since").over(by)))
     same = (F.lag("state").over(by) == F.col("state")) & (F.lag("slice").over(by) != F.col("slice"))
-    edge = edge.withColumn("new", F.when(same, 0).otherwise(1)).withColumn("snap", F.max("snap").over(every)).withColumn("live", F.max("live").over(every))
-    edge = edge.withColumn("island", F.sum("new").over(by))
+    edge = edge.withColumn("island", F.sum(F.when(same, 0).otherwise(1)).over(by))
     edge = edge.groupBy("mem_key", "island", "snap", "live").agg(F.min("version").alias("version"), F.min("since").alias("first"), F.max(F.struct("since", "until"))["until"].alias("until"))
-    del here
     return inner.unionByName(edge.select("mem_key", "version", F.col("first").alias("since"), "until", "snap", "live"))

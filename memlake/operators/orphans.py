@@ -3,7 +3,9 @@
 Every change contributes signed counts to its key: a referring row +1 reference
 (-1 when it is removed), a target row +1 existence (-1 when it is removed). The
 counts of all changes add up, in any order and in any batches, to the present
-state; keys with references and no existence are the orphans.
+state; keys with references and no existence are the orphans. Existence is counted per
+key and time of creation, so that a removal takes back exactly the target it names: if a
+target is deleted and created anew, references made in between are late again.
 """
 
 from __future__ import annotations
@@ -43,26 +45,29 @@ def reference_deltas(refs: DataFrame, sign: int = 1) -> DataFrame:
 
 
 def existence_deltas(df: DataFrame, column: str, space: str, sign: int = 1, born: str | None = "created_at") -> DataFrame:
-    """Signed existence counts of target rows; ``sign`` 0 only tells that a key was seen once."""
+    """Signed existence counts of target rows; ``sign`` 0 only tells that a key was seen once, -1 also does."""
     key = _key(F.col(column).cast("string"), space)
-    at = F.coalesce(F.unix_micros(born), F.lit(OLDEST)) if born and sign > 0 else F.lit(None).cast("long")
+    at = F.coalesce(F.unix_micros(born), F.lit(OLDEST)) if born and sign else F.lit(None).cast("long")
     rows = df.select(key.alias("key"), F.lit(0).cast("long").alias("refs"), F.lit(sign).cast("long").alias("exist"), at.alias("born_us"), F.lit(None).cast("long").alias("ref_us"), F.lit(sign <= 0).alias("seen"))
     return rows.where(F.col("key").isNotNull())
 
 
 def key_counts(*deltas: DataFrame) -> DataFrame:
-    """State per key: refs, exist (both signed sums), the earliest target and reference, whether it was ever seen.
+    """State per key and time of creation (null for references): refs, exist (both signed sums), the earliest reference, whether it was ever seen.
 
     States are deltas themselves: ``key_counts(state, new_deltas)`` maintains the report
-    from changes alone. Sums combine before the shuffle, so a hot key costs one row a task.
+    from changes alone, in any order. Sums combine before the shuffle, so a hot key costs
+    one row a task. ``ref_us`` is a lower bound once references have been removed, which
+    only keeps a key among those that are looked at row by row.
     """
     rows = reduce(DataFrame.unionByName, deltas)
-    return rows.groupBy("key").agg(F.sum("refs").alias("refs"), F.sum("exist").alias("exist"), F.min("born_us").alias("born_us"), F.min("ref_us").alias("ref_us"), F.max("seen").alias("seen"))
+    return rows.groupBy("key", "born_us").agg(F.sum("refs").alias("refs"), F.sum("exist").alias("exist"), F.min("ref_us").alias("ref_us"), F.max("seen").alias("seen"))
 
 
 def orphan_keys(state: DataFrame) -> DataFrame:
-    """Keys that some reference finds missing: none exists, or the first was born after the first reference."""
-    return state.where((F.col("refs") > 0) & ((F.col("exist") <= 0) | (F.col("born_us") > F.col("ref_us"))))
+    """key, refs, exist, born_us (of the earliest target there is), seen: keys that some reference finds missing: none exists, or the first was born after the first reference."""
+    by = state.groupBy("key").agg(F.sum("refs").alias("refs"), F.sum("exist").alias("exist"), F.min(F.when(F.col("exist") > 0, F.col("born_us"))).alias("born_us"), F.min("ref_us").alias("ref_us"), F.max("seen").alias("seen"))
+    return by.where((F.col("refs") > 0) & ((F.col("exist") <= 0) | (F.col("born_us") > F.col("ref_us"))))
 
 
 def orphan_references(refs: DataFrame, state: DataFrame, least_hot: int = skew.LEAST) -> DataFrame:
@@ -81,18 +86,26 @@ def orphan_references(refs: DataFrame, state: DataFrame, least_hot: int = skew.L
     return rows.select("tbl", "ref_field", "row_id", kind.alias("kind"), "ref_month").where(F.col("kind").isNotNull()).distinct()
 
 
-def memory_orphans(memories: DataFrame, snapshots: DataFrame, entities: DataFrame, relations: DataFrame, least_hot: int = skew.LEAST) -> DataFrame:
-    """``orphan_references`` of the memory graph: entities and relations against memories and entities."""
-    refs = reference_rows(entities, "memory_entities", {"memory_key": "memories"}).unionByName(
+def memory_references(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """``reference_rows`` of the memory graph: entities and relations, to memories and entities."""
+    return reference_rows(entities, "memory_entities", {"memory_key": "memories"}).unionByName(
         reference_rows(relations, "memory_relations", {"source_memory_key": "memories", "src_entity_id": "entities", "dst_entity_id": "entities"})
     )
-    state = key_counts(
-        reference_deltas(refs),
+
+
+def memory_state(memories: DataFrame, snapshots: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """Counts of the memory graph with every row of the tables as an insertion; snapshots only tell what was seen."""
+    return key_counts(
+        reference_deltas(memory_references(entities, relations)),
         existence_deltas(memories, "storage_key", "memories"),
         existence_deltas(entities, "id", "entities"),
         existence_deltas(snapshots, "storage_key", "memories", sign=0),
     )
-    return orphan_references(refs, state, least_hot)
+
+
+def memory_orphans(memories: DataFrame, snapshots: DataFrame, entities: DataFrame, relations: DataFrame, least_hot: int = skew.LEAST) -> DataFrame:
+    """``orphan_references`` of the memory graph: entities and relations against memories and entities."""
+    return orphan_references(memory_references(entities, relations), memory_state(memories, snapshots, entities, relations), least_hot)
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:

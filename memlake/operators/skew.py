@@ -1,56 +1,86 @@
-"""Hot keys: found exactly, split by salt.
+"""Hot keys: found exactly by partial counts, divided into shares that a task can hold.
 
-A key is hot when it holds at least ``max(least, total / 1000)`` rows, so by the
-pigeonhole principle there are at most 1000 of them at any size of the input.
-That bound is what makes it safe to collect or broadcast the list.
+A key is hot when it holds more than ``least`` rows, which is what one task should
+hold; it is divided into one share per ``least`` rows, so shares stay of one size
+however large the input. Hot keys are kept as (64-bit hash, number of shares), twelve
+bytes each. By the pigeonhole principle there are at most total / threshold of them;
+the threshold rises above ``least`` only where that would pass ``MAX_HOT`` (beyond
+``least * MAX_HOT`` = 10^10 rows), so the list that is sent to all tasks is never longer
+than ``MAX_HOT``. A cold key that shares a hot key's hash is divided needlessly, no more.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_HOT = 1000
+MAX_HOT = 100_000
 LEAST = 100_000
-SALTS = 64
+
+
+@dataclass(frozen=True)
+class HotKeys:
+    """``table``: (_hot, salts), at most ``MAX_HOT`` rows; ``n`` is their number."""
+
+    table: DataFrame
+    n: int
 
 
 def hot_threshold(total: int, least: int = LEAST) -> int:
     return max(least, -(-total // MAX_HOT))
 
 
-def hot_keys(df: DataFrame, key: str, least: int = LEAST, total: int | None = None) -> list:
-    """Values of ``key`` that hold at least ``hot_threshold`` rows; at most 1000. Nulls are never hot.
+def from_counts(counts: DataFrame, key: str, total: int, least: int = LEAST) -> HotKeys | None:
+    """Hot keys of a table (``key``, n) with one row per key; None if there is none."""
+    if total < least:
+        return None
+    hot = counts.where(F.col(key).isNotNull() & (F.col("n") >= hot_threshold(total, least)))
+    rows = hot.select(F.xxhash64(key).alias("_hot"), F.ceil(F.col("n") / least).cast("int").alias("salts")).toArrow()  # at most MAX_HOT rows
+    if not rows.num_rows:
+        return None
+    table = counts.sparkSession.createDataFrame(rows).groupBy("_hot").agg(F.max("salts").alias("salts"))
+    return HotKeys(table, rows.num_rows)
+
+
+def hot_keys(df: DataFrame, key: str, least: int = LEAST, total: int | None = None) -> HotKeys | None:
+    """Values of ``key`` that hold at least ``hot_threshold`` rows. Nulls are never hot.
 
     Fewer rows than ``least`` in all cannot have one, which saves the aggregation.
-    ``total`` is the number of rows, where known.
+    ``total`` is the number of rows (or an upper bound of it), where known.
     """
     df = df.select(key)
     total = df.count() if total is None else total
     if total < least:
-        return []
-    n = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    return [r[0] for r in n.where(F.col("n") >= hot_threshold(total, least)).select(key).collect()]
+        return None
+    return from_counts(df.groupBy(key).agg(F.count("*").alias("n")), key, total, least)
+
 
+def mark(df: DataFrame, key: str, hot: HotKeys | None) -> DataFrame:
+    """Adds ``salts``: the number of shares of a hot key, null for all others."""
+    if hot is None:
+        return df.withColumn("salts", F.lit(None).cast("int"))
+    return df.withColumn("_hot", F.xxhash64(key)).join(F.broadcast(hot.table), "_hot", "left").drop("_hot")
 
-def salt(key: str, by: Column, hot: list, salts: int = SALTS) -> Column:
-    """0, or for hot keys a number under ``salts`` drawn from ``by``."""
-    if not hot:
-        return F.lit(0)
-    return F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).otherwise(0)
+
+def salt(df: DataFrame, key: str, by: Column, hot: HotKeys | None) -> DataFrame:
+    """Adds ``salt``: 0, or for hot keys the share that ``by`` falls into."""
+    if hot is None:
+        return df.withColumn("salt", F.lit(0))
+    share = F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col("salts").cast("long")).cast("int"))
+    return mark(df, key, hot).withColumn("salt", share).drop("salts")
 
 
-def replicate(df: DataFrame, key: str, hot: list, salts: int = SALTS) -> DataFrame:
-    """Adds ``salt``: every row once with 0, rows of hot keys once per salt."""
-    if not hot:
+def replicate(df: DataFrame, key: str, hot: HotKeys | None) -> DataFrame:
+    """Adds ``salt``: every row once with 0, rows of hot keys once per share."""
+    if hot is None:
         return df.withColumn("salt", F.lit(0))
-    each = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    return df.withColumn("salt", F.explode(each))
+    return mark(df, key, hot).withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
 
 
-def salted_join(big: DataFrame, small: DataFrame, key: str, by: Column, hot: list, how: str = "inner") -> DataFrame:
+def salted_join(big: DataFrame, small: DataFrame, key: str, by: Column, hot: HotKeys | None, how: str = "inner") -> DataFrame:
     """Join on ``key`` where ``small`` has one row per key and ``big`` may hold hot ones."""
-    if not hot:
+    if hot is None:
         return big.join(small, key, how)
-    left = big.withColumn("salt", salt(key, by, hot))
-    return left.join(replicate(small, key, hot), [key, "salt"], how).drop("salt")
+    return salt(big, key, by, hot).join(replicate(small, key, hot), [key, "salt"], how).drop("salt")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from memlake.operators import history, orphans
-from memlake.sources.tables import table
+from memlake.sources.tables import Scratch, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -20,7 +20,27 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(p4_found(spark, d))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_report": p4_report}
+def _cleared(spark: SparkSession, d: str, again: bool) -> DataFrame:
+    """Orphans from a maintained state: all rows inserted, then the memories of the largest namespace removed, and perhaps inserted again."""
+    memories, snapshots, entities, relations = (table(spark, d, t) for t in ("memories", "memory_snapshots", "memory_entities", "memory_relations"))
+    scratch = Scratch(spark, "orphan_state")
+    state = scratch.write(orphans.memory_state(memories, snapshots, entities, relations))
+    gone = memories.where("namespace = 'default'")
+    state = scratch.write(orphans.key_counts(state, orphans.existence_deltas(gone, "storage_key", "memories", sign=-1)))
+    if again:
+        state = scratch.write(orphans.key_counts(state, orphans.existence_deltas(gone, "storage_key", "memories")))
+    return orphans.orphan_references(orphans.memory_references(entities, relations), state)
+
+
+def p4_state_removed(spark: SparkSession, d: str) -> DataFrame:
+    return _cleared(spark, d, False)
+
+
+def p4_state_restored(spark: SparkSession, d: str) -> DataFrame:
+    return _cleared(spark, d, True)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_report, p4_state_removed, p4_state_restored)}
 
 _START = "epoch_us(case when updated_at is not null and (created_at is null or updated_at >= created_at) then updated_at else created_at end)"
 _STATE = "content_hash, type, tier, confidence, paused"
@@ -66,5 +86,8 @@ select distinct tbl, ref_field, row_id, kind, strftime(created_at at time zone '
 ORACLE = {
     "p1_found": P1_SQL,
     "p4_found": P4_SQL,
+    # the removed memories stay known: they were seen
+    "p4_state_removed": P4_SQL.replace("from memories where", "from memories where namespace <> 'default' and").replace("from memory_snapshots where storage_key is not null", "from (select storage_key from memory_snapshots union all select storage_key from memories where namespace = 'default') where storage_key is not null"),
+    "p4_state_restored": P4_SQL,
     "p4_report": f"select tbl, ref_field, kind, ref_month, count(*) n_refs from ({P4_SQL}) group by all",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -35,12 +36,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset a folder of this machine serves a local master (tests); on a
+    cluster executors would each write to their own disk, so there it is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="memlake-"))
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="memlake-"))
     return spark.sparkContext.getCheckpointDir()
 
 
@@ -53,16 +59,28 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Folders of scratch tables that are still there.
+_HELD: set[str] = set()
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes every scratch table; for long sessions, once the results that read them have been consumed."""
+    while _HELD:
+        _delete(spark, _HELD.pop())
+
+
 class Scratch:
     """Written tables that cut lineage: they outlive lost executors, unlike cached or locally checkpointed data.
 
-    ``write`` returns the table read back. ``drop`` deletes what is no longer
-    needed; the rest goes when the driver process ends.
+    ``write`` returns the table read back. ``drop`` deletes what is no longer needed.
+    Results are lazy and read these tables, so the rest stays until ``release`` or the end
+    of the driver process.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_dir(spark)}/memlake/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        _HELD.add(self.base)
         atexit.register(_delete, spark, self.base)
 
     def write(self, df: DataFrame, files: int | None = None) -> DataFrame:
@@ -75,3 +93,8 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         _delete(self.spark, df._memlake_path)
+
+    def settle(self) -> None:
+        """Lets Spark remove the shuffle files of finished stages, which nothing needs once their result is written."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()

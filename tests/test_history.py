@@ -115,5 +115,27 @@ def test_counts_from_changes(spark):
     second = orphans.key_counts(first, orphans.existence_deltas(mem, "storage_key", "memories"))
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, second.collect()))
     gone = orphans.key_counts(second, orphans.existence_deltas(mem.where("storage_key = 'M1'"), "storage_key", "memories", sign=-1))
-    assert [r.exist for r in gone.where("key = 'memories:m1'").collect()] == [0]
+    assert [r.exist for r in gone.where("key = 'memories:m1' and born_us is not null").collect()] == [0]
     assert "memories:m1" in {r.key for r in orphans.orphan_keys(gone).collect()}
+
+
+def test_removed_target_makes_references_in_between_late(spark):
+    day = lambda n: T0 + timedelta(days=n)
+    refs = orphans.reference_rows(spark.createDataFrame([(1, "m1", day(5))], "id long, memory_key string, created_at timestamp"), "t", {"memory_key": "memories"})
+    mem = lambda n: spark.createDataFrame([("M1 ", day(n))], "storage_key string, created_at timestamp")
+    delta = lambda df, sign: orphans.existence_deltas(df, "storage_key", "memories", sign=sign)
+    kinds = lambda state: [r.kind for r in orphans.orphan_references(refs, state).collect()]
+    state = orphans.key_counts(orphans.reference_deltas(refs), delta(mem(1), 1))
+    assert kinds(state) == []
+    state = orphans.key_counts(state, delta(mem(1), -1))
+    assert kinds(state) == ["deleted"]
+    state = orphans.key_counts(state, delta(mem(9), 1))
+    assert kinds(state) == ["late"]
+
+
+def test_snapshots_without_a_start_count_for_the_last_period_of_a_hot_entity(spark):
+    rows = [("k", "n", T0 + timedelta(days=9, minutes=i), T0, "a", i % 3, 0.5, "x", False, 1, T0, T0 + timedelta(minutes=i), 0) for i in range(60)]
+    rows += [("k", "n", T0 + timedelta(days=90), T0, "a", 1, 0.5, "x", False, 1, None, None, 0)]
+    got = history.validity_periods(spark.createDataFrame(rows, SNAP), spark.createDataFrame([], MEM), least_hot=10)
+    assert {tuple(r) for r in got.collect()} == brute(rows, [])
+    assert max(r.valid_to_us for r in got.collect()) == us(T0 + timedelta(days=90))
