@@ -31,6 +31,11 @@ def p5_classes(spark: SparkSession, d: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, d, "memories"))[0].withColumn("similarity", F.round("similarity", 9))
 
 
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every record with its class of equal texts, its group of linked classes and its number of links."""
+    return near_dups.near_groups(table(spark, d, "memories"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.find_items(table(spark, d, "memories"), table(spark, d, "name_parts")).select("mem_key", "text_field", "kind", "pii").distinct()
 
@@ -65,7 +70,7 @@ CAPACITY, LIMIT, OVERLAP = 2048, 512, 64
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_labels, p3_found, p5_found, p5_classes, p6_found, p6_redacted, p7_found, p8_ids, p9_packed, p9_report, p10_pieces)}
+    return {f.__name__: f for f in (p2_found, p2_labels, p3_found, p5_found, p5_classes, p5_groups, p6_found, p6_redacted, p7_found, p8_ids, p9_packed, p9_report, p10_pieces)}
 
 
 P3_SQL = r"""
@@ -81,14 +86,31 @@ select n as namespace, form, seen grp from r
 """
 
 
-P5_SQL = r"""
-with m as (select distinct storage_key k, namespace ns, content, raw_text from memories where storage_key is not null),
+_P5_TEXTS = r"""
+m as (select distinct storage_key k, namespace ns, content, raw_text from memories where storage_key is not null),
 t as (select k, ns, 'content' f, content x from m union all select k, ns, 'raw_text', raw_text from m),
-n as (select k, ns, f, trim(regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g')) s from t where x is not null),
-g as (select k, ns, f, replace(s, ' ', '') tight, list_distinct(list_transform(range(1, length(s) - 2), lambda i: substr(s, i, 4))) g from n where length(s) >= 4)
-select a.f text_field, a.k key_a, b.k key_b from g a join g b on a.f = b.f and a.ns is not distinct from b.ns and a.k < b.k and a.tight <> b.tight
+n as (select k, ns, f, trim(regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g')) s from t where x is not null)"""
+_P5_GRAMS = "replace(s, ' ', '') tight, list_distinct(list_transform(range(1, length(s) - 2), lambda i: substr(s, i, 4))) g"
+_P5_LINK = """a.f = b.f and a.ns is not distinct from b.ns and a.k < b.k and a.tight <> b.tight
  and least(len(a.g), len(b.g)) >= 0.7 * greatest(len(a.g), len(b.g))
-where len(list_intersect(a.g, b.g)) >= 0.7 * (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))
+where len(list_intersect(a.g, b.g)) >= 0.7 * (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))"""
+P5_SQL = f"""
+with {_P5_TEXTS}, g as (select k, ns, f, {_P5_GRAMS} from n where length(s) >= 4)
+select a.f text_field, a.k key_a, b.k key_b from g a join g b on {_P5_LINK}
+"""
+#: Classes of equal texts, and the links between them.
+_P5_CLASSES = f"""{_P5_TEXTS}, c as (select min(k) k, ns, f, s from n where s <> '' group by ns, f, s), g as (select k, ns, f, {_P5_GRAMS} from c where length(s) >= 4),
+l as (select a.f f, a.k x, b.k y, len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))::double sim from g a join g b on {_P5_LINK})"""
+P5_CLASSES_SQL = f"with {_P5_CLASSES} select f text_field, x rep_a, y rep_b, round(sim, 9) similarity from l"
+P5_GROUPS_SQL = f"""
+with recursive {_P5_CLASSES}, e as (select f, x, y from l union all select f, y, x from l),
+r(f, k, seen) using key (f, k) as (
+  select f, k, k from c
+  union
+  select e.f, e.y, min(r.seen) from r join e on e.f = r.f and e.x = r.k join recurring.r q on q.f = e.f and q.k = e.y where r.seen < q.seen group by e.f, e.y),
+d as (select f, x k, count(*) n from e group by f, x)
+select n.f text_field, n.k mem_key, c.k rep, r.seen grp, coalesce(d.n, 0)::bigint n_links
+from n join c on c.f = n.f and c.ns is not distinct from n.ns and c.s = n.s join r on r.f = c.f and r.k = c.k left join d on d.f = c.f and d.k = c.k
 """
 
 
@@ -112,4 +134,4 @@ select k mem_key, grp_key, n_copies from (select k, min(k) over w grp_key, count
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_SQL, "p5_found": P5_SQL, "p7_found": _p7_sql()}
+    return {"p3_found": P3_SQL, "p5_found": P5_SQL, "p5_classes": P5_CLASSES_SQL, "p5_groups": P5_GROUPS_SQL, "p7_found": _p7_sql()}

@@ -7,7 +7,7 @@ When no edge is left, the maps of all rounds are composed backwards, from the sm
 to the large, so the expansion costs no more than the contraction did.
 
 Maps and edges of each round are written tables in the shared folder; nothing is
-collected but row counts. Hot vertices (at most 1000, see ``skew``) are salted.
+collected but row counts. Hot vertices (see ``skew``) are salted.
 """
 
 from __future__ import annotations
@@ -25,41 +25,37 @@ def _order(v: Column, seed: int) -> Column:
 
 
 def _hooks(edges: DataFrame, seed: int) -> DataFrame:
-    """(v, r): the first vertex in this round's hash order among v and its neighbours."""
+    """(v, r, n): the first vertex in this round's hash order among v and its neighbours, and v's degree."""
     both = F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("o")), F.struct(F.col("b").alias("v"), F.col("a").alias("o")))
     near = edges.select(F.explode(both).alias("x")).select("x.v", "x.o")
-    best = near.groupBy("v").agg(F.min(_order(F.col("o"), seed)).alias("m"))
-    return best.select("v", F.least("m", _order(F.col("v"), seed))["r"].alias("r"))
+    best = near.groupBy("v").agg(F.min(_order(F.col("o"), seed)).alias("m"), F.count("*").alias("n"))
+    return best.select("v", F.least("m", _order(F.col("v"), seed))["r"].alias("r"), "n")
 
 
-def _relabel(edges: DataFrame, hooks: DataFrame, n: int, least_hot: int) -> DataFrame:
+def _relabel(edges: DataFrame, hooks: DataFrame, hot: skew.HotKeys | None) -> DataFrame:
     for c in ("a", "b"):
-        hot = skew.hot_keys(edges, c, least_hot, n)
         to = hooks.select(F.col("v").alias(c), F.col("r").alias("to"))
         edges = skew.salted_join(edges, to, c, F.col("b" if c == "a" else "a"), hot).drop(c).withColumnRenamed("to", c)
     return edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def contract(spark, edges: DataFrame, scratch: Scratch, seed: int = 1, least_hot: int = skew.LEAST, rounds: int = 200) -> DataFrame | None:
+def contract(spark, edges: DataFrame, scratch: Scratch, seed: int = 1, least_hot: int = skew.LEAST) -> DataFrame | None:
     """(v, root) of every vertex with at least one edge (a, b); None if there is no edge.
 
     ``edges`` holds distinct pairs a < b. The expected number of vertices falls by a
-    constant factor a round; running out of ``rounds`` (practically impossible) raises.
+    constant factor a round, so the rounds end with certainty; there is no cap on them.
     """
     edges, maps = scratch.write(edges), []
     n = edges.count()
-    for i in range(rounds):
-        if not n:
-            break
-        files = max(1, n // 1_000_000)
-        hooks = scratch.write(_hooks(edges, seed + i), None if files > 64 else files)
-        after = scratch.write(_relabel(edges, hooks, n, least_hot), None if files > 64 else files)
+    while n:
+        hooks = scratch.write(_hooks(edges, seed + len(maps)))
+        # the degrees that hooking counted anyway tell the hot vertices of both columns
+        hot = skew.from_counts(hooks, "v", 2 * n, least_hot)
+        after = scratch.write(_relabel(edges, hooks, hot))
         scratch.drop(edges)
         maps.append((hooks, 2 * n))
         edges, n = after, after.count()
-    else:
-        if n:
-            raise RuntimeError(f"{n} edges are left after {rounds} rounds")
+    scratch.drop(edges)
     if not maps:
         return None
     roots = maps[-1][0].select("v", F.col("r").alias("root"))
@@ -68,7 +64,7 @@ def contract(spark, edges: DataFrame, scratch: Scratch, seed: int = 1, least_hot
         hooks, most = maps[k]
         hot = skew.hot_keys(hooks, "r", least_hot, 0 if most < least_hot else None)
         on = roots.select(F.col("v").alias("r"), "root")
-        step = skew.salted_join(hooks, on, "r", F.col("v"), hot, "left").select("v", F.coalesce("root", "r").alias("root"))
+        step = skew.salted_join(hooks.select("v", "r"), on, "r", F.col("v"), hot, "left").select("v", F.coalesce("root", "r").alias("root"))
         roots = scratch.write(step) if k % 4 == 0 and k else step
     return roots
 

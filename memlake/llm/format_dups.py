@@ -1,8 +1,8 @@
 """Duplicates hidden by formatting (problem 7).
 
 Canonical keys with many rows are found exactly by partial counts; their rows are
-salted into a two-level aggregation, whose result (at most 1000 groups) is sent to
-all tasks. All other rows meet in one shuffle on the canonical key, where a window
+salted into a two-level aggregation, whose result (at most ``skew.MAX_HOT`` groups) is
+sent to all tasks. All other rows meet in one shuffle on the canonical key, where a window
 gives each its group's smallest identifier and size.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions.text import letters_digits
 from memlake.operators import skew
+from memlake.sources.tables import Scratch
 
 _NAME = r"[\p{L}_][\p{L}\p{N}_.-]*"
 #: What may stand between the fields of a list, most distinctive first, and what a value may not hold then.
@@ -61,15 +62,18 @@ def format_copies(df: DataFrame, key: str = "storage_key", content: str = "conte
     rows = rows.where(F.col("mem_key").isNotNull() & F.col("canon").isNotNull())
     named = [x for i in range(len(within)) for x in (F.col(f"_{i}").isNull(), F.col(f"_{i}"))]
     rows = rows.select("mem_key", F.unhex(F.sha2(F.to_json(F.struct(*named, "canon")), 256)).alias("g"))
+    # the canonical form is computed once; 32 bytes a record and its key are what all further steps read
+    rows = Scratch(df.sparkSession, "format_dups").write(rows)
     hot = skew.hot_keys(rows, "g", least_hot)
     by = Window.partitionBy("g")
-    cold = rows.where(~F.col("g").isin(hot)) if hot else rows
+    marked = skew.mark(rows, "g", hot) if hot else rows
+    cold = marked.where("salts is null") if hot else rows
     cold = cold.repartition("g").dropDuplicates(["g", "mem_key"])
     out = cold.select("mem_key", F.min("mem_key").over(by).alias("grp_key"), F.count("*").over(by).alias("n_copies")).where(F.col("n_copies") > 1)
     if hot:
-        warm = rows.where(F.col("g").isin(hot)).dropDuplicates(["g", "mem_key"])
-        part = warm.groupBy("g", F.pmod(F.xxhash64("mem_key"), F.lit(skew.SALTS)).alias("salt")).agg(F.min("mem_key").alias("grp_key"), F.count("*").alias("n"))
+        warm = marked.where("salts is not null").dropDuplicates(["g", "mem_key"])
+        part = warm.groupBy("g", F.pmod(F.xxhash64("mem_key"), F.col("salts").cast("long")).alias("salt")).agg(F.min("mem_key").alias("grp_key"), F.count("*").alias("n"))
         whole = part.groupBy("g").agg(F.min("grp_key").alias("grp_key"), F.sum("n").alias("n_copies"))
-        joined = warm.join(F.broadcast(whole), "g").where(F.col("n_copies") > 1)  # at most 1000 rows, see skew
+        joined = warm.join(F.broadcast(whole), "g").where(F.col("n_copies") > 1)  # at most skew.MAX_HOT rows
         out = out.unionByName(joined.select("mem_key", "grp_key", "n_copies"))
     return out

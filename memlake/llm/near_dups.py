@@ -9,16 +9,19 @@ loses a pair:
 - length: t |y| <= |x|;
 - position: shared n-grams count only within the prefixes that the pair's sizes allow;
 - count: min(L, a) of them must be shared;
-- suffix: n-grams counted in slices of the hash space bound the overlap before it is computed.
+- suffix: the sorted n-grams of both texts are divided at a pivot of one, and again; on each
+  side the sets differ by at least their difference in size, which bounds the overlap.
 
 Each surviving pair is verified once on the exact n-grams of the whole texts.
 
-Equal texts form one class before anything else; classes are joined, and members
-come back at the end. Only texts of one namespace and field meet. A group of at most
-``LOCAL_CHARS`` characters is joined within one task. Of larger groups the prefix
-n-grams are spread over buckets, packed, 7 bytes each, ordered by counts over all
-their texts, and the shared n-grams of a pair are added up over the buckets.
-Posting lists are walked in blocks of bounded size.
+There is one path for all sizes. Equal texts form one class before anything else;
+classes are joined, and members come back at the end. Only texts of one namespace and
+field meet. Prefix n-grams are spread over buckets by hash, whatever namespace they are
+of, so a namespace with a third of all texts is spread like any other; n-grams with
+more postings than ``SPLIT`` are divided into shares that meet pairwise. Posting lists
+are walked in blocks of bounded size, and the shared n-grams of a pair are added up
+over the buckets, in parts of bounded size. A bucket holds 5 bytes per n-gram and 5 per
+text; pairs travel as compressed columns; texts only for pairs that passed.
 """
 
 from __future__ import annotations
@@ -30,21 +33,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memlake.llm import components
 from memlake.operators import skew
 from memlake.sources.tables import Scratch
 
 GRAM = 4
-CELLS = 1 << 18
+#: Cells of the table of n-gram counts that the order follows, and parts it is added up in.
+CELL_BITS = 18
+CELLS = 1 << CELL_BITS
 SEGMENTS = 16
 BATCH = 4096
-#: Prefix entries that one bucket should hold, and matches made at a time.
-BUCKET, BLOCK = 1_500_000, 1_000_000
+#: Prefix entries that one bucket should hold, matches made at a time, and pairs held before they are passed on.
+BUCKET, BLOCK, HELD = 3_000_000, 1_000_000, 4_000_000
+#: Postings of one n-gram that meet in one bucket; more are divided into shares.
+SPLIT = 1_000_000
 #: n-grams that the prefixes of a pair must share.
-SHARED = 12
-#: Characters of a group that is joined within one task.
-LOCAL_CHARS = 12_000_000
+SHARED = 4
+#: Parts that the pairs of one partition are added up in, one at a time.
+PARTS = 8
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _EPS = 1e-9
+_HASH = np.uint64((1 << 52) - 1)
 
 
 def normal(c):
@@ -67,29 +76,34 @@ def _gram_hashes(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     return owner[: len(h)][whole], h[whole] * _M2
 
 
-def _ordered_sets(texts: list[str], n: int, freq: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+def _cell(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(CELLS - 1)).astype(np.int64)
+
+
+def _ordered_sets(texts: list[str], n: int, rank: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """(text number, 52-bit key) of the distinct n-grams, by text and then rarest first.
 
-    The key is 16 bits of frequency (saturated) and 36 bits of hash.
+    The key is the rank of the n-gram's cell by frequency and the hash bits that do not tell
+    the cell: 52 bits that tell n-grams apart. Without ``rank`` cells are in order of number.
     """
     owner, h = _gram_hashes(texts, n)
-    f = np.minimum(freq[(h & np.uint64(CELLS - 1)).astype(np.int64)], 65535).astype(np.uint64) if freq is not None else np.uint64(0)
-    key = owner.astype(np.uint64) << np.uint64(52) | f << np.uint64(36) | h >> np.uint64(28)
+    cell = _cell(h)
+    first = (cell if rank is None else rank[cell]).astype(np.uint64) << np.uint64(52 - CELL_BITS)
+    key = owner.astype(np.uint64) << np.uint64(52) | first | h >> np.uint64(12 + CELL_BITS)
     key.sort()
     key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
-    return (key >> np.uint64(52)).astype(np.int64), key & np.uint64((1 << 52) - 1)
+    return (key >> np.uint64(52)).astype(np.int64), key & _HASH
 
 
 def _frequencies(texts: DataFrame, n: int) -> np.ndarray:
-    """Number of texts per hash cell of their n-grams, over all texts: CELLS numbers whatever the input."""
+    """Number of occurrences per hash cell of the n-grams, over all texts: CELLS numbers whatever the input."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
         for batch in batches:
             for at in range(0, len(batch), BATCH):
-                owner, h = _gram_hashes(batch.slice(at, BATCH).column(0).to_pylist(), n)
-                cell = owner * CELLS + (h & np.uint64(CELLS - 1)).astype(np.int64)
-                total += np.bincount(np.unique(cell) % CELLS, minlength=CELLS)
+                _, h = _gram_hashes(batch.slice(at, BATCH).column(0).to_pylist(), n)
+                total += np.bincount(_cell(h), minlength=CELLS)
         parts = np.split(total, SEGMENTS)
         yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["seg", "counts"])
 
@@ -111,99 +125,128 @@ def _frequencies(texts: DataFrame, n: int) -> np.ndarray:
     return total
 
 
-def _prefix_entries(texts: DataFrame, n: int, t: float, buckets: int, freq) -> DataFrame:
-    """(bucket, entries): the prefix n-grams of all texts, packed by bucket.
+def _needed(x: np.ndarray, y: np.ndarray, t: float) -> np.ndarray:
+    """Overlap of two sets of these sizes at similarity t."""
+    return np.ceil(t / (1 + t) * (x + y) - _EPS).astype(np.int64)
+
+
+def _prefix(size: np.ndarray, t: float) -> np.ndarray:
+    return np.minimum(size, size - np.ceil(t * size - _EPS).astype(np.int64) + SHARED)
+
+
+def _packed(base: int, idx: np.ndarray, size: np.ndarray, count: np.ndarray, token: np.ndarray, pos: np.ndarray, wide: bool, side: int) -> bytes:
+    """One blob: texts ``base`` + idx with their set sizes and numbers of n-grams, then the n-grams and their places."""
+    head = np.array([base, len(idx), int(wide), side], np.int64).tobytes()
+    s, c = (np.uint32, np.uint32) if wide else (np.uint16, np.uint8)
+    return head + idx.astype(np.uint16).tobytes() + size.astype(s).tobytes() + count.astype(c).tobytes() + token.astype(np.uint32).tobytes() + pos.astype(c).tobytes()
+
 
-    ``entries`` holds, for the texts with n-grams in the bucket, id (8 bytes), set size
-    (4) and number of n-grams (2), then per n-gram 6 bytes of hash and its position (1, saturated).
+def _unpacked(raw: bytes) -> tuple[np.ndarray, ...]:
+    """(text id, size, token, place, side) of the n-grams of a blob."""
+    base, n, wide, side = np.frombuffer(raw, np.int64, 4).tolist()
+    s, c = (np.uint32, np.uint32) if wide else (np.uint16, np.uint8)
+    at, out = 32, []
+    for kind in (np.uint16, s, c):
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    idx, size, count = (x.astype(np.int64) for x in out)
+    m = int(count.sum())
+    token = np.frombuffer(raw, np.uint32, m, at)
+    pos = np.frombuffer(raw, c, m, at + 4 * m)
+    return np.repeat(base + idx, count), np.repeat(size, count), token, pos.astype(np.int64), np.full(m, side, np.int8)
+
+
+def _prefix_entries(texts: DataFrame, n: int, t: float, buckets: int, shared) -> DataFrame:
+    """(bucket, entries): the prefix n-grams of all texts, packed by bucket (``_packed``).
+
+    An n-gram whose cell has more than one share is divided: a text is of one of k shares
+    and goes to the buckets of all pairs of shares that hold its own, on side 1 or 2 where
+    the two differ; only different sides meet there, so two texts meet exactly once.
     """
 
+    def rows_of(ids: np.ndarray, group: np.ndarray, norms: list[str]) -> Iterator[tuple[int, bytes]]:
+        rank, shares = shared.value
+        owner, key = _ordered_sets(norms, n, rank)
+        size = np.bincount(owner, minlength=len(norms))
+        pos = np.arange(len(key)) - (np.cumsum(size) - size)[owner]
+        prefix = _prefix(size, t)
+        held = pos < prefix[owner]
+        owner, pos, key = owner[held], pos[held], key[held]
+        token = (key ^ group[owner]) * _M3
+        token ^= token >> np.uint64(31)
+        side = np.zeros(len(token), np.int8)
+        k = shares[(key >> np.uint64(52 - CELL_BITS)).astype(np.int64)]  # by rank
+        heavy = np.flatnonzero(k > 1)
+        if len(heavy):
+            n_of = k[heavy].astype(np.int64)
+            mine = ((ids[owner[heavy]].astype(np.uint64) * _M1) >> np.uint64(33)).astype(np.int64) % n_of
+            who = np.repeat(heavy, n_of)
+            other = np.arange(len(who)) - np.repeat(np.cumsum(n_of) - n_of, n_of)
+            mine = np.repeat(mine, n_of)
+            lo, hi = np.minimum(mine, other), np.maximum(mine, other)
+            again = (token[who] ^ (lo.astype(np.uint64) << np.uint64(32) | hi.astype(np.uint64))) * _M1
+            again ^= again >> np.uint64(29)
+            light = np.flatnonzero(k <= 1)
+            side = np.concatenate([side[light], np.where(lo == hi, 0, np.where(mine == lo, 1, 2)).astype(np.int8)])
+            owner, pos, token = np.concatenate([owner[light], owner[who]]), np.concatenate([pos[light], pos[who]]), np.concatenate([token[light], again])
+        bucket = ((token >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+        wide = (prefix > 255)[owner]
+        kind = bucket * 6 + side * 2 + wide  # one blob each
+        order = np.argsort(kind * len(norms) + owner, kind="stable")
+        owner, pos, token, kind = owner[order], pos[order], token[order], kind[order]
+        edge = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1], [True]])) if len(kind) else np.zeros(1, np.int64)
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            who, n_of = np.unique(owner[lo:hi], return_counts=True)
+            b, rest = divmod(int(kind[lo]), 6)
+            yield b, _packed(int(ids[0]), ids[who] - ids[0], size[who], n_of, token[lo:hi] & np.uint64(0xFFFFFFFF), pos[lo:hi], bool(rest % 2), rest // 2)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = freq.value
         for batch in batches:
-            for at in range(0, len(batch), BATCH):
-                some = batch.slice(at, BATCH)
-                owner, key = _ordered_sets(some.column(2).to_pylist(), n, table)
-                if not len(key):
-                    continue
-                ids, group = some.column(0).to_numpy().view(np.uint64), some.column(1).to_numpy().view(np.uint64)
-                size = np.bincount(owner, minlength=len(some))
-                start = np.concatenate([[0], np.cumsum(size)[:-1]])
-                pos = np.arange(len(key)) - start[owner]
-                held = pos < _prefix(size, t)[owner]
-                owner, pos = owner[held], pos[held]
-                token = ((key[held] & np.uint64((1 << 36) - 1)) ^ group[owner]) * _M3
-                token ^= token >> np.uint64(31)
-                bucket = ((token >> np.uint64(48)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket * len(some) + owner, kind="stable")
-                owner, pos, token, bucket = owner[order], pos[order], token[order], bucket[order]
-                packed = np.empty((len(token), 7), np.uint8)
-                packed[:, :6] = token.view(np.uint8).reshape(-1, 8)[:, :6]
-                packed[:, 6] = np.minimum(pos, 255)
-                rows_b, rows_e = [], []
-                edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-                for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                    who, n_of = np.unique(owner[lo:hi], return_counts=True)
-                    head = np.array([len(who)], np.int64).tobytes()
-                    rows_b.append(int(bucket[lo]))
-                    rows_e.append(head + ids[who].tobytes() + size[who].astype(np.uint32).tobytes() + n_of.astype(np.uint32).tobytes() + packed[lo:hi].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(rows_b, pa.int32()), pa.array(rows_e, pa.binary())], ["bucket", "entries"])
+            ids = batch.column(0).to_numpy()
+            group = batch.column(1).to_numpy().view(np.uint64)
+            # runs of consecutive ids, of bounded length
+            cut = np.union1d(np.flatnonzero(np.diff(ids) != 1) + 1, np.arange(0, len(ids) + BATCH, BATCH))
+            for lo, hi in zip(cut[:-1].tolist(), np.minimum(cut[1:], len(ids)).tolist()):
+                if hi > lo:
+                    rows = list(rows_of(ids[lo:hi], group[lo:hi], batch.column(2).slice(lo, hi - lo).to_pylist()))
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "entries"])
 
     return texts.select("id", "grp", "norm").mapInArrow(run, "bucket int, entries binary")
 
 
-def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
-    ids, sizes, tokens, places = [], [], [], []
-    for raw in blobs:
-        n = int(np.frombuffer(raw, np.int64, 1)[0])
-        who = np.frombuffer(raw, np.uint64, n, 8)
-        size = np.frombuffer(raw, np.uint32, n, 8 + 8 * n)
-        n_of = np.frombuffer(raw, np.uint32, n, 8 + 12 * n)
-        packed = np.frombuffer(raw, np.uint8, -1, 8 + 16 * n).reshape(-1, 7)
-        wide = np.zeros((len(packed), 8), np.uint8)
-        wide[:, :6] = packed[:, :6]
-        tokens.append(wide.view(np.uint64).ravel())
-        places.append(packed[:, 6])
-        ids.append(np.repeat(who, n_of))
-        sizes.append(np.repeat(size, n_of))
-    return tuple(map(np.concatenate, (ids, sizes, tokens, places)))
+def _merged(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs (a, b) in order with the sums of n."""
+    order = np.lexsort((b, a))
+    a, b, n = a[order], b[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.empty(0, np.int64)
+    return a[first], b[first], np.add.reduceat(n, first) if len(first) else n[:0]
 
 
-def _merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    code, n = np.concatenate(codes), np.concatenate(counts)
-    order = np.argsort(code, kind="stable")
-    code, n = code[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-    return code[first], np.add.reduceat(n, first)
-
-
-def _needed(x: np.ndarray, y: np.ndarray, t: float) -> np.ndarray:
-    """Overlap of two sets of these sizes at similarity t."""
-    return np.ceil(t / (1 + t) * (x + y) - _EPS).astype(np.int64)
+def _matches(ids: np.ndarray, size: np.ndarray, token: np.ndarray, pos: np.ndarray, side: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, shared n-grams), a < b: pairs that share n-grams within the prefixes that their sizes allow.
 
-
-def _matches(owner: np.ndarray, size: np.ndarray, token: np.ndarray, pos: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """(owner << 32 | owner, shared n-grams) of the pairs that share n-grams within their prefixes; the smaller set first."""
-    none = np.empty(0, np.int64)
+    A pair may come in several parts. To the count of a pair that needs less than ``SHARED``
+    the difference is added, so one bound holds for all.
+    """
     order = np.argsort(token, kind="stable")
     token = token[order]
     same = token[1:] == token[:-1]
     again = np.concatenate([[False], same]) | np.concatenate([same, [False]])
     order, token = order[again], token[again]
     if not len(token):
-        return none, none
-    owner, size, pos = owner[order], size[order], pos[order]
+        return
+    ids, size, pos, side = ids[order], size[order], pos[order], side[order]
     number = np.cumsum(np.concatenate([[0], token[1:] != token[:-1]]))
     span = int(size.max()) + 2
     order = np.argsort(number * span + size, kind="stable")
-    owner, size, pos, number = owner[order], size[order], pos[order], number[order]
+    ids, size, pos, number, side = ids[order], size[order], pos[order], number[order], side[order]
     # partners of i: those after it in its posting list whose size is at most size / t
     last = np.searchsorted(number * span + size, number * span + np.minimum(np.floor(size / t + _EPS).astype(np.int64), span - 1), side="right")
-    count = last - np.arange(len(owner)) - 1
-    codes, counts, held = [], [], 0
+    count = last - np.arange(len(ids)) - 1
+    parts, held = [], 0
     ends = np.cumsum(count)
     at = 0
-    while at < len(owner):
+    while at < len(ids):
         done = ends[at - 1] if at else 0
         upto = max(at + 1, int(np.searchsorted(ends, done + BLOCK, side="right")))
         # one list longer than a block is itself walked in blocks
@@ -213,157 +256,152 @@ def _matches(owner: np.ndarray, size: np.ndarray, token: np.ndarray, pos: np.nda
             if not len(i):
                 continue
             j = i + 1 + first + np.arange(len(i)) - np.repeat(np.cumsum(part) - part, part)
-            spare = SHARED - _needed(size[i], size[j], t)
-            ok = (pos[i] < np.minimum(size[i] + spare, 255)) | (pos[i] == 255) & (size[i] + spare > 255)
-            ok &= (pos[j] < np.minimum(size[j] + spare, 255)) | (pos[j] == 255) & (size[j] + spare > 255)
-            ok &= owner[i] != owner[j]
+            need = _needed(size[i], size[j], t)
+            ok = (pos[i] < size[i] - need + SHARED) & (pos[j] < size[j] - need + SHARED)
+            ok &= (ids[i] != ids[j]) & ((side[i] == 0) | (side[i] != side[j]))
             if ok.any():
-                code = np.sort(owner[i[ok]] << 32 | owner[j[ok]])
-                first_of = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-                codes.append(code[first_of])
-                counts.append(np.diff(np.append(first_of, len(code))))
-                held += len(first_of)
-                if held > 4 * BLOCK:
-                    code, n = _merged(codes, counts)
-                    codes, counts, held = [code], [n], 0
+                x, y, extra = ids[i[ok]], ids[j[ok]], SHARED - np.minimum(SHARED, need[ok])
+                parts.append(_merged(np.minimum(x, y), np.maximum(x, y), 1 + extra))
+                held += len(parts[-1][0])
+                if held > HELD:
+                    yield _merged(*map(np.concatenate, zip(*parts)))
+                    parts, held = [], 0
         at = upto
-    return _merged(codes, counts) if codes else (none, none)
+    if parts:
+        yield _merged(*map(np.concatenate, zip(*parts)))
 
 
-def _prefix(size: np.ndarray, t: float) -> np.ndarray:
-    return np.minimum(size, size - np.ceil(t * size - _EPS).astype(np.int64) + SHARED)
+_ZSTD = pa.Codec("zstd", 1)
 
 
-def _group_pairs(texts: list[str], n: int, t: float) -> tuple[list[int], list[int], list[float]]:
-    """(i, j, similarity) of the texts of one group that reach the threshold and still differ without blanks."""
-    freq = np.zeros(CELLS, np.int64)
-    for at in range(0, len(texts), BATCH):
-        owner, h = _gram_hashes(texts[at : at + BATCH], n)
-        freq += np.bincount((h & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-    owners, tokens, places, sizes, parts = [], [], [], [], []
-    for at in range(0, len(texts), BATCH):
-        some = texts[at : at + BATCH]
-        owner, key = _ordered_sets(some, n, freq)
-        size = np.bincount(owner, minlength=len(some))
-        parts.append(np.bincount(owner * SLICES + (key & np.uint64(SLICES - 1)).astype(np.int64), minlength=len(some) * SLICES).reshape(-1, SLICES).astype(np.uint16))
-        pos = np.arange(len(key)) - (np.cumsum(size) - size)[owner]
-        held = pos < _prefix(size, t)[owner]
-        owners.append(owner[held] + at)
-        tokens.append(key[held] & np.uint64((1 << 36) - 1))
-        places.append(np.minimum(pos[held], 255))
-        sizes.append(size)
-    owner, size, part = np.concatenate(owners), np.concatenate(sizes), np.concatenate(parts)
-    code, count = _matches(owner, size[owner], np.concatenate(tokens), np.concatenate(places), t)
-    i, j = code >> 32, code & 0xFFFFFFFF
-    need = _needed(size[i], size[j], t)
-    # two of the hashed n-grams may coincide, hence one less
-    ok = count >= np.minimum(SHARED, need) - 1
-    i, j, need = i[ok], j[ok], need[ok]
-    bound = np.concatenate([np.minimum(part[i[k : k + 100_000]], part[j[k : k + 100_000]]).sum(1, dtype=np.int64) for k in range(0, len(i), 100_000)] or [need])
-    ok = bound >= need - 2
-    return _verified(texts, i[ok].tolist(), j[ok].tolist(), n, t)
-
-
-def _verified(texts: list[str], left: list[int], right: list[int], n: int, t: float) -> tuple[list[int], list[int], list[float]]:
-    out: tuple[list, list, list] = ([], [], [])
-    sets: dict[int, frozenset[str]] = {}
-    for i, j in zip(left, right):
-        for k in (i, j):
-            if k not in sets:
-                if len(sets) > 4000:
-                    sets.clear()
-                for m in {i, j} - sets.keys():
-                    s = texts[m]
-                    sets[m] = frozenset([s[q : q + n] for q in range(len(s) - n + 1)])
-        p, q = sets[i], sets[j]
-        common = len(p & q)
-        union = len(p) + len(q) - common
-        if union and common >= t * union - _EPS and texts[i].replace(" ", "") != texts[j].replace(" ", ""):
-            for column, x in zip(out, (i, j, common / union)):
-                column.append(x)
-    return out
-
-
-SLICES = 32
-_PAIR = "text_field string, rep_a string, rep_b string, similarity double"
-
-
-def _local(texts: DataFrame, n: int, t: float) -> DataFrame:
-    """Pairs of groups that fit into a task."""
-
-    def run(group: pa.Table) -> pa.Table:
-        reps, norms, fields = (group.column(c).to_pylist() for c in ("rep", "norm", "text_field"))
-        i, j, sim = _group_pairs(norms, n, t) if len(norms) > 1 else ([], [], [])
-        names = ["text_field", "rep_a", "rep_b", "similarity"]
-        return pa.Table.from_arrays([pa.array([fields[k] for k in i], pa.string()), pa.array([reps[k] for k in i], pa.string()), pa.array([reps[k] for k in j], pa.string()), pa.array(sim, pa.float64())], names)
-
-    return texts.select("grp", "text_field", "rep", "norm").groupBy("grp").applyInArrow(run, _PAIR)
+def _columns(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted pairs as compressed columns: differences of a, b by bytes, counts."""
+    planes = lambda x: np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
+    raw = planes(np.diff(a, prepend=0)) + planes(b) + np.minimum(n, 255).astype(np.uint8).tobytes()
+    return np.array([len(a)], np.int64).tobytes() + _ZSTD.compress(raw, asbytes=True)
+
+
+def _pairs_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    x = np.frombuffer(_ZSTD.decompress(raw[8:], decompressed_size=17 * n, asbytes=True), np.uint8)
+    whole = lambda p: np.ascontiguousarray(p.reshape(8, n).T).view(np.int64).ravel()
+    return np.cumsum(whole(x[: 8 * n])), whole(x[8 * n : 16 * n]), x[16 * n :].astype(np.int64)
 
 
 def _candidates(entries: DataFrame, t: float, buckets: int) -> DataFrame:
     """(a, b): ids of the texts that share enough n-grams within their prefixes, added up over the buckets."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, ...]]] = {}
         for batch in batches:
             for b, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.setdefault(b, []).append(raw)
+                held.setdefault(b, []).append(_unpacked(raw))
         for b in list(held):
-            ids, size, token, pos = _unpack(held.pop(b))
-            who, owner = np.unique(ids, return_inverse=True)
-            code, count = _matches(owner.astype(np.int64), size.astype(np.int64), token, pos.astype(np.int64), t)
-            size_of = np.zeros(len(who), np.int64)
-            size_of[owner] = size
-            i, j = code >> 32, code & 0xFFFFFFFF
-            need = np.minimum(SHARED, _needed(size_of[i], size_of[j], t)) - 1
-            a, b_ = who[i].view(np.int64), who[j].view(np.int64)
-            for k in range(0, len(code), 100_000):
-                x, y = a[k : k + 100_000], b_[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(count[k : k + 100_000].astype(np.int32)), pa.array(need[k : k + 100_000].astype(np.int32))], ["a", "b", "c", "need"])
-
-    rows = entries.repartitionById(buckets, F.col("bucket")).mapInArrow(run, "a long, b long, c int, need int")
-    return rows.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need")).where("c >= need").select("a", "b")
+            for x, y, n in _matches(*map(np.concatenate, zip(*held.pop(b))), t):
+                part = ((x.astype(np.uint64) * _M3) >> np.uint64(33)).astype(np.int64) % (buckets * PARTS)
+                order = np.argsort(part, kind="stable")
+                x, y, n, part = x[order], y[order], n[order], part[order]
+                edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])).tolist()
+                blobs = [_columns(x[lo:hi], y[lo:hi], n[lo:hi]) for lo, hi in zip(edge[:-1], edge[1:])]
+                at = pa.array(part[edge[:-1]])
+                yield pa.RecordBatch.from_arrays([pa.array(part[edge[:-1]] % buckets, pa.int32()), at, pa.array(blobs, pa.binary())], ["bucket", "part", "pairs"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, []  # rows are sorted by part; one part is held at a time
+
+        def enough() -> pa.RecordBatch:
+            a, b, n = _merged(*map(np.concatenate, zip(*own)))
+            ok = n >= SHARED
+            return pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
+
+        for batch in batches:
+            for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if part != at and own:
+                    yield enough()
+                    own = []
+                at = part
+                own.append(_pairs_of(raw))
+        if own:
+            yield enough()
+
+    parts = entries.repartitionById(buckets, F.col("bucket")).mapInArrow(match, "bucket int, part long, pairs binary")
+    parts = parts.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("part")
+    return parts.select("part", "pairs").mapInArrow(add, "a long, b long")
+
+
+def _suffix_bound(key: np.ndarray, x: np.ndarray, y: np.ndarray, start: np.ndarray, size: np.ndarray, depth: int = 2) -> np.ndarray:
+    """Upper bound of the overlap of texts x and y from the suffix filter on their sorted sets.
+
+    ``key`` holds the sets one after another, each with its text's number in the high bits.
+    The larger part is divided at its middle n-gram, the other at the same place in the
+    order; on each side the overlap is at most the smaller size, and so on ``depth`` times.
+    """
+    own = lambda who, k: who.astype(np.uint64) << np.uint64(52) | k & _HASH
+    spans = [(start[x], start[x] + size[x], start[y], start[y] + size[y])]
+    bound = np.zeros(len(x), np.int64)
+    for _ in range(depth):
+        after = []
+        for xs, xe, ys, ye in spans:
+            some = (xe > xs) & (ye > ys)
+            mid = np.minimum((ys + ye) // 2, len(key) - 1)
+            at = np.clip(np.searchsorted(key, own(x, key[mid])), xs, xe)
+            hit = some & (at < xe) & ((key[np.minimum(at, len(key) - 1)] & _HASH) == (key[mid] & _HASH))
+            bound += hit
+            after += [(np.where(some, xs, 0), np.where(some, at, 0), np.where(some, ys, 0), np.where(some, mid, 0))]
+            after += [(np.where(some, at + hit, 0), np.where(some, xe, 0), np.where(some, mid + 1, 0), np.where(some, ye, 0))]
+        spans = after
+    return bound + sum(np.minimum(xe - xs, ye - ys) for xs, xe, ys, ye in spans)
 
 
 def _verify(pairs: DataFrame, n: int, t: float) -> DataFrame:
-    """Verified pairs of (text_field, rep_a, norm_a, rep_b, norm_b)."""
+    """Verified pairs of (text_field, rep_a, rep_b, similarity) of the texts (text_field, rep_a, norm_a, rep_b, norm_b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 field, rep_a, norm_a, rep_b, norm_b = (c.to_pylist() for c in batch.slice(at, 1024).columns)
                 number: dict[str, int] = {}
-                left = [number.setdefault(x, len(number)) for x in norm_a]
-                right = [number.setdefault(x, len(number)) for x in norm_b]
+                left = np.array([number.setdefault(x, len(number)) for x in norm_a])
+                right = np.array([number.setdefault(x, len(number)) for x in norm_b])
                 texts = list(number)
                 owner, key = _ordered_sets(texts, n, None)
                 size = np.bincount(owner, minlength=len(texts))
-                part = np.bincount(owner * SLICES + (key & np.uint64(SLICES - 1)).astype(np.int64), minlength=len(texts) * SLICES).reshape(-1, SLICES)
-                x, y = np.array(left), np.array(right)
-                hopeful = np.flatnonzero(np.minimum(part[x], part[y]).sum(1) >= _needed(size[x], size[y], t) - 2).tolist()
-                rows = [(field[k], rep_a[k], rep_b[k], s[0]) for k in hopeful if (s := _verified(texts, [left[k]], [right[k]], n, t)[2])]
+                whole = owner.astype(np.uint64) << np.uint64(52) | key
+                hopeful = np.flatnonzero(_suffix_bound(whole, left, right, np.cumsum(size) - size, size) >= _needed(size[left], size[right], t)) if len(key) else []
+                rows, sets = [], {}
+                for k in hopeful:
+                    for i in (left[k], right[k]):
+                        if i not in sets:
+                            s = texts[i]
+                            sets[i] = (frozenset([s[q : q + n] for q in range(len(s) - n + 1)]), s.replace(" ", ""))
+                    (p, p_tight), (q, q_tight) = sets[left[k]], sets[right[k]]
+                    common = len(p & q)
+                    union = len(p) + len(q) - common
+                    if union and common >= t * union - _EPS and p_tight != q_tight:
+                        rows.append((field[k], rep_a[k], rep_b[k], common / union))
                 kinds = (pa.string(), pa.string(), pa.string(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds[c]) for c in range(4)], ["text_field", "rep_a", "rep_b", "similarity"])
 
-    return pairs.select("text_field", "rep_a", "norm_a", "rep_b", "norm_b").mapInArrow(run, _PAIR)
+    return pairs.select("text_field", "rep_a", "norm_a", "rep_b", "norm_b").mapInArrow(run, "text_field string, rep_a string, rep_b string, similarity double")
 
 
-def _spread(texts: DataFrame, n: int, t: float, scratch: Scratch) -> DataFrame:
-    """Pairs of groups that are too large for a task."""
+def _joined(texts: DataFrame, n: int, t: float, scratch: Scratch, split: int) -> DataFrame:
+    """Verified pairs of the classes."""
     spark = texts.sparkSession
     freq = _frequencies(texts, n)
+    by = np.argsort(freq, kind="stable")
+    rank = np.empty(CELLS, np.int32)
+    rank[by] = np.arange(CELLS)
+    shares = np.ceil(freq[by] / split).clip(1).astype(np.int32)  # by rank
     entries = int(freq.sum() * (1 - t)) + 1
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // BUCKET))
-    packed = _prefix_entries(texts, n, t, buckets, spark.sparkContext.broadcast(np.minimum(freq, 65535).astype(np.uint16)))
+    packed = _prefix_entries(texts, n, t, buckets, spark.sparkContext.broadcast((rank, shares)))
     pairs = scratch.write(_candidates(packed, t, buckets))
+    scratch.settle()
     side = lambda s: texts.select(F.col("id").alias(s), F.col("text_field").alias(f"f_{s}"), F.col("rep").alias(f"rep_{s}"), F.col("norm").alias(f"norm_{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where("f_a = f_b").withColumnRenamed("f_a", "text_field")
-    return _verify(both, n, t)
-
-
-def _outside(texts: DataFrame, large: DataFrame, n_large: int, how: str) -> DataFrame:
-    """Texts whose group is (``left_semi``) or is not (``left_anti``) large; the list is sent to all tasks only while it is short."""
-    return texts.join(F.broadcast(large) if n_large <= 100_000 else large, "grp", how)
+    found = _verify(both, n, t)
+    return found.select("text_field", F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b"), "similarity")
 
 
 def near_duplicates(
@@ -374,7 +412,7 @@ def near_duplicates(
     threshold: float = 0.7,
     gram: int = GRAM,
     least_hot: int = skew.LEAST,
-    local_chars: int = LOCAL_CHARS,
+    split: int = SPLIT,
 ) -> tuple[DataFrame, DataFrame]:
     """(pairs of classes, members).
 
@@ -393,27 +431,29 @@ def near_duplicates(
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("text_field"), normal(F.col(f)).alias("norm")) for f in fields]))
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("mem_key"), F.col(within).cast("string").alias("ns"), each.alias("x"))
     rows = rows.select("mem_key", "ns", "x.text_field", "x.norm").where(F.col("norm") != "")
-    cls = F.unhex(F.md5(F.concat_ws("\x00", "text_field", F.coalesce(F.concat(F.lit("n"), "ns"), F.lit("-")), "norm")))
-    rows = rows.withColumn("cls", cls)
-    best = rows.groupBy("cls").agg(F.min(F.struct("mem_key", "text_field", "ns", "norm")).alias("r"))
-    texts = best.select("cls", F.col("r.mem_key").alias("rep"), "r.text_field", "r.norm", F.xxhash64(F.col("r.text_field"), F.coalesce(F.concat(F.lit("n"), "r.ns"), F.lit("-"))).alias("grp"))
-    texts = scratch.write(texts.withColumn("id", F.xxhash64("rep", "text_field")))
-
-    large = texts.groupBy("grp").agg(F.sum(F.length("norm")).alias("n")).where(F.col("n") > local_chars).select("grp")
-    n_large = large.count()
-    verified = _local(texts if not n_large else _outside(texts, large, n_large, "left_anti"), gram, threshold)
-    if n_large:
-        verified = verified.unionByName(_spread(_outside(texts, large, n_large, "left_semi"), gram, threshold, scratch))
+    space = F.coalesce(F.concat(F.lit("n"), "ns"), F.lit("-"))
+    rows = rows.withColumn("cls", F.unhex(F.md5(F.concat_ws("\x00", "text_field", space, "norm")))).withColumn("grp", F.xxhash64("text_field", space))
+    best = rows.groupBy("cls").agg(F.min(F.struct("mem_key", "text_field", "grp", "norm")).alias("r"), F.count("*").alias("n"))
+    texts = best.select("cls", F.col("r.mem_key").alias("rep"), "r.text_field", "r.norm", "r.grp", "n")
+    texts = scratch.write(texts.withColumn("id", F.monotonically_increasing_id()))  # ids are kept by being written
+    scratch.settle()
+    total = texts.agg(F.sum("n")).first()[0] or 0
+    verified = scratch.write(_joined(texts, gram, threshold, scratch, split))
+    scratch.settle()
     members = rows.select("cls", "mem_key").distinct()
-    hot = skew.hot_keys(rows, "cls", least_hot)
+    hot = skew.from_counts(texts.select("cls", "n"), "cls", total, least_hot)
     members = skew.salted_join(members, texts.select("cls", "rep", "text_field"), "cls", F.col("mem_key"), hot)
     return verified, members.select("text_field", "rep", "mem_key")
 
 
+def _class(field: str, rep: str):
+    return F.concat_ws("\x00", field, rep)
+
+
 def near_pairs(pairs: DataFrame, members: DataFrame, least_hot: int = skew.LEAST) -> DataFrame:
     """text_field, key_a, key_b (smaller first): the pairs of records behind the pairs of classes."""
-    of = members.select(F.concat_ws("\x00", "text_field", "rep").alias("m"), "mem_key")
-    linked = pairs.select(F.concat_ws("\x00", "text_field", "rep_a").alias("m"), F.concat_ws("\x00", "text_field", "rep_b").alias("o"), "text_field")
+    of = members.select(_class("text_field", "rep").alias("m"), "mem_key")
+    linked = pairs.select(_class("text_field", "rep_a").alias("m"), _class("text_field", "rep_b").alias("o"), "text_field")
     hot = skew.hot_keys(of, "m", least_hot)
     one = skew.salted_join(of, linked, "m", F.col("mem_key"), hot).select(F.col("o").alias("m"), "text_field", F.col("mem_key").alias("k"))
     both = skew.salted_join(of, one, "m", F.col("mem_key"), hot)
@@ -422,3 +462,28 @@ def near_pairs(pairs: DataFrame, members: DataFrame, least_hot: int = skew.LEAST
 
 def near_dup_pairs(df: DataFrame, **options) -> DataFrame:
     return near_pairs(*near_duplicates(df, **options))
+
+
+def near_groups(df: DataFrame, least_hot: int = skew.LEAST, **options) -> DataFrame:
+    """text_field, mem_key, rep, grp, n_links: one row per record with a text in that field.
+
+    ``rep`` names its class of equal texts, ``n_links`` is the number of classes similar to
+    it, ``grp`` the smallest ``rep`` among the classes linked to it directly or through others.
+    """
+    pairs, members = near_duplicates(df, least_hot=least_hot, **options)
+    scratch = Scratch(df.sparkSession, "near_groups")
+    vertex = lambda rep: F.unhex(F.md5(_class("text_field", rep)))
+    ends = pairs.select(vertex("rep_a").alias("p"), vertex("rep_b").alias("q"), "text_field", "rep_a", "rep_b")
+    edges = ends.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    roots = components.contract(df.sparkSession, edges, scratch, least_hot=least_hot)
+    if roots is None:
+        return members.select("text_field", "mem_key", "rep", F.col("rep").alias("grp"), F.lit(0).cast("long").alias("n_links"))
+    linked = ends.select("text_field", F.explode(F.array(F.struct(F.col("p").alias("v"), F.col("rep_a").alias("rep")), F.struct(F.col("q").alias("v"), F.col("rep_b").alias("rep")))).alias("x"))
+    linked = linked.groupBy("x.v", "text_field", "x.rep").agg(F.count("*").alias("n_links"))
+    named = scratch.write(linked.join(roots, "v"))
+    smallest = named.groupBy("root").agg(F.min("rep").alias("grp"))
+    hot = skew.hot_keys(named, "root", least_hot)
+    classes = skew.salted_join(named, smallest, "root", F.col("rep"), hot).select(_class("text_field", "rep").alias("m"), "grp", "n_links")
+    of = members.withColumn("m", _class("text_field", "rep"))
+    out = skew.salted_join(of, classes, "m", F.col("mem_key"), skew.hot_keys(of, "m", least_hot), "left")
+    return out.select("text_field", "mem_key", "rep", F.coalesce("grp", "rep").alias("grp"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

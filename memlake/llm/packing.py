@@ -93,9 +93,9 @@ def pack(spark: SparkSession, sizes: DataFrame, capacity: int, key: str = "doc_i
     scratch = Scratch(spark, "packing")
     items = scratch.write(_items(sizes, key, size, capacity))
     hot = skew.hot_keys(items, "size", least_hot)
-    items = items.withColumn("salt", skew.salt("size", F.struct("k", "part"), hot))
+    items = skew.salt(items, "size", F.struct("k", "part"), hot)
     counts = items.where(F.col("size") > 0).groupBy("size", "salt").agg(F.count("*").alias("n"))
-    counted = counts.collect()  # at most capacity + 1000 * skew.SALTS rows
+    counted = counts.collect()  # at most capacity + items / least_hot rows
     offsets, histogram = [], {}
     for s, salt, n in sorted(counted):
         offsets.append((s, salt, histogram.get(s, 0)))

@@ -78,8 +78,8 @@ def near_brute(rows, t=0.7, n=4):
     return out
 
 
-@pytest.mark.parametrize("local, least", [(10**6, 10**6), (10, 10**6), (10, 3)])
-def test_near_duplicates(spark, local, least):
+@pytest.mark.parametrize("split, least", [(10**6, 10**6), (8, 10**6), (30, 3)])
+def test_near_duplicates(spark, split, least):
     rng = random.Random(5)
     words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta", "iota", "kappa", "数据库", "备份"]
     base = [" ".join(rng.choice(words) for _ in range(rng.randint(2, 25))) for _ in range(8)]
@@ -91,7 +91,7 @@ def test_near_duplicates(spark, local, least):
         rows.append((f"k{i:02}", rng.choice(["n", "m", None]), ", ".join(w), rng.choice([None, "", " ", "?!", "abc", " ".join(w).upper()]), 1))
     rows += [("x1", "n", "same text again", None, 1), ("x2", "n", "Same  text, again", None, 1), ("x3", "n", "sametext again", None, 1), (None, "n", "same text again", None, 1)] + rows[:7]
     df = spark.createDataFrame(rows, "storage_key string, namespace string, content string, raw_text string, rep int")
-    got = [tuple(r) for r in near_dups.near_dup_pairs(df, local_chars=local, least_hot=least).collect()] if local else []
+    got = [tuple(r) for r in near_dups.near_dup_pairs(df, split=split, least_hot=least).collect()]
     assert len(got) == len(set(got))
     assert set(got) == near_brute(rows)
 
