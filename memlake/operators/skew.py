@@ -1,12 +1,13 @@
 """Hot keys: found exactly by partial counts, divided into shares that a task can hold.
 
 A key is hot when it holds more than ``least`` rows, which is what one task should
-hold; it is divided into one share per ``least`` rows, so shares stay of one size
-however large the input. Hot keys are kept as (64-bit hash, number of shares), twelve
-bytes each. By the pigeonhole principle there are at most total / threshold of them;
-the threshold rises above ``least`` only where that would pass ``MAX_HOT`` (beyond
-``least * MAX_HOT`` = 10^10 rows), so the list that is sent to all tasks is never longer
-than ``MAX_HOT``. A cold key that shares a hot key's hash is divided needlessly, no more.
+hold; it is divided into one share per threshold, so shares stay of one size however
+large the key. Hot keys are kept as (64-bit hash, number of shares), twelve bytes each.
+By the pigeonhole principle there are at most total / threshold of them, and about as
+many shares in all; the threshold rises above ``least`` only where that would pass
+``MAX_HOT`` (beyond ``least * MAX_HOT`` = 10^10 rows, where a task gets total / 10^5), so
+the list that is sent to all tasks is never longer than ``MAX_HOT``. A cold key that
+shares a hot key's hash is divided needlessly, no more.
 """
 
 from __future__ import annotations
@@ -36,8 +37,9 @@ def from_counts(counts: DataFrame, key: str, total: int, least: int = LEAST) ->
     """Hot keys of a table (``key``, n) with one row per key; None if there is none."""
     if total < least:
         return None
-    hot = counts.where(F.col(key).isNotNull() & (F.col("n") >= hot_threshold(total, least)))
-    rows = hot.select(F.xxhash64(key).alias("_hot"), F.ceil(F.col("n") / least).cast("int").alias("salts")).toArrow()  # at most MAX_HOT rows
+    most = hot_threshold(total, least)
+    hot = counts.where(F.col(key).isNotNull() & (F.col("n") >= most))
+    rows = hot.select(F.xxhash64(key).alias("_hot"), F.ceil(F.col("n") / most).cast("int").alias("salts")).toArrow()  # at most MAX_HOT rows
     if not rows.num_rows:
         return None
     table = counts.sparkSession.createDataFrame(rows).groupBy("_hot").agg(F.max("salts").alias("salts"))
