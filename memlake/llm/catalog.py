@@ -28,7 +28,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_classes(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of class representatives with their similarity."""
-    return near_dups.near_duplicates(table(spark, d, "memories"))[0].withColumn("similarity", F.round("similarity", 9))
+    return near_dups.near_duplicates(table(spark, d, "memories"))[0].select("text_field", "rep_a", "rep_b", F.round("similarity", 9).alias("similarity"))
 
 
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:

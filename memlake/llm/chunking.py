@@ -81,10 +81,16 @@ def landmarks(hashes: np.ndarray) -> np.ndarray:
     return value * _MIX
 
 
-def cuts(start_token: np.ndarray, rank: np.ndarray, mark: np.ndarray, total: int, limit: int, overlap: int, least: int) -> list[tuple[int, int]]:
-    """[(first unit, end unit)] of the pieces over units with token offsets ``start_token`` (one more than units: the total).
+def _blanks(words: list[str], lo: int, hi: int) -> np.ndarray:
+    """The units of lo..hi that a blank begins or precedes."""
+    return np.array([i for i in range(max(lo, 1), min(hi + 1, len(words))) if words[i][0].isspace() or words[i - 1][-1].isspace()], np.int64)
+
+
+def cuts(words: list[str], start_token: np.ndarray, rank: np.ndarray, mark: np.ndarray, total: int, limit: int, overlap: int, least: int) -> list[tuple[int, int]]:
+    """[(first unit, end unit)] of the pieces over the units ``words`` with token offsets ``start_token`` (one more than units: the total).
 
     Every piece has at most ``limit`` tokens including what it repeats of the one before.
+    White space is looked for only in spans without a boundary of any rank.
     """
     n, out, first, body = len(start_token) - 1, [], 0, 0
     while True:
@@ -97,8 +103,10 @@ def cuts(start_token: np.ndarray, rank: np.ndarray, mark: np.ndarray, total: int
         lo = min(lo, hi)
         span = rank[lo : hi + 1]
         best = int(span.max()) if len(span) else 0
-        # boundaries of the best two ranks there are; any unit border where there is none
-        good = np.flatnonzero(span >= max(best - 1, 1)) + lo if best else np.arange(lo, hi + 1)
+        # boundaries of the best two ranks there are, else white space, else any unit border
+        good = np.flatnonzero(span >= max(best - 1, 1)) + lo if best else _blanks(words, lo, hi)
+        if not len(good):
+            good = np.arange(lo, hi + 1)
         at = lo + int(mark[lo : hi + 1].argmin())
         end = int(good[np.argmin(np.abs(start_token[good] - start_token[at]))])
         out.append((first, end))
@@ -108,9 +116,11 @@ def cuts(start_token: np.ndarray, rank: np.ndarray, mark: np.ndarray, total: int
         first = max(first, out[-1][0] + 1) if first < end else end
         if overlap and first < end:
             # the repeated part begins at a boundary where there is one in its later half or before
-            inside = np.flatnonzero(rank[first:end] > 0)
-            if len(inside) and start_token[end] - start_token[first + inside[0]] >= overlap // 2:
-                first += int(inside[0])
+            for inside in (lambda: np.flatnonzero(rank[first:end] > 0) + first, lambda: _blanks(words, first, end - 1)):
+                near = inside()
+                if len(near) and start_token[end] - start_token[near[0]] >= overlap // 2:
+                    first = int(near[0])
+                    break
 
 
 def split_text(text: str, words: list[str], ids: list[tuple[int, ...]], enc: bpe.Encoder, cutter: _Cutter, limit: int, overlap: int, least: int) -> list[tuple[int, int, int, int]]:
@@ -125,7 +135,7 @@ def split_text(text: str, words: list[str], ids: list[tuple[int, ...]], enc: bpe
     value = landmarks(np.fromiter(map(hash, ids), np.int64, len(ids)).view(np.uint64) * _MIX)
     mark = np.concatenate([[np.uint64(2**64 - 1)], value])
     out, before = [], 0
-    for a, b in cuts(starts, cutter.ranks(text, place), mark, total, limit, overlap, least):
+    for a, b in cuts(words, starts, cutter.ranks(text, place), mark, total, limit, overlap, least):
         lo, hi = int(place[a]), int(place[b])
         n = int(starts[b] - starts[a])
         if text[lo] == "'":  # may now read as a contraction

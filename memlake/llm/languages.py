@@ -2,9 +2,15 @@
 
 Every language is a set of centroids: its training sentences as normalised TF-IDF
 vectors of character n-grams and words, grouped by spherical k-means. A sentence gets
-the language of the nearest centroid by cosine; one too far from all of them is
-rejected. Labels may be wrong, so sentences are grouped before labels are looked at and
-each group is named by its majority.
+the language of the nearest centroid by cosine; one too far from all of them, given its
+number of words, is rejected: it is 'und', as are other languages. Labels may be wrong, so
+sentences are grouped before labels are looked at and each group is named by its majority.
+
+A tenth of the distinct sentences is first held out of the centroids. Their distances to
+the centroids of all other languages than their own are those of text in a language that
+was never learned: the bound of rejection lies above nearly all of these, and below nearly all
+distances to their own. How often the nearest language was right at which lead over the
+second one gives the confidence. Then all sentences are used.
 
 Within a message the sentences vote for a path: a change of language must be worth
 more than its cost, so that short fragments follow their neighbours. Names, paths,
@@ -30,6 +36,8 @@ from pyspark.sql import functions as F
 
 LANGUAGES = ("en", "zh", "ja", "de", "fr", "es", "pt", "ru", "ko")
 NONE = "und"
+#: Places of the languages whose words are not set apart or are very short.
+EAST = (1, 2, 8)
 #: Labelled rows that the model is fitted on at most, drawn by a hash of their id.
 SAMPLE = 5_000
 DIM = 1 << 15
@@ -39,8 +47,14 @@ GROUPS, CLUSTERS = 200, 16
 PURE, CLEAR, SMALL = 0.75, 0.6, 8
 #: What a change of language costs, in relative cosine times the root of the number of words.
 SWITCH = 0.6
-#: Share of the usual training similarity below which a sentence is rejected.
-REJECT = 0.03
+#: Share of held-out sentences that the bound of rejection should exceed when their language is left out, and may exceed when it is not.
+FOREIGN, LOST = 0.95, 0.005
+#: Numbers of words at which another bound of rejection begins.
+LENGTHS = (1, 2, 3, 4, 6, 9, 16)
+#: Number of words from which, and part of the bound below which a rejected sentence is a stretch of its own beside others.
+ALONE, CLEARLY = 9, 0.8
+#: Leads over the second language that accuracy is measured at.
+BINS = 10
 CACHE = 100_000
 
 _CODE = re.compile(r"```.*?(?:```|$)|`[^`\n]*`|<[^<>\n]{1,80}>", re.S)
@@ -112,6 +126,15 @@ class Model:
     idf: np.ndarray  # DIM
     language: np.ndarray  # of each centroid
     usual: np.ndarray  # median cosine of the training sentences of each language
+    far: np.ndarray  # relative cosine below which a sentence is rejected, by kind of script and length (``LENGTHS``)
+    lead: np.ndarray  # leads over the second language, rising
+    right: np.ndarray  # share of held-out sentences that were right at each lead
+
+    def bound(self, n_words: np.ndarray, nearest: np.ndarray) -> np.ndarray:
+        return self.far[np.isin(nearest, EAST).astype(int), np.searchsorted(LENGTHS, np.maximum(n_words, 1), side="right") - 1]
+
+    def confidence(self, lead: float) -> float:
+        return float(np.interp(lead, self.lead, self.right))
 
 
 class Scorer:
@@ -238,7 +261,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
                     y.append(LANGUAGES.index(lang))
     n, y = len(x), np.array(y, np.int64)
     if not n:
-        return Model(np.zeros((DIM, 0), np.float32), np.zeros(DIM), np.zeros(0, np.int64), np.zeros(len(LANGUAGES)))
+        return Model(np.zeros((DIM, 0), np.float32), np.zeros(DIM), np.zeros(0, np.int64), np.zeros(len(LANGUAGES)), np.zeros((2, len(LENGTHS))), np.zeros(1), np.full(1, 0.5))
     rng = np.random.default_rng(seed)
     owner, idx, tf = _vectors(x, None)
     df = np.bincount(idx, minlength=DIM)
@@ -266,57 +289,103 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
             todo += parts
         else:
             label[mine] = votes.argmax() if votes.max() >= CLEAR * len(mine) else -1
-    all_c, all_l, usual = [], [], np.zeros(len(LANGUAGES))
-    for k in range(len(LANGUAGES)):
-        mine = np.flatnonzero(label == k)
-        if not len(mine):
-            continue
-        own, i, v = _part(owner, idx, w, mine, n)
-        _, c = _cluster(own, i, v, len(mine), CLUSTERS, 8, rng)
-        c = c[:, (c * c).sum(0) > 0]
-        usual[k] = np.median(_dots(own, i, v, c, len(mine)).max(1))
-        all_c.append(c)
-        all_l += [k] * c.shape[1]
-    centroids = np.concatenate(all_c, 1)
-    return Model((centroids * idf[:, None]).astype(np.float32), idf.astype(np.float32), np.array(all_l, np.int64), usual)
+    held = np.array([crc32(" ".join(ws).encode("utf-8", "surrogatepass")) % 10 == 0 for ws in x])
+
+    def centroids(some: np.ndarray) -> Model:
+        all_c, all_l, usual = [np.zeros((DIM, 0), np.float32)], [], np.zeros(len(LANGUAGES))
+        for k in range(len(LANGUAGES)):
+            mine = np.flatnonzero((label == k) & some)
+            if not len(mine):
+                continue
+            own, i, v = _part(owner, idx, w, mine, n)
+            _, c = _cluster(own, i, v, len(mine), CLUSTERS, 8, np.random.default_rng(seed))
+            c = c[:, (c * c).sum(0) > 0]
+            usual[k] = np.median(_dots(own, i, v, c, len(mine)).max(1))
+            all_c.append(c)
+            all_l += [k] * c.shape[1]
+        c = (np.concatenate(all_c, 1) * idf[:, None]).astype(np.float32)
+        return Model(c, idf.astype(np.float32), np.array(all_l, np.int64), usual, np.zeros((2, len(LENGTHS))), np.zeros(1), np.full(1, 0.5))
+
+    model = centroids(label >= 0)
+    test = np.flatnonzero(held & (label >= 0))
+    part = centroids(~held) if len(test) >= BINS else None
+    if part is not None and len(part.language):
+        _calibrate(part, [x[i] for i in test], label[test])
+        model.far, model.lead, model.right = part.far, part.lead, part.right
+    return model
+
+
+def n_words(ws: list[str]) -> int:
+    """Length of a sentence; two characters count as a word in scripts without blanks."""
+    return sum(map(len, ws)) // 2 if ws and _EAST.match(ws[0]) else len(ws)
+
+
+def _calibrate(model: Model, sents: list[list[str]], label: np.ndarray) -> None:
+    """Bounds of rejection and confidences from sentences that the centroids have not seen."""
+    near = Scorer(model)(sents)
+    size = np.searchsorted(LENGTHS, np.maximum([n_words(ws) for ws in sents], 1), side="right") - 1
+    best, east = near.max(1), np.isin(label, EAST)
+    others = near.copy()
+    others[np.arange(len(near)), label] = 0
+    for kind in (0, 1):
+        for i in range(len(LENGTHS)):
+            mine = (size == i) & (east == kind)
+            if mine.sum() >= 5:
+                model.far[kind, i] = min(np.quantile(others[mine].max(1), FOREIGN), np.quantile(best[mine], LOST))
+    top = np.sort(near, axis=1)
+    lead = top[:, -1] - top[:, -2]
+    order = np.argsort(lead, kind="stable")
+    parts = np.array_split(order, BINS)
+    model.lead = np.array([lead[p].mean() for p in parts])
+    hit = near.argmax(1) == label
+    model.right = np.maximum.accumulate([(hit[p].sum() + 1) / (len(p) + 2) for p in parts])
 
 
 def stretches(spans: list[tuple[int, int, int]], near: np.ndarray, model: Model) -> list[tuple[int, int, str, float]]:
     """(start, end, language, confidence) of the stretches of one message.
 
     ``spans``: start, end and number of words of its sentences; ``near`` their relative cosines.
+    A rejected sentence follows its neighbours, or is 'und' if it is long and far; so is a message
+    of which every sentence is rejected.
     """
     held = [i for i, (_, _, n) in enumerate(spans) if n]
     if not held or not len(model.language):
         return []
     near = near[held]
-    far = near.max(1) < REJECT
+    size = np.array([spans[i][2] for i in held])
+    bound = model.bound(size, near.argmax(1))
+    best = near.max(1)
+    far = best < bound
+    doubt = lambda k: min(1.0, max(0.5, 1 - 0.5 * float(best[k]) / max(float(bound[k]), 1e-9)))
     if far.all():
-        return [(spans[held[0]][0], spans[held[-1]][1], NONE, round(float(1 - near.max()), 4))]
-    path = near.argmax(1).tolist()
-    weight = np.sqrt(np.minimum([spans[i][2] for i in held], 16))
+        return [(spans[held[0]][0], spans[held[-1]][1], NONE, round(sum(doubt(k) for k in range(len(held))) / len(held), 4))]
+    weight = np.sqrt(np.minimum(size, 16))
+    alone = (best < CLEARLY * bound) & (size >= ALONE)
+    path = np.where(alone, len(LANGUAGES), near.argmax(1)).tolist()
     if len(set(path)) > 1:
-        gain = np.where(far[:, None], 0, np.minimum(near, 1)) * weight[:, None]
-        best, back = gain[0].copy(), []
+        gain = np.concatenate([np.where(far[:, None], 0, np.minimum(near, 1)), alone[:, None]], 1) * weight[:, None]
+        total, back = gain[0].copy(), []
         for g in gain[1:]:
-            jump = int(best.argmax())
-            stay = best >= best[jump] - SWITCH
-            back.append(np.where(stay, np.arange(len(best)), jump))
-            best = np.where(stay, best, best[jump] - SWITCH) + g
-        path = [int(best.argmax())]
+            jump = int(total.argmax())
+            stay = total >= total[jump] - SWITCH
+            back.append(np.where(stay, np.arange(len(total)), jump))
+            total = np.where(stay, total, total[jump] - SWITCH) + g
+        path = [int(total.argmax())]
         for b in reversed(back):
             path.append(int(b[path[-1]]))
         path.reverse()
     out: list[list] = []
     for k, (i, p) in enumerate(zip(held, path)):
-        top = np.partition(near[k], -2)[-2:]
-        other = top[0] if near[k, p] >= top[1] else top[1]
-        sure = min(1.0, max(0.0, 0.5 + float(near[k, p] - other)))
-        if out and out[-1][2] == LANGUAGES[p]:
+        if p == len(LANGUAGES):
+            name, sure = NONE, doubt(k)
+        else:
+            top = np.partition(near[k], -2)[-2:]
+            name, sure = LANGUAGES[p], model.confidence(float(near[k, p] - (top[0] if near[k, p] >= top[1] else top[1])))
+        if out and out[-1][2] == name:
             out[-1][1] = spans[i][1]
             out[-1][3].append((sure, weight[k]))
         else:
-            out.append([spans[i][0], spans[i][1], LANGUAGES[p], [(sure, weight[k])]])
+            out.append([spans[i][0], spans[i][1], name, [(sure, weight[k])]])
     return [(s, e, la, round(float(sum(a * b for a, b in c) / sum(b for _, b in c)), 4)) for s, e, la, c in out]
 
 
@@ -355,7 +424,7 @@ def label_stretches(df: DataFrame, model: Model, text: str, key: str, keep: str
                     own = []
                     for s, e, x in sentences(t):
                         ws = words_of(x)
-                        own.append((s, e, sum(map(len, ws)) // 2 if ws and _EAST.match(ws[0]) else len(ws)))
+                        own.append((s, e, n_words(ws)))
                         flat.append(ws)
                     spans.append(own)
                 near, i, rows = score(flat), 0, []

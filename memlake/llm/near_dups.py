@@ -116,11 +116,11 @@ def _frequencies(texts: DataFrame, n: int) -> np.ndarray:
 
     schema = "seg int, counts binary"
     parts = texts.select("norm").mapInArrow(count, schema)
-    # two levels, so that no task adds up more than a root of all parts
-    parts = parts.repartition(SEGMENTS * 2).mapInArrow(add, schema)
+    # two levels, so that no task adds up all parts
+    parts = parts.repartition(SEGMENTS * 2).mapInArrow(add, schema).repartitionById(SEGMENTS, F.col("seg")).mapInArrow(add, schema)
     total = np.zeros(CELLS, np.int64)
     width = CELLS // SEGMENTS
-    for seg, raw in parts.collect():  # 2 * SEGMENTS ** 2 rows of CELLS / SEGMENTS numbers
+    for seg, raw in parts.collect():  # SEGMENTS rows of CELLS / SEGMENTS numbers
         total[seg * width : (seg + 1) * width] += np.frombuffer(raw, np.int64)
     return total
 
@@ -354,12 +354,12 @@ def _suffix_bound(key: np.ndarray, x: np.ndarray, y: np.ndarray, start: np.ndarr
 
 
 def _verify(pairs: DataFrame, n: int, t: float) -> DataFrame:
-    """Verified pairs of (text_field, rep_a, rep_b, similarity) of the texts (text_field, rep_a, norm_a, rep_b, norm_b)."""
+    """Verified pairs (a, b, text_field, rep_a, rep_b, similarity) of the texts (a, b, text_field, rep_a, norm_a, rep_b, norm_b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 1024):
-                field, rep_a, norm_a, rep_b, norm_b = (c.to_pylist() for c in batch.slice(at, 1024).columns)
+                a, b, field, rep_a, norm_a, rep_b, norm_b = (c.to_pylist() for c in batch.slice(at, 1024).columns)
                 number: dict[str, int] = {}
                 left = np.array([number.setdefault(x, len(number)) for x in norm_a])
                 right = np.array([number.setdefault(x, len(number)) for x in norm_b])
@@ -378,11 +378,11 @@ def _verify(pairs: DataFrame, n: int, t: float) -> DataFrame:
                     common = len(p & q)
                     union = len(p) + len(q) - common
                     if union and common >= t * union - _EPS and p_tight != q_tight:
-                        rows.append((field[k], rep_a[k], rep_b[k], common / union))
-                kinds = (pa.string(), pa.string(), pa.string(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds[c]) for c in range(4)], ["text_field", "rep_a", "rep_b", "similarity"])
+                        rows.append((a[k], b[k], field[k], rep_a[k], rep_b[k], common / union))
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds[c]) for c in range(6)], ["a", "b", "text_field", "rep_a", "rep_b", "similarity"])
 
-    return pairs.select("text_field", "rep_a", "norm_a", "rep_b", "norm_b").mapInArrow(run, "text_field string, rep_a string, rep_b string, similarity double")
+    return pairs.select("a", "b", "text_field", "rep_a", "norm_a", "rep_b", "norm_b").mapInArrow(run, "a long, b long, text_field string, rep_a string, rep_b string, similarity double")
 
 
 def _joined(texts: DataFrame, n: int, t: float, scratch: Scratch, split: int) -> DataFrame:
@@ -401,7 +401,9 @@ def _joined(texts: DataFrame, n: int, t: float, scratch: Scratch, split: int) ->
     side = lambda s: texts.select(F.col("id").alias(s), F.col("text_field").alias(f"f_{s}"), F.col("rep").alias(f"rep_{s}"), F.col("norm").alias(f"norm_{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where("f_a = f_b").withColumnRenamed("f_a", "text_field")
     found = _verify(both, n, t)
-    return found.select("text_field", F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b"), "similarity")
+    turned = F.col("rep_a") > F.col("rep_b")
+    pick = lambda x, y: F.when(turned, F.col(x)).otherwise(F.col(y))
+    return found.select("text_field", pick("rep_b", "rep_a").alias("rep_a"), pick("rep_a", "rep_b").alias("rep_b"), "similarity", pick("b", "a").alias("a"), pick("a", "b").alias("b"))
 
 
 def near_duplicates(
@@ -416,11 +418,11 @@ def near_duplicates(
 ) -> tuple[DataFrame, DataFrame]:
     """(pairs of classes, members).
 
-    ``members``: text_field, rep, mem_key - every record with a text in that field and the
+    ``members``: text_field, rep, mem_key, id - every record with a text in that field and the
     class it belongs to, named by its smallest key; equal normal forms within one
-    ``within`` and field are one class. ``pairs``: text_field, rep_a, rep_b, similarity -
-    classes of one field and ``within`` with Jaccard similarity of ``threshold`` or more whose
-    texts differ in letters or digits.
+    ``within`` and field are one class. ``pairs``: text_field, rep_a, rep_b, similarity, a, b -
+    classes (and their ids) of one field and ``within`` with Jaccard similarity of
+    ``threshold`` or more whose texts differ in letters or digits.
 
     Null, empty and blank texts, texts without letters and digits and null keys take no
     part; texts shorter than ``gram`` characters have no n-grams and are in no pair. A null
@@ -442,21 +444,20 @@ def near_duplicates(
     scratch.settle()
     members = rows.select("cls", "mem_key").distinct()
     hot = skew.from_counts(texts.select("cls", "n"), "cls", total, least_hot)
-    members = skew.salted_join(members, texts.select("cls", "rep", "text_field"), "cls", F.col("mem_key"), hot)
-    return verified, members.select("text_field", "rep", "mem_key")
-
-
-def _class(field: str, rep: str):
-    return F.concat_ws("\x00", field, rep)
+    members = skew.salted_join(members, texts.select("cls", "rep", "text_field", "id"), "cls", F.col("mem_key"), hot)
+    members = scratch.write(members.select("text_field", "rep", "mem_key", "id"))
+    scratch.drop(texts)
+    scratch.settle()
+    return verified, members
 
 
 def near_pairs(pairs: DataFrame, members: DataFrame, least_hot: int = skew.LEAST) -> DataFrame:
     """text_field, key_a, key_b (smaller first): the pairs of records behind the pairs of classes."""
-    of = members.select(_class("text_field", "rep").alias("m"), "mem_key")
-    linked = pairs.select(_class("text_field", "rep_a").alias("m"), _class("text_field", "rep_b").alias("o"), "text_field")
-    hot = skew.hot_keys(of, "m", least_hot)
-    one = skew.salted_join(of, linked, "m", F.col("mem_key"), hot).select(F.col("o").alias("m"), "text_field", F.col("mem_key").alias("k"))
-    both = skew.salted_join(of, one, "m", F.col("mem_key"), hot)
+    of = members.select("id", "mem_key")
+    linked = pairs.select(F.col("a").alias("id"), F.col("b").alias("o"), "text_field")
+    hot = skew.hot_keys(of, "id", least_hot)
+    one = skew.salted_join(of, linked, "id", F.col("mem_key"), hot).select(F.col("o").alias("id"), "text_field", F.col("mem_key").alias("k"))
+    both = skew.salted_join(of, one, "id", F.col("mem_key"), hot)
     return both.select("text_field", F.least("k", "mem_key").alias("key_a"), F.greatest("k", "mem_key").alias("key_b"))
 
 
@@ -472,18 +473,14 @@ def near_groups(df: DataFrame, least_hot: int = skew.LEAST, **options) -> DataFr
     """
     pairs, members = near_duplicates(df, least_hot=least_hot, **options)
     scratch = Scratch(df.sparkSession, "near_groups")
-    vertex = lambda rep: F.unhex(F.md5(_class("text_field", rep)))
-    ends = pairs.select(vertex("rep_a").alias("p"), vertex("rep_b").alias("q"), "text_field", "rep_a", "rep_b")
-    edges = ends.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    edges = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     roots = components.contract(df.sparkSession, edges, scratch, least_hot=least_hot)
     if roots is None:
         return members.select("text_field", "mem_key", "rep", F.col("rep").alias("grp"), F.lit(0).cast("long").alias("n_links"))
-    linked = ends.select("text_field", F.explode(F.array(F.struct(F.col("p").alias("v"), F.col("rep_a").alias("rep")), F.struct(F.col("q").alias("v"), F.col("rep_b").alias("rep")))).alias("x"))
-    linked = linked.groupBy("x.v", "text_field", "x.rep").agg(F.count("*").alias("n_links"))
+    ends = F.array(F.struct(F.col("a").alias("v"), F.col("rep_a").alias("rep")), F.struct(F.col("b").alias("v"), F.col("rep_b").alias("rep")))
+    linked = pairs.select(F.explode(ends).alias("x")).groupBy("x.v", "x.rep").agg(F.count("*").alias("n_links"))
     named = scratch.write(linked.join(roots, "v"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("grp"))
-    hot = skew.hot_keys(named, "root", least_hot)
-    classes = skew.salted_join(named, smallest, "root", F.col("rep"), hot).select(_class("text_field", "rep").alias("m"), "grp", "n_links")
-    of = members.withColumn("m", _class("text_field", "rep"))
-    out = skew.salted_join(of, classes, "m", F.col("mem_key"), skew.hot_keys(of, "m", least_hot), "left")
+    classes = skew.salted_join(named, smallest, "root", F.col("v"), skew.hot_keys(named, "root", least_hot)).select(F.col("v").alias("id"), "grp", "n_links")
+    out = skew.salted_join(members, classes, "id", F.col("mem_key"), skew.hot_keys(members, "id", least_hot), "left")
     return out.select("text_field", "mem_key", "rep", F.coalesce("grp", "rep").alias("grp"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

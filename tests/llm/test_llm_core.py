@@ -199,3 +199,14 @@ def test_splitting_with_a_full_word_cache(monkeypatch):
     assert len(want) > 2 * len(texts)
     monkeypatch.setattr(bpe, "CACHE", 5)
     assert chunking.split_documents(Local(texts), 128, 16) == want
+
+
+def test_cuts_fall_on_blanks_where_there_is_no_better_place(spark):
+    rng = random.Random(9)
+    text = " ".join(rng.choice(["window/pane", "paper", "x=1;", "alpha-beta", "don't", "#42", "naïve"]) for _ in range(3000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    rows = sorted(chunking.split_documents(df, 128, 16).collect(), key=lambda r: r.piece_no)
+    assert len(rows) > 50
+    for a, b in zip(rows, rows[1:]):
+        assert text[a.end_char].isspace() or text[a.end_char - 1].isspace()
+        assert text[b.start_char].isspace() or text[b.start_char - 1].isspace()

@@ -100,3 +100,52 @@ def test_rare_contexts_of_names_count_in_large_inputs(spark):
     found = [{tuple(r)[:6] for r in pii.find_items(df, parts, most_contexts=n).collect()} for n in (1000, 0)]
     assert ("name", "赵敏") in {(r[2], r[5]) for r in found[0] if r[0] == "new"}
     assert found[0] == found[1]
+
+
+FOREIGN = (
+    "Il gatto dorme sul divano mentre fuori piove forte.", "Domani andiamo al mercato per comprare il pane fresco.", "Preferisco lavorare la mattina presto quando tutto è tranquillo.",
+    "De kat slaapt op de bank terwijl het buiten hard regent.", "Morgen gaan we naar de markt om vers brood te kopen.",
+    "Kot śpi na kanapie, podczas gdy na zewnątrz mocno pada.", "Nie pamiętam, gdzie położyłem klucze od samochodu.",
+    "Kedi kanepede uyuyor, dışarıda yağmur yağıyor.", "Yarın taze ekmek almak için pazara gidiyoruz.",
+    "Kissa nukkuu sohvalla kun ulkona sataa kovasti.", "Huomenna menemme torille ostamaan tuoretta leipää.",
+    "القطة تنام على الأريكة بينما تمطر في الخارج", "xkqz wvtr plmq zzxw qwrt bnvk lkjh", "asdf qwer zxcv hjkl uiop vbnm tyui", "blorp snarf quix zendle frumious wibble",
+)
+EN = "/root/testdata/sf0.1/en.parquet"
+
+
+def labelled():
+    pd = pytest.importorskip("pandas")
+    try:
+        df = pd.read_parquet(EN).drop_duplicates("id").sort_values("id")
+    except OSError:
+        pytest.skip("needs the labelled messages")
+    df = df[df["message"].notna() & df["language"].isin(languages.LANGUAGES)]
+    return list(zip(df["message"], df["language"]))
+
+
+def stretches_of(model, score, text):
+    spans, words = [], []
+    for s, e, x in languages.sentences(text):
+        words.append(languages.words_of(x))
+        spans.append((s, e, languages.n_words(words[-1])))
+    return languages.stretches(spans, score(words), model)
+
+
+def test_other_languages_are_rejected_and_confidence_tells_accuracy():
+    rows = labelled()
+    model, rest = languages.fit(rows[:3000]), rows[3000:5000]
+    score = languages.Scorer(model)
+    far = [stretches_of(model, score, t)[0][2] for t in FOREIGN]
+    assert far.count("und") >= 0.9 * len(far)
+    by = {}
+    kept = 0
+    for text, la in rest:
+        found = stretches_of(model, score, text)
+        kept += any(x[2] == la for x in found)
+        if len(found) == 1 and found[0][2] != "und":
+            by.setdefault(int(10 * found[0][3]), []).append((found[0][2] == la, found[0][3]))
+    # labels are wrong here and there, hence the margins
+    assert kept >= 0.8 * len(rest)
+    for xs in by.values():
+        if len(xs) >= 50:
+            assert abs(sum(x for x, _ in xs) / len(xs) - sum(c for _, c in xs) / len(xs)) < 0.2
