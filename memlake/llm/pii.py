@@ -3,16 +3,20 @@
 1. Candidates: spans whose form could be an item (numbers, mail addresses, capitalised
    or known name parts, street and house number) come out of one pass over the whole
    texts, each with its lexical patterns: the words on its left and right, the mask of
-   its digits, its own parts. Items of unmistakable form, and names whose parts are all
-   in ``name_parts``, are seeds.
-2. The graph of patterns and instances is scored in Spark: a pattern is as good as the
-   share of its instances that are believed, an instance as good as its patterns
-   together (noisy or); seeds stay certain. A few rounds let good contexts vouch for unseen names
-   and numbers, and those for further contexts.
-3. Candidates above a threshold are items. Overlaps go to the better, then longer one.
-
-For scripts without blanks the left and right contexts of seed names are learned
+   its letters and digits, its own parts, the word for its street, the end of its host.
+2. Seeds: of the candidates of unmistakable form, and of names whose parts are all in
+   ``name_parts``, one in ``SEEDS`` by a hash of the surface. All others have to be discovered.
+3. The graph of patterns and instances is scored in Spark: a pattern is as good as the
+   share of its instances that are believed, those that are not known counting in part;
+   an instance is as good as its patterns together (noisy or); seeds stay certain. A few
+   rounds let good patterns vouch for unseen identifiers, and those for further patterns.
+4. Candidates above a threshold are items. Overlaps go to the better, then longer one.
+
+For scripts without blanks the left and right contexts of known names are learned
 first; they delimit names of which neither part is known.
+
+Patterns and instances travel as 64-bit hashes. Instances are distinct (form, surface,
+patterns) with their counts, so a text repeated a million times is one instance.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import md5
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,10 +33,14 @@ from pyspark.sql import functions as F
 from memlake.operators import skew
 from memlake.sources.tables import Scratch
 
-KINDS = ("email", "phone", "id_number", "address", "name")
-ROUNDS = 3
+#: Kinds of items by the form of a candidate; only numbers may be of two.
+KINDS = {"email": ("email",), "number": ("phone", "id_number"), "address": ("address",), "name": ("name",)}
+ROUNDS = 4
 BELIEVED = 0.5
-FLOOR = BELIEVED
+#: One in so many candidates of unmistakable form is a seed.
+SEEDS = 3
+#: What an instance that is not known counts against its patterns; parts of names must be names nearly always.
+UNKNOWN, UNKNOWN_PART = 0.2, 1.0
 
 # Words for streets, and short forms that end in a dot.
 STREET = (
@@ -84,7 +93,9 @@ _EAST = re.compile(
     rf"|[{_HAN}]{{2,6}}\d{{1,3}}(?:丁目\d{{1,3}}番(?:地)?(?:\d{{1,3}}号)?|-\d{{1,3}}-\d{{1,3}}|番地?\d{{0,3}}号?)"
     r"|(?<![가-힣])[가-힣]{1,8}(?:대로|로|길) ?\d{1,4}(?:-\d{1,3})?"
 )
+_EAST_STREET = re.compile("大道|胡同|路|街|巷|弄|丁目|番|号|대로|로|길")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힣]")
+_LETTERS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
 _CJK_PART = rf"[{_HAN}가-힣ぁ-ヿ]"
 _DIGIT = re.compile(r"\d")
 _STARTS = re.compile(r"[.!?…。！？\n]\s*$")
@@ -121,7 +132,7 @@ def _between(le: str, ri: str) -> re.Pattern:
 
 
 class Finder:
-    """Candidates of a text: (shape, start, end, seed kind or '', patterns)."""
+    """Candidates of a text: (shape, start, end, kind if its form is unmistakable or '', patterns)."""
 
     def __init__(self, parts: list[tuple[str, str]], delimiters: list[tuple[str, str]] = ()):
         given = {p for p, k in parts if k == "given"}
@@ -158,12 +169,12 @@ class Finder:
         if self.east_seed:
             for m in self.east_seed.finditer(t):
                 s, e = m.span()
-                yield "name", s, e, "name", ["L" + _left(t, s), "R" + _right(t, e)]
+                yield "name", s, e, "name", ["L" + _left(t, s), "R" + _right(t, e), "A" + m.group()[0], "B" + m.group()[1:].strip()]
         for le, rx in self.delimited:
             if le in t:
                 for m in rx.finditer(t):
                     s, e = m.span(1)
-                    yield "name", s, e, "", ["L" + _left(t, s), "R" + _right(t, e)]
+                    yield "name", s, e, "", ["L" + _left(t, s), "R" + _right(t, e), "A" + t[s], "B" + t[s + 1 : e].strip()]
 
     def _addresses(self, t: str):
         for rx in (_FIRST, _THEN) if _THEN_END.search(t) else (_FIRST,):
@@ -173,16 +184,23 @@ class Finder:
                 first = x.split(" ")[0]
                 if rx is _THEN and not street and (first[0].islower() or " " in x.strip() and x.count(" ") > 2):
                     continue
-                yield "address", m.start(), m.end(), "address" if street else "", ["L" + _left(t, m.start()), "R" + _right(t, m.end())]
+                yield "address", m.start(), m.end(), "address" if street else "", ["L" + _left(t, m.start()), "R" + _right(t, m.end()), "T" + (street.group().lower() if street else "")]
         if _CJK.search(t):
             for m in _EAST.finditer(t):
-                yield "address", m.start(), m.end(), "address", ["L" + _left(t, m.start()), "R" + _right(t, m.end())]
+                yield "address", m.start(), m.end(), "address", ["L" + _left(t, m.start()), "R" + _right(t, m.end()), "T" + (x.group() if (x := _EAST_STREET.search(m.group())) else "-")]
+
+    def _mails(self, t: str):
+        for m in _EMAIL.finditer(t):
+            s, e = m.span()
+            mask = _DIGITS.sub("0", _LETTERS.sub("a", m.group()))
+            plain = "@" in m.group() and " " not in m.group()
+            yield "email", s, e, "email" if plain else "", ["L" + _left(t, s), "R" + _right(t, e), "S" + mask, "T" + _LETTERS.findall(m.group())[-1].lower()]
 
     def __call__(self, t: str) -> list[tuple[str, int, int, str, list[str]]]:
         out = []
         low = t if "@" in t else t.lower()
         if "@" in low or "(at" in low or "[at" in low:
-            out += [("email", m.start(), m.end(), "email", []) for m in _EMAIL.finditer(t)]
+            out += self._mails(t)
         mails = [(s, e) for _, s, e, _, _ in out]
         if _DIGIT.search(t):
             out += [x for x in (*self._number(t), *self._addresses(t))]
@@ -193,22 +211,16 @@ class Finder:
 
 
 #: What a pattern may add to an instance by its class: what follows an item never suffices alone.
-_WEIGHT = {"L": 0.9, "R": 0.45, "S": 0.9, "A": 0.9, "B": 0.9}
+_WEIGHT = {"L": 0.9, "R": 0.45, "S": 0.9, "A": 0.9, "B": 0.9, "T": 0.6}
 #: Contexts that say nothing: the start and the end of a sentence.
-_EMPTY = ("L^", "R$", "A", "B", "S", "L", "R")
-
-
-def _together(k: str):
-    """Noisy or of the scores ``k`` of the patterns ``p`` of an instance."""
-    weight = F.lit(0.9)
-    for c, w in _WEIGHT.items():
-        weight = F.when(F.substring("p", 1, 1) == c, w).otherwise(weight)
-    return 1 - F.exp(F.sum(F.log(1 - weight * F.coalesce(F.col(k), F.lit(0.0)))))
+_EMPTY = ("L^", "R$", "A", "B", "S", "L", "R", "T")
 
 
-OCCURRENCE = "mem_key string, text_field string, shape string, s int, e int, surface string, seed string, patterns array<string>"
+OCCURRENCE = "mem_key string, text_field string, shape string, s int, e int, surface string, seed string, patterns array<string>, id long"
 
 
+#: Patterns up to which their scores are sent to all tasks, and name parts that may be given.
+MOST_SENT, MOST_PARTS = 100_000, 1_000_000
 #: Contexts of names up to which their list is sent to all tasks; longer ones are joined.
 MOST_CONTEXTS = 1000
 _CJK_ONE = re.compile(_CJK_PART)
@@ -274,6 +286,7 @@ def occurrences(df: DataFrame, parts: list[tuple[str, str]], delimiters: list[tu
     """All candidates of the texts (``OCCURRENCE``); a column ``contexts`` holds a row's own delimiters."""
     own = ["contexts"] if "contexts" in df.columns else []
     names = ["mem_key", "text_field", "shape", "s", "e", "surface", "seed", "patterns"]
+    seeds = SEEDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Finder(parts, delimiters)
@@ -286,50 +299,75 @@ def occurrences(df: DataFrame, parts: list[tuple[str, str]], delimiters: list[tu
                     if t:
                         if around is not None:
                             find.delimited = around[j]
-                        rows += [(k, f, shape, s, e, t[s:e], seed, ps) for shape, s, e, seed, ps in find(t)]
+                        rows += [(k, f, shape, s, e, x, kind if kind and int.from_bytes(md5(x.encode("utf-8", "surrogatepass")).digest()[:4], "little") % seeds == 0 else "", ps) for shape, s, e, kind, ps in find(t) if (x := t[s:e])]
             kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kinds[j]) for j in range(8)], names)
 
-    return df.select(F.col(key).cast("string"), *fields, *own).where(F.col(key).isNotNull()).mapInArrow(run, OCCURRENCE)
+    found = df.select(F.col(key).cast("string"), *fields, *own).where(F.col(key).isNotNull()).mapInArrow(run, OCCURRENCE.rsplit(",", 1)[0])
+    return found.withColumn("id", F.xxhash64("shape", "surface", "patterns"))
+
+
+def _scored(edges: DataFrame, score: DataFrame | None, hot: skew.HotKeys | None) -> DataFrame:
+    """id, n, seed, ps, s1, s2: instances with how well their patterns vouch for the first and the second kind of their form."""
+    if score is None:
+        rows = edges.withColumn("k1", F.lit(0.0)).withColumn("k2", F.lit(0.0))
+    elif score.count() <= MOST_SENT:  # the list of patterns is sent to all tasks only while it is short
+        rows = edges.join(F.broadcast(score), "p", "left")
+    else:
+        rows = skew.salted_join(edges, score.hint("shuffle_hash"), "p", F.col("id"), hot, "left")
+    vouch = lambda k: 1 - F.exp(F.sum(F.log(1 - F.col("w") * F.coalesce(F.col(k), F.lit(0.0)))))
+    return rows.groupBy("id").agg(F.first("n").alias("n"), F.first("seed").alias("seed"), F.collect_list(F.struct("p", "part")).alias("ps"), vouch("k1").alias("s1"), vouch("k2").alias("s2"))
+
+
+def _label(rows: DataFrame) -> DataFrame:
+    """Adds ``is``: 1 or 2 for the kind that an instance is believed to be, 0 if none."""
+    better = F.when((F.col("s1") >= BELIEVED) & (F.col("s1") >= F.col("s2")), 1).when(F.col("s2") >= BELIEVED, 2).otherwise(0)
+    return rows.withColumn("is", F.when(F.col("seed") > 0, F.col("seed")).otherwise(better))
 
 
 def believe(occ: DataFrame, scratch: Scratch, rounds: int = ROUNDS, least_hot: int = skew.LEAST) -> DataFrame:
-    """(pattern, phone, id_number, address, name): how good each pattern is for each kind, after ``rounds`` rounds.
+    """id, is, score: the instances that are believed after ``rounds`` rounds.
 
-    Works on distinct (surface, patterns) with their counts. An instance counts for its
-    patterns once it is believed, not by degrees, so that weak contexts cannot raise each
-    other. Patterns that occurred once vouch for nothing.
+    Works on distinct instances with their counts. An instance counts for its patterns once
+    it is believed, not by degrees, so that weak contexts cannot raise each other; patterns
+    that occurred once vouch for nothing.
     """
-    kinds = ("phone", "id_number", "address", "name")
-    seed = F.max("seed").alias("seed")
-    nodes = occ.where(F.size("patterns") > 0).groupBy("shape", "surface", "patterns").agg(F.count("*").alias("n"), seed)
-    nodes = scratch.write(nodes.withColumn("id", F.monotonically_increasing_id()))
-    edges = nodes.select("id", "shape", "n", "seed", F.explode("patterns").alias("p")).where(~F.col("p").isin(*_EMPTY))
-    edges = edges.withColumn("pattern", F.concat_ws("\x00", "shape", "p"))
-    hot = skew.hot_keys(edges, "pattern", least_hot)
+    second = F.max((F.col("seed") == "id_number").cast("int") * 2 + (F.col("seed").isin("email", "phone", "address", "name")).cast("int"))
+    nodes = occ.groupBy("id").agg(F.count("*").alias("n"), second.alias("seed"), F.first("shape").alias("shape"), F.first("patterns").alias("patterns"))
+    kept = F.filter("patterns", lambda p: ~p.isin(*_EMPTY))
+    edges = nodes.select("id", "n", "seed", "shape", F.explode_outer(F.when(F.size(kept) > 0, kept)).alias("x"))
+    weight = F.lit(0.0)
+    for c, w in _WEIGHT.items():
+        weight = F.when(F.substring("x", 1, 1) == c, w).otherwise(weight)
+    edges = scratch.write(edges.select("id", "n", "seed", F.coalesce(F.xxhash64("shape", "x"), F.lit(0)).alias("p"), weight.alias("w"), F.substring("x", 1, 1).isin("A", "B").alias("part")))
+    hot = skew.hot_keys(edges, "p", least_hot)
     score = None
-    for i in range(rounds):
-        if score is None:
-            e = edges.select("id", "pattern", "n", *[(F.col("seed") == k).cast("double").alias(k) for k in kinds])
-        else:
-            e = skew.salted_join(edges, score, "pattern", F.col("id"), hot)
-            inst = e.groupBy("id").agg(*[_together(k).alias(k) for k in kinds])
-            inst = nodes.select("id", "seed").join(inst, "id").select("id", *[F.when(F.col("seed") == k, 1.0).when((F.col("seed") == "") & (F.col(k) >= BELIEVED), 1.0).otherwise(0.0).alias(k) for k in kinds])
-            e = edges.select("id", "pattern", "n").join(inst, "id")
-        pat = e.groupBy("pattern").agg(F.sum("n").alias("m"), *[F.sum(F.col("n") * F.col(k)).alias(k) for k in kinds])
-        score = scratch.write(pat.where("m > 1").select("pattern", *[(F.col(k) / (F.col("m") + 1)).alias(k) for k in kinds]))
-    return score
+    for _ in range(rounds):
+        inst = _label(_scored(edges, score, hot)).select("n", "is", F.explode("ps").alias("x")).select("n", "is", "x.p", "x.part")
+        n_of = lambda k: F.sum(F.when(F.col("is") == k, F.col("n")).otherwise(0))
+        pat = inst.groupBy("p", "part").agg(n_of(1).alias("n1"), n_of(2).alias("n2"), n_of(0).alias("n0")).where("n0 + n1 + n2 > 1 and n1 + n2 > 0")
+        room = F.col("n1") + F.col("n2") + F.when(F.col("part"), UNKNOWN_PART).otherwise(UNKNOWN) * F.col("n0") + 1
+        last, score = score, scratch.write(pat.select("p", (F.col("n1") / room).alias("k1"), (F.col("n2") / room).alias("k2")))
+        if last is not None:
+            scratch.drop(last)
+    sure = _label(_scored(edges, score, hot)).where("is > 0")
+    return scratch.write(sure.select("id", "is", F.when(F.col("seed") > 0, 1.0).otherwise(F.greatest("s1", "s2")).alias("score")))
 
 
 def find_items(df: DataFrame, name_parts: DataFrame, key: str = "storage_key", fields: tuple[str, ...] = ("content", "raw_text", "original_message"), rounds: int = ROUNDS, least_hot: int = skew.LEAST, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
-    """mem_key, text_field, kind, s, e, pii, score: the items of each text in the order of their place, without overlaps.
+    """mem_key, text_field, kind, s, e, pii, score, seed: the items of each text in the order of their place, without overlaps.
 
-    Null keys, null and empty texts have none. Rows delivered twice give their items once.
-    ``name_parts`` (name_part, kind) is a reference list that does not grow with the data.
+    ``seed`` tells the few that were given from those that patterns discovered. Null keys,
+    null and empty texts have no items. Rows delivered twice give their items once.
+    ``name_parts`` (name_part, kind) is a reference list that does not grow with the data;
+    more than ``MOST_PARTS`` of them are an error, as the list is sent to all tasks.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "pii")
-    parts = sorted({(r[0], r[1]) for r in name_parts.select("name_part", "kind").collect() if r[0] and r[1]})
+    given = name_parts.select("name_part", "kind").where("name_part <> '' and kind is not null").distinct().limit(MOST_PARTS + 1).collect()
+    if len(given) > MOST_PARTS:
+        raise ValueError(f"more than {MOST_PARTS} name parts")
+    parts = sorted((r[0], r[1]) for r in given)
     contexts = _contexts(df, fields, parts)
     few = []
     if contexts is not None:
@@ -337,33 +375,30 @@ def find_items(df: DataFrame, name_parts: DataFrame, key: str = "storage_key", f
         few = sorted((r[0], r[1]) for r in contexts.limit(most_contexts + 1).collect())
     many = len(few) > most_contexts
     occ = scratch.write(occurrences(_with_contexts(df, contexts, key, fields, scratch) if many else df, parts, [] if many else few, key, fields))
-    score = believe(occ, scratch, rounds, least_hot)
-    kinds = ("phone", "id_number", "address", "name")
-    sure = occ.where(F.size("patterns") == 0).select("mem_key", "text_field", F.col("seed").alias("kind"), "s", "e", F.col("surface").alias("pii"), F.lit(1.0).alias("score"))
-    rest = occ.where(F.size("patterns") > 0)
-    edges = rest.select("mem_key", "text_field", "shape", "s", "e", "surface", "seed", F.explode("patterns").alias("p")).withColumn("pattern", F.concat_ws("\x00", "shape", "p"))
-    hot = skew.hot_keys(edges, "pattern", least_hot)
-    e = skew.salted_join(edges, score, "pattern", F.xxhash64("mem_key", "s"), hot, "left")
-    by = e.groupBy("mem_key", "text_field", "shape", "s", "e", "surface", "seed").agg(*[_together(k).alias(k) for k in kinds])
-    pick = {"number": ("phone", "id_number"), "address": ("address",), "name": ("name",)}
-    best = F.greatest(*[F.struct(F.when(F.col("seed") == k, 1.0).when(F.col("shape").isin([x for x, ks in pick.items() if k in ks]), F.col(k)).otherwise(0.0).alias("score"), F.lit(k).alias("kind")) for k in kinds])
-    by = by.withColumn("b", best).select("mem_key", "text_field", "b.kind", "s", "e", F.col("surface").alias("pii"), "b.score").where(F.col("score") >= FLOOR)
+    found = believe(occ, scratch, rounds, least_hot)
+    hot = skew.hot_keys(occ, "id", least_hot)
+    by = skew.salted_join(occ.drop("patterns"), found, "id", F.xxhash64("mem_key", "s"), hot)
+    kind = F.lit(None).cast("string")
+    for shape, kinds in KINDS.items():
+        for i, k in enumerate(kinds, 1):
+            kind = F.when((F.col("shape") == shape) & (F.col("is") == i), k).otherwise(kind)
+    by = by.select("mem_key", "text_field", kind.alias("kind"), "s", "e", F.col("surface").alias("pii"), "score", (F.col("seed") != "").alias("seed"))
     # overlaps within one text: bounded by the text
-    every = sure.unionByName(by).distinct().groupBy("mem_key", "text_field").agg(F.collect_list(F.struct("score", "s", "e", "kind", "pii")).alias("x"))
+    every = by.distinct().groupBy("mem_key", "text_field").agg(F.collect_list(F.struct("score", "s", "e", "kind", "pii", "seed")).alias("x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for k, f, xs in zip(*(c.to_pylist() for c in batch.columns)):
                 free: list[dict] = []
-                for x in sorted(xs, key=lambda x: (-round(x["score"], 1), x["s"] - x["e"], x["s"], x["kind"])):
+                for x in sorted(xs, key=lambda x: (-round(x["score"], 2), x["s"] - x["e"], x["s"], x["kind"])):
                     if all(x["e"] <= y["s"] or y["e"] <= x["s"] for y in free):
                         free.append(x)
-                rows += [(k, f, x["kind"], x["s"], x["e"], x["pii"], x["score"]) for x in sorted(free, key=lambda x: x["s"])]
-            kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kinds[j]) for j in range(7)], ["mem_key", "text_field", "kind", "s", "e", "pii", "score"])
+                rows += [(k, f, x["kind"], x["s"], x["e"], x["pii"], x["score"], x["seed"]) for x in sorted(free, key=lambda x: x["s"])]
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kinds[j]) for j in range(8)], ["mem_key", "text_field", "kind", "s", "e", "pii", "score", "seed"])
 
-    return every.mapInArrow(run, "mem_key string, text_field string, kind string, s int, e int, pii string, score double")
+    return every.mapInArrow(run, "mem_key string, text_field string, kind string, s int, e int, pii string, score double, seed boolean")
 
 
 def redact(df: DataFrame, items: DataFrame, key: str = "storage_key", fields: tuple[str, ...] = ("content", "raw_text", "original_message")) -> DataFrame:

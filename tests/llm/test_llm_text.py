@@ -64,7 +64,7 @@ def pii_corpus():
     names = ["Grace Drumlow", "Corwin Wexholm", "Grace Wexholm", "Corwin Drumlow"]
     new = ["Ilka Ombers", "Wilf Velder"]
     rows = []
-    for i in range(24):
+    for i in range(96):
         n = names[i % 4] if i % 3 else new[i % 2]
         rows.append((f"k{i}", f"The invoice of {n} still shows {10 + i} Old Heron Lane as the address.", f"Call me on +1415555{1000 + i} if the job hangs." if i % 2 else f"Call me on 0415.55{1000 + i} if the job hangs.", f"Write to {n.split()[0].lower()}.{i}@mail.site.example please. Ticket 1234-{1000 + i} covers Tamozu Ridu."))
     return rows
@@ -75,7 +75,9 @@ def test_personal_information(spark):
     schema = "storage_key string, content string, raw_text string, original_message string"
     df = spark.createDataFrame(rows + rows[:3] + [("e", None, "", "  "), (None, "a@b.example", None, None), ("l", "x " * 40_000, None, None)], schema)
     parts = spark.createDataFrame([("Grace", "given"), ("Corwin", "given"), ("Drumlow", "family"), ("Wexholm", "family"), (None, "given")], "name_part string, kind string")
-    got = {(r.mem_key, r.text_field, r.kind, r.pii) for r in pii.find_items(df, parts).collect()}
+    items = pii.find_items(df, parts).collect()
+    assert sum(r.seed for r in items) <= len(items) / 2  # most are discovered
+    got = {(r.mem_key, r.text_field, r.kind, r.pii) for r in items}
     want = set()
     for k, c, r, o in rows:
         want |= {(k, "content", "name", c.split(" of ")[1].split(" still")[0]), (k, "content", "address", c.split("shows ")[1].split(" as")[0]), (k, "raw_text", "phone", r.split(" on ")[1].split(" if")[0]), (k, "original_message", "email", o.split(" to ")[1].split(" please")[0])}
