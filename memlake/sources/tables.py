@@ -96,5 +96,6 @@ class Scratch:
 
     def settle(self) -> None:
         """Lets Spark remove the shuffle files of finished stages, which nothing needs once their result is written."""
+        self.spark.range(1).count()  # the scheduler holds on to the last job
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
