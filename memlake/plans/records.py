@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from memlake.functions import language as L
 from memlake.functions import scoring as S
+from memlake.functions.fixed_values import SECRETS
 from memlake.functions.text import BLANK
 from memlake.operators import analytics as A
-from memlake.operators import classify as C
 from memlake.operators import recall as R
+from memlake.operators.classify import summary_counts
 from memlake.sources.tables import table
 
 QUERIES: dict = {}
@@ -172,9 +173,12 @@ def f5(spark, d):
     return R.contains_any(records(spark, d), ["100%", "max_hops", "Budget"], ("content",)).select("storage_key")
 
 
-@query("f7_x8_secrets", f"""select storage_key, regexp_matches(coalesce(content,''), '(?i)(token|secret)\\s*[=:]') flagged from {REC}""")
+_QUOTED = [(k, p.replace("'", "''")) for k, p in SECRETS]
+
+
+@query("f7_x8_secrets", "select storage_key, list_filter([" + ", ".join(f"case when regexp_matches(content, '{p}') then '{k}' end" for k, p in _QUOTED) + f"], lambda x: x is not null) kinds from {REC} where " + " or ".join(f"regexp_matches(content, '{p}')" for _, p in _QUOTED))
 def f7(spark, d):
-    return records(spark, d).select("storage_key", F.coalesce("content", F.lit("")).rlike(r"(?i)(token|secret)\s*[=:]").alias("flagged"))
+    return records(spark, d).where(L.has_secret("content")).select("storage_key", L.secret_kinds("content").alias("kinds"))
 
 
 @query("f8_quality_filter", f"select storage_key, {QUAL} quality from {REC} where {QUAL} >= 0.6")
@@ -344,7 +348,7 @@ def a10(spark, d):
 
 @query("a17_summary", f"select type, tier, count(*) n, round(avg(confidence),6) avg_confidence from {REC} group by type, tier")
 def a17(spark, d):
-    return C.summary_counts(records(spark, d))
+    return summary_counts(records(spark, d))
 
 
 @query("a19_dominant_type", f"select namespace, arg_min(type, (-n, type)) dominant from (select namespace, type, count(*) n from {REC} group by 1, 2) group by namespace")
@@ -488,34 +492,3 @@ def x19(spark, d):
 def x21(spark, d):
     e = table(spark, d, "en").dropDuplicates(["id"]).where("message is not null")
     return e.select("id", L.confirmation("message").alias("confirm"))
-
-
-# classification
-@query("c1_c10_classify")
-def c1(spark, d):
-    return C.classify(table(spark, d, "en").dropDuplicates(["id"]).select("id", "message"), "message")
-
-
-_NOISE = "lower(trim(message))"
-
-
-@query("f16_noise", "select id, case when message is null or trim(message) = '' then 'short' " + " ".join(f"when regexp_matches({_NOISE}, '{p}') then '{k}'" for k, p in C.NOISE.items()) + f" when length(trim(message)) < 5 and not regexp_matches({_NOISE}, '[a-z]{{3,}}') then 'short' end noise from (select distinct on (id) * from en)")
-def f16(spark, d):
-    return table(spark, d, "en").dropDuplicates(["id"]).select("id", C.noise_kind("message").alias("noise"))
-
-
-@query("c4_labels", "select id, list_filter([" + ", ".join(f"case when regexp_matches(lower(message), '{p}') then '{k}' end" for k, p, _, _ in [(k, p.replace("'", "''"), c, t) for k, p, c, t in C.DETECTORS]) + "], lambda x: x is not null) labels from (select distinct on (id) * from en) where message is not null")
-def c4(spark, d):
-    e = table(spark, d, "en").dropDuplicates(["id"]).where("message is not null")
-    return e.select("id", F.transform(C.labels("message"), lambda x: x["type"]).alias("labels"))
-
-
-@query("c12_q26_repeats", "select id, (row_number() over (partition by sha256(message) order by id))::int nth from (select distinct on (id) * from en) where message is not null")
-def c12(spark, d):
-    e = table(spark, d, "en").dropDuplicates(["id"]).where("message is not null").withColumn("all", F.lit(1))
-    return C.repeats(e, "message", "all", "id").select("id", "nth")
-
-
-@query("c13_feedback", "select event_id, case when event_type = 'error' then 'tool_error' when event_type = 'view' and value > 200 then 'performance' when event_type = 'purchase' then 'positive_feedback' when event_type = 'signup' then 'follow_up' end kind from events")
-def c13(spark, d):
-    return table(spark, d, "events").select("event_id", C.feedback(F.col("event_type"), F.col("value")).alias("kind"))
