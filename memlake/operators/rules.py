@@ -21,34 +21,147 @@ def _sent(rules: DataFrame, n: int | None = None) -> DataFrame:
     return F.broadcast(rules) if n <= MOST_RULES else rules
 
 
+def rule_tokens(c: Column | str) -> Column:
+    """Distinct Latin words and numbers in lower case, and every one to three neighbouring CJK characters."""
+    c = F.col(c) if isinstance(c, str) else c
+    runs = L.matches(c, L.CJK + "+")
+    at = lambda r, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.length(r) - i + 1)), lambda n: F.substr(r, i, n))
+    grams = F.flatten(F.transform(runs, lambda r: F.flatten(F.transform(F.sequence(F.lit(1), F.length(r)), lambda i: at(r, i)))))
+    return F.array_distinct(F.concat(L.matches(F.lower(c), r"[a-z0-9_]+"), grams))
+
+
+def active(rules: DataFrame, at: Column | None = None, scopes: tuple[str, ...] = (), conditions: tuple[str, ...] = ()) -> DataFrame:
+    """Rules in force: active, not expired, of an asked scope, and without a condition or with one that shares a word with ``conditions`` where any are given."""
+    if "status" in rules.columns:
+        rules = rules.where("status = 'active'")
+    if at is not None and "expires_at" in rules.columns:
+        rules = rules.where(F.col("expires_at").isNull() | (F.col("expires_at") > at))
+    if scopes:
+        rules = rules.where(F.col("scope").isin(*scopes))
+    if conditions and "condition" in rules.columns:
+        given = sorted({w for c in conditions for w in c.lower().split()})
+        shared = F.arrays_overlap(rule_tokens("condition"), F.array(*[F.lit(w) for w in given]))
+        rules = rules.where((F.coalesce("condition", F.lit("")) == "") | shared)
+    return rules
+
+
+def search(queries: DataFrame, rules: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, rule_id, bm25): rules whose trigger or action shares a token with the query (query_id, query), weighted by BM25 over all rules."""
+    docs = rules.select("rule_id", L.matches(F.lower(F.concat_ws(" ", "trigger", "action")), r"[\p{L}\p{N}_]+").alias("t")).withColumn("len", F.size("t"))
+    stats = docs.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))
+    tf = docs.select("rule_id", "len", F.explode("t").alias("w")).groupBy("rule_id", "len", "w").agg(F.count("*").alias("tf"))
+    weight = tf.groupBy("w").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # stats: one row
+    posting = tf.join(weight, "w")
+    s = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
+    asked = queries.select("query_id", F.explode(L.word_tokens("query")).alias("w"))
+    return asked.join(posting.select("w", "rule_id", s.alias("s")), "w").groupBy("query_id", "rule_id").agg(F.round(F.sum("s"), 9).alias("bm25"))
+
+
 def match(scenes: DataFrame, rules: DataFrame, k: int = 5) -> DataFrame:
-    """(scene_id, rule_id, score, rank): best k rules per scene.
+    """(scene_id, rule_id, match_type, score, rank): best k rules per scene, of each rule its best match.
 
-    Global rules .6, equal trigger 1.0, trigger within the scene .8, a shared token .5, plus
-    bonuses; at most 1. Candidates come from an equi join on tokens (and the global rules, of
-    which there are at most three by ``limits``), not from comparing every pair.
+    Global rules (trigger '*') .6 for every scene, an equal trigger 1.0, text search a tenth
+    of the BM25 weight between .3 and .95, a trigger within the scene or sharing a token .5;
+    plus bonuses, at most 1. Candidates come from equi joins on tokens; global rules are a few
+    by ``limits`` and only the k best of them can count for any scene.
     """
-    sc = scenes.select("scene_id", F.lower("scene").alias("scene"), L.word_tokens("scene").alias("st"))
-    ru = rules.select("rule_id", F.lower("trigger").alias("trigger"), "override", "scope", "confidence", "trigger_count", L.word_tokens("trigger").alias("rt"))
-    st = sc.select("scene_id", "scene", F.explode("st").alias("t"))
-    rt = ru.select("*", F.explode("rt").alias("t")).drop("rt")
-    hits = st.join(_sent(rt), "t").drop("t").distinct()
-    base = F.when(F.col("scene") == F.col("trigger"), 1.0).when(F.contains("scene", "trigger"), 0.8).otherwise(0.5)
-    score = F.round(F.least(F.lit(1.0), base + S.rule_bonus(F.col("override"), F.col("trigger_count").cast("double"), F.col("confidence"))), 6)
-    out = hits.select("scene_id", "rule_id", score.alias("score"))
-    w = Window.partitionBy("scene_id").orderBy(F.desc("score"), "rule_id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    bonus = S.rule_bonus(F.col("override"), F.col("trigger_count").cast("double"), F.col("confidence"))
+    ru = rules.select("rule_id", "trigger", "action", F.lower("trigger").alias("low"), bonus.alias("bonus"))
+    sc = scenes.select("scene_id", F.lower(F.trim("scene")).alias("scene"))
+    every = ru.where("trigger = '*'").orderBy(F.desc("bonus"), "rule_id").limit(k)  # at most k rows
+    whole = sc.crossJoin(F.broadcast(every.select("rule_id", "bonus"))).select("scene_id", "rule_id", F.lit("global").alias("match_type"), F.lit(0.6).alias("base"), "bonus")
+    local = ru.where("trigger <> '*'")
+    found = search(sc.select(F.col("scene_id").alias("query_id"), F.col("scene").alias("query")), local).withColumnRenamed("query_id", "scene_id")
+    text = found.join(_sent(local.select("rule_id", "bonus")), "rule_id").select("scene_id", "rule_id", F.lit("fts").alias("match_type"), F.least(F.greatest(F.col("bm25") / 10, F.lit(0.3)), F.lit(0.95)).alias("base"), "bonus")
+    exact = sc.join(_sent(local.withColumnRenamed("low", "scene")), "scene").select("scene_id", "rule_id", F.lit("exact").alias("match_type"), F.lit(1.0).alias("base"), "bonus")
+    st = sc.select("scene_id", F.explode(rule_tokens("scene")).alias("t"))
+    rt = local.select("rule_id", "bonus", F.explode(rule_tokens("low")).alias("t"))
+    near = st.join(_sent(rt), "t").where(F.length("t") >= 2).select("scene_id", "rule_id", F.lit("partial").alias("match_type"), F.lit(0.5).alias("base"), "bonus").distinct()
+    rows = whole.unionByName(exact).unionByName(text).unionByName(near)
+    score = F.round(F.least(F.lit(1.0), F.col("base") + F.col("bonus")), 6)
+    best = rows.withColumn("score", score).groupBy("scene_id", "rule_id").agg(F.max(F.struct("score", "base", "match_type")).alias("b"))
+    w = Window.partitionBy("scene_id").orderBy(F.desc("b.score"), "rule_id")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("scene_id", "rule_id", "b.match_type", "b.score", "rank")
+
+
+# How grave a conflict is.
+SEVERITY = {"redundancy": "low", "contradiction": "critical", "overlap": "medium", "global": "critical"}
 
 
 def conflicts(rules: DataFrame) -> DataFrame:
-    """(kind, rule_a, rule_b): redundant rules (one trigger and action), contradictions (one trigger, opposed types), overlaps (one trigger, other action)."""
-    r = rules.select("rule_id", F.lower(F.trim("trigger")).alias("trigger"), F.lower(F.trim("action")).alias("action"), "rule_type")
-    a, b = r.alias("a"), r.alias("b")
-    both = a.join(b, (F.col("a.trigger") == F.col("b.trigger")) & (F.col("a.rule_id") < F.col("b.rule_id")))
-    pair = F.array_sort(F.array("a.rule_type", "b.rule_type"))
-    opposed = F.array_join(pair, "/").isin(*["/".join(sorted(p)) for p in OPPOSED_TYPES])
-    kind = F.when(F.col("a.action") == F.col("b.action"), "redundancy").when(opposed, "contradiction").otherwise("overlap")
-    return both.select(kind.alias("kind"), F.col("a.rule_id").alias("rule_a"), F.col("b.rule_id").alias("rule_b"))
+    """(kind, severity, rule_a < rule_b) of rules whose triggers overlap: equal, either '*', one within the other, or half of the fewer words shared.
+
+    Redundant rules have one trigger, action and type; opposed types contradict; equal types with
+    another action overlap. Rules are first taken together by trigger and type, so pairs are
+    looked at between distinct triggers that share a word; triggers of a word's substring are
+    found by its three-letter pieces.
+    """
+    r = rules.select("rule_id", F.lower(F.trim("trigger")).alias("trigger"), "action", "rule_type")
+    words = F.array_distinct(F.filter(F.split("trigger", r"\s+"), lambda x: x != ""))
+    triggers = r.select("trigger").distinct().withColumn("words", words)
+    piece = F.when(F.length("trigger") < 3, F.array("trigger")).otherwise(F.transform(F.sequence(F.lit(1), F.length("trigger") - 2), lambda i: F.substr("trigger", i, F.lit(3))))
+    keys = triggers.select("trigger", "words", F.explode(F.array_distinct(F.concat("words", piece))).alias("k"))
+    a, b = keys.alias("a"), keys.alias("b")
+    both = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.trigger") < F.col("b.trigger"))).select(F.col("a.trigger").alias("x"), F.col("b.trigger").alias("y"), F.col("a.words").alias("p"), F.col("b.words").alias("q")).distinct()
+    shared = F.size(F.array_intersect("p", "q"))
+    within = F.contains("x", F.col("y")) | F.contains("y", F.col("x"))
+    near = both.where(within | ((shared >= 1) & (shared / F.least(F.size("p"), F.size("q")) >= 0.5))).select("x", "y")
+    star = triggers.where("trigger = '*'").select(F.col("trigger").alias("x")).crossJoin(triggers.where("trigger <> '*'").select(F.col("trigger").alias("y")))  # one row
+    pairs = near.where("x <> '*' and y <> '*'").unionByName(star).unionByName(triggers.select(F.col("trigger").alias("x"), F.col("trigger").alias("y")))
+    left = r.select(*[F.col(c).alias(f"{c}_a") for c in r.columns]).withColumnRenamed("trigger_a", "x")
+    right = r.select(*[F.col(c).alias(f"{c}_b") for c in r.columns]).withColumnRenamed("trigger_b", "y")
+    both = pairs.join(left, "x").join(right, "y").where((F.col("x") != F.col("y")) | (F.col("rule_id_a") < F.col("rule_id_b")))
+    opposed = F.array_join(F.array_sort(F.array("rule_type_a", "rule_type_b")), "/").isin(*["/".join(sorted(p)) for p in OPPOSED_TYPES])
+    same = (F.col("x") == F.col("y")) & (F.col("action_a") == F.col("action_b")) & (F.col("rule_type_a") == F.col("rule_type_b"))
+    over = (F.col("rule_type_a") == F.col("rule_type_b")) & (F.col("action_a") != F.col("action_b"))
+    kind = F.when(same, "redundancy").when(opposed, "contradiction").when(over, "overlap")
+    out = both.select(kind.alias("kind"), F.least("rule_id_a", "rule_id_b").alias("rule_a"), F.greatest("rule_id_a", "rule_id_b").alias("rule_b")).where("kind is not null")
+    return out.withColumn("severity", _severity())
+
+
+def _severity() -> Column:
+    out = F.lit(None).cast("string")
+    for k, v in SEVERITY.items():
+        out = F.when(F.col("kind") == k, v).otherwise(out)
+    return out
+
+
+def health(rules: DataFrame) -> DataFrame:
+    """(severity, n): conflicts by severity."""
+    return conflicts(rules).groupBy("severity").agg(F.count("*").alias("n"))
+
+
+def implicit_preferences(df: DataFrame, text: str, domains: dict[str, tuple[str, ...]], least: int = 3, share: float = 0.5) -> DataFrame:
+    """(namespace, domain, choice, n, ratio, confidence): the word of a domain that a namespace mentions most, at least ``least`` times and in ``share`` of all mentions."""
+    names = [F.struct(F.lit(d).alias("domain"), F.lit(w).alias("choice"), F.regexp_count(F.lower(text), F.lit(rf"\b{w}\b")).alias("n")) for d, ws in domains.items() for w in ws]
+    each = df.select("namespace", F.explode(F.filter(F.array(*names), lambda x: x["n"] > 0)).alias("x")).groupBy("namespace", "x.domain", "x.choice").agg(F.sum("x.n").alias("n"))
+    by = each.groupBy("namespace", "domain").agg(F.sum("n").alias("total"), F.min_by("choice", F.struct(-F.col("n"), "choice")).alias("choice"), F.max("n").alias("n"))
+    by = by.withColumn("ratio", F.col("n") / F.col("total")).where((F.col("total") >= least) & (F.col("n") >= least) & (F.col("ratio") >= share))
+    return by.select("namespace", "domain", "choice", "n", F.round("ratio", 6).alias("ratio"), F.round(F.least(0.5 + 0.3 * F.col("ratio"), F.lit(0.9)), 6).alias("confidence"))
+
+
+def rank_estimate(queries: DataFrame, rules: DataFrame) -> DataFrame:
+    """(query_id, rule_id, score) of rules that share a word with a query: .5, .3 more if the trigger holds the query, .1 if the action does, .2 times the share of its words in the trigger; at most 1."""
+    q = queries.select("query_id", F.lower("query").alias("query"), L.space_tokens("query").alias("qw"))
+    r = rules.select("rule_id", F.lower("trigger").alias("trigger"), F.lower("action").alias("action"), L.space_tokens("trigger").alias("tw"))
+    words = F.array_distinct(F.concat("tw", L.space_tokens("action")))
+    hit = q.select("query_id", "query", "qw", F.explode("qw").alias("w")).join(_sent(r.select("rule_id", "trigger", "action", "tw", F.explode(words).alias("w"))), "w").drop("w").distinct()
+    shared = F.size(F.array_intersect("qw", "tw")) / F.greatest(F.size("qw"), F.lit(1))
+    s = 0.5 + F.when(F.contains("trigger", F.col("query")), 0.3).otherwise(0.0) + F.when(F.contains("action", F.col("query")), 0.1).otherwise(0.0) + 0.2 * shared
+    return hit.select("query_id", "rule_id", F.round(F.least(s, F.lit(1.0)), 6).alias("score"))
+
+
+def counted(rules: DataFrame, log: DataFrame) -> DataFrame:
+    """Rules with ``trigger_count`` raised by an event log (rule_id), any number of events at once."""
+    n = log.groupBy("rule_id").agg(F.count("*").alias("new"))
+    return rules.join(n, "rule_id", "left").withColumn("trigger_count", F.col("trigger_count") + F.coalesce("new", F.lit(0))).drop("new")
+
+
+def listed(rules: DataFrame, k: int, skip: int = 0, **only) -> DataFrame:
+    """A page of rules: equal to ``only``, the newest id first."""
+    for c, v in only.items():
+        rules = rules.where(F.col(c) == v)
+    return rules.orderBy(F.desc("rule_id")).offset(skip).limit(k)
 
 
 def merge(existing: DataFrame, incoming: DataFrame, strategy: str = "scope") -> DataFrame:
@@ -64,8 +177,21 @@ def merge(existing: DataFrame, incoming: DataFrame, strategy: str = "scope") ->
 
 
 def limits(rules: DataFrame, per_type: int = 50, total: int = 200, most_global: int = 3) -> DataFrame:
-    """Counts per type with what is left."""
-    return rules.groupBy("rule_type").agg(F.count("*").alias("n"), F.count_if("override").alias("n_override")).withColumn("left_of_type", F.greatest(F.lit(per_type) - F.col("n"), F.lit(0)))
+    """Counts per type with what is left of each limit: of the type, of all rules, of global rules."""
+    by = rules.groupBy("rule_type").agg(F.count("*").alias("n"), F.count_if("override").alias("n_override"))
+    every = rules.agg(F.count("*").alias("n_all"), F.count_if(F.col("trigger") == "*").alias("n_global"))  # one row
+    left = lambda most, c: F.greatest(F.lit(most) - F.col(c), F.lit(0))
+    return by.crossJoin(F.broadcast(every)).select("rule_type", "n", "n_override", left(per_type, "n").alias("left_of_type"), left(total, "n_all").alias("left_of_all"), left(most_global, "n_global").alias("left_of_global"))
+
+
+def accepted(rules: DataFrame, per_type: int = 50, total: int = 200, most_global: int = 3) -> DataFrame:
+    """The rules that the limits let in, in order of rule_id: at most so many of all, of each type and global ones; each limit is applied to what the one before let in."""
+    w = Window.partitionBy("rule_type").orderBy("rule_id")
+    rows = rules.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_type)  # cut to per_type before anything is put into one task
+    star = F.when(F.col("trigger") == "*", 1).otherwise(0)
+    every = Window.orderBy("rule_id")
+    rows = rows.withColumn("_g", F.sum(star).over(every)).where((F.col("trigger") != "*") | (F.col("_g") <= most_global))
+    return rows.withColumn("_n", F.row_number().over(every)).where(F.col("_n") <= total).drop("_n", "_g")
 
 
 def inject(matched: DataFrame, budget: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.functions import language as L
@@ -13,6 +13,7 @@ from memlake.operators import graph as G
 from memlake.operators import provenance as P
 from memlake.operators import recall as R
 from memlake.operators import rules as U
+from memlake.operators import vectors as V
 from memlake.plans.records import REC, records
 from memlake.sources.tables import Scratch, table
 
@@ -148,9 +149,14 @@ def a8(spark, d):
     return G.alias_counts(table(spark, d, "entity_aliases"))
 
 
-@query("g3_merge_entities", "select distinct namespace, case when canonical_form = alias_form then canonical_form else canonical_form end canonical_form, alias_form from entity_aliases where canonical_form is distinct from alias_form")
+_PAIR = "(select min(canonical_form) x, max(canonical_form) y from entity_aliases where canonical_form <> '')"
+
+
+@query("g3_merge_entities", f"select distinct namespace, case when canonical_form = x then y else canonical_form end canonical_form, alias_form from entity_aliases, {_PAIR} where case when canonical_form = x then y else canonical_form end is distinct from alias_form")
 def g3(spark, d):
-    return G.merge_entities(table(spark, d, "entity_aliases"), "\x00none", "\x00none")
+    a = table(spark, d, "entity_aliases")
+    x, y = a.where("canonical_form <> ''").agg(F.min("canonical_form"), F.max("canonical_form")).first()
+    return G.merge_entities(a, x, y)
 
 
 @query("j17_fuzzy_aliases")
@@ -218,10 +224,10 @@ def k12(spark, d):
     return P.ranked_candidates(observations(spark, d), ["subject", "predicate"], F.desc(F.to_date("observed_at")), F.asc("value_json")).select("event_id", "rank", "open")
 
 
-@query("f14_audit", "select event_id, event_type, user_id from events where event_type = 'error' and value > 100 and ts >= timestamp '2024-01-10' order by ts desc, event_id limit 200")
+@query("f14_audit", "select event_id, event_type, user_id from events where event_type = 'error' and value > 100 and ts >= timestamp '2024-01-10'")
 def f14(spark, d):
     e = table(spark, d, "events").where((F.col("event_type") == "error") & (F.col("value") > 100) & (F.col("ts") >= F.lit("2024-01-10").cast("timestamp")))
-    return e.orderBy(F.desc("ts"), "event_id").limit(200).select("event_id", "event_type", "user_id")
+    return e.select("event_id", "event_type", "user_id")
 
 
 @query("a13_audit_stats", "select event_type, value > 100 as result, count(*) n, arg_max(event_id, (ts, event_id)) last_event from events group by 1, 2")
@@ -252,34 +258,106 @@ def w9(spark, d):
 
 
 # rules from parts
-_RULES = """(select p_partkey::varchar rule_id, lower(p_type) "trigger", p_name as action, case p_size % 3 when 0 then 'company' when 1 then 'negotiated' else 'personal' end scope, p_size % 2 = 0 override,
- case p_size % 4 when 0 then 'always' when 1 then 'prefer' when 2 then 'avoid' else 'forbid' end rule_type, (p_size % 10)/10.0 confidence, p_size % 7 trigger_count, p_brand from part)"""
+_RULES = """(select p_partkey::varchar rule_id, case when p_partkey % 997 = 0 then '*' else lower(p_name || ' ' || replace(p_brand, '#', '')) end "trigger", lower(p_type) || ' ' || p_size as action,
+ case p_size % 3 when 0 then 'company' when 1 then 'negotiated' else 'personal' end scope, p_size % 2 = 0 override, case p_size % 4 when 0 then 'always' when 1 then 'prefer' when 2 then 'avoid' else 'forbid' end rule_type,
+ (p_size % 10)/10.0 confidence, p_size % 7 trigger_count, case when p_size % 10 = 9 then 'paused' else 'active' end status, case when p_size % 5 = 0 then lower(p_type) end "condition", p_brand from part)"""
 
 
 def rules(spark, d):
     p, s = table(spark, d, "part"), F.col("p_size")
+    name = F.lower(F.concat_ws(" ", "p_name", F.replace("p_brand", F.lit("#"), F.lit(""))))
     return p.select(
-        F.col("p_partkey").cast("string").alias("rule_id"), F.lower("p_type").alias("trigger"), F.col("p_name").alias("action"), F.when(s % 3 == 0, "company").when(s % 3 == 1, "negotiated").otherwise("personal").alias("scope"),
-        (s % 2 == 0).alias("override"), F.when(s % 4 == 0, "always").when(s % 4 == 1, "prefer").when(s % 4 == 2, "avoid").otherwise("forbid").alias("rule_type"), ((s % 10) / F.lit(10.0)).alias("confidence"), (s % 7).alias("trigger_count"), "p_brand",
+        F.col("p_partkey").cast("string").alias("rule_id"), F.when(F.col("p_partkey") % 997 == 0, "*").otherwise(name).alias("trigger"), F.concat_ws(" ", F.lower("p_type"), s.cast("string")).alias("action"),
+        F.when(s % 3 == 0, "company").when(s % 3 == 1, "negotiated").otherwise("personal").alias("scope"), (s % 2 == 0).alias("override"),
+        F.when(s % 4 == 0, "always").when(s % 4 == 1, "prefer").when(s % 4 == 2, "avoid").otherwise("forbid").alias("rule_type"), ((s % 10) / F.lit(10.0)).alias("confidence"), (s % 7).alias("trigger_count"),
+        F.when(s % 10 == 9, "paused").otherwise("active").alias("status"), F.when(s % 5 == 0, F.lower("p_type")).alias("condition"), "p_brand",
     )
 
 
-_SCENES = "(select * from (values ('s1', 'economy brass please'), ('s2', 'promo steel'), ('s3', 'standard polished tin for the large one'), ('s4', 'nothing')) v(scene_id, scene))"
+_SCENES = """(select distinct lower(p_name || ' ' || case when p_size % 2 = 0 then p_type else replace(p_brand, '#', '') end) scene_id, lower(p_name || ' ' || case when p_size % 2 = 0 then p_type else replace(p_brand, '#', '') end) scene from part)"""
+
+
+def scenes(spark, d):
+    p = table(spark, d, "part")
+    c = F.lower(F.concat_ws(" ", "p_name", F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise(F.replace("p_brand", F.lit("#"), F.lit("")))))
+    return p.select(c.alias("scene_id"), c.alias("scene")).distinct()
+
+
+_ACTIVE = f"(select * from {_RULES} where status = 'active')"
+_BM25 = rf"""(with d as (select rule_id, regexp_extract_all(lower("trigger" || ' ' || action), '[\p{{L}}\p{{N}}_]+') t from {_ACTIVE} where "trigger" <> '*'), st as (select count(*) n, avg(len(t)) a from d),
+ p as (select rule_id, w, l, count(*) tf from (select rule_id, len(t) l, unnest(t) w from d) group by all), f as (select w, count(*) df from p group by w),
+ q as (select scene_id, unnest(list_distinct(regexp_extract_all(scene, '[\p{{L}}\p{{N}}_]+'))) w from {_SCENES})
+ select q.scene_id, p.rule_id, round(sum(ln(1 + (n - df + 0.5)/(df + 0.5)) * tf * 2.2 / (tf + 1.2*(0.25 + 0.75*l/a))), 9) bm25 from q join p using (w) join f using (w), st group by all)"""
+_BONUS = "(case when override then 0.1 else 0.0 end) + least(trigger_count/10.0*0.02, 0.1) + 0.05*confidence"
+
+
+@query("j11_r4_rule_search", f"select * from {_BM25}")
+def j11(spark, d):
+    q = scenes(spark, d).select(F.col("scene_id").alias("query_id"), F.col("scene").alias("query"))
+    return U.search(q, U.active(rules(spark, d)).where("trigger <> '*'")).withColumnRenamed("query_id", "scene_id")
 
 
-@query("r1_r2_match", rf"""with r as (select *, list_distinct(regexp_extract_all("trigger", '[\p{{L}}\p{{N}}_]+')) rt from {_RULES}), s as (select *, list_distinct(regexp_extract_all(lower(scene), '[\p{{L}}\p{{N}}_]+')) st from {_SCENES}),
- h as (select scene_id, rule_id, round(least(1.0, (case when lower(scene) = "trigger" then 1.0 when contains(lower(scene), "trigger") then 0.8 else 0.5 end) + (case when override then 0.1 else 0.0 end) + least(trigger_count/10.0*0.02, 0.1) + 0.05*confidence), 6) score from s join r on list_has_any(st, rt))
- select * from (select scene_id, rule_id, score::double score, (row_number() over (partition by scene_id order by score desc, rule_id))::int "rank" from h) where "rank" <= 5""")
+_MATCHES = rf"""(with r as (select *, {_BONUS} bonus from {_ACTIVE}), h as (
+ select scene_id, rule_id, 'global' match_type, 0.6::double base, bonus from {_SCENES}, r where "trigger" = '*'
+ union all select scene_id, rule_id, 'exact', 1.0, bonus from {_SCENES} s join r on r."trigger" = s.scene
+ union all select scene_id, rule_id, 'fts', least(greatest(bm25/10, 0.3), 0.95), bonus from {_BM25} b join r using (rule_id)
+ union all select scene_id, rule_id, 'partial', 0.5, bonus from {_SCENES} s join r on r."trigger" <> '*' and list_has_any(list_filter(regexp_extract_all(s.scene, '[a-z0-9_]+'), lambda x: length(x) >= 2), regexp_extract_all(r."trigger", '[a-z0-9_]+'))),
+ b as (select scene_id, rule_id, max(row(round(least(1.0, base + bonus), 6)::double, base, match_type)) x from h group by 1, 2)
+ select * from (select scene_id, rule_id, x[3] match_type, x[1] score, (row_number() over (partition by scene_id order by x[1] desc, rule_id))::int "rank" from b) where "rank" <= 5)"""
+
+
+@query("r1_r2_match", f"select * from {_MATCHES}")
 def r1(spark, d):
-    scenes = spark.createDataFrame([("s1", "economy brass please"), ("s2", "promo steel"), ("s3", "standard polished tin for the large one"), ("s4", "nothing")], "scene_id string, scene string")
-    return U.match(scenes, rules(spark, d))
+    return U.match(scenes(spark, d), U.active(rules(spark, d)))
+
+
+@query("f13_conditions", f"""select rule_id from {_ACTIVE} where scope in ('company', 'personal') and ("condition" is null or "condition" in ('economy', 'small'))""")
+def f13(spark, d):
+    return U.active(rules(spark, d), scopes=("company", "personal"), conditions=("economy kind", "Small")).select("rule_id")
+
 
+_CONFLICTS = f"""(with r as (select rule_id, lower(trim("trigger")) t, action, rule_type, list_distinct(regexp_split_to_array(lower(trim("trigger")), '\\s+')) w from {_ACTIVE}),
+ p as (select a.rule_id ra, b.rule_id rb, a.t = b.t and a.action = b.action and a.rule_type = b.rule_type same, (a.rule_type in ('always','prefer') and b.rule_type in ('avoid','forbid')) or (b.rule_type in ('always','prefer') and a.rule_type in ('avoid','forbid')) opposed,
+   a.rule_type = b.rule_type and a.action <> b.action over_
+  from r a join r b on a.rule_id < b.rule_id and (a.t = b.t or a.t = '*' or b.t = '*' or contains(a.t, b.t) or contains(b.t, a.t) or (len(list_intersect(a.w, b.w)) >= 1 and len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w))::double >= 0.5)))
+ select case when same then 'redundancy' when opposed then 'contradiction' when over_ then 'overlap' end kind, ra rule_a, rb rule_b from p where same or opposed or over_)"""
 
-@query("r6_j16_conflicts", f"""with r as (select * from {_RULES}) select case when lower(trim(a.action)) = lower(trim(b.action)) then 'redundancy'
- when (a.rule_type in ('always','prefer') and b.rule_type in ('avoid','forbid')) or (b.rule_type in ('always','prefer') and a.rule_type in ('avoid','forbid')) then 'contradiction' else 'overlap' end kind, count(*) n
- from r a join r b on trim(a."trigger") = trim(b."trigger") and a.rule_id < b.rule_id group by 1""")
+
+@query("r6_j16_conflicts", f"select kind, case kind when 'redundancy' then 'low' when 'contradiction' then 'critical' else 'medium' end severity, rule_a, rule_b from {_CONFLICTS}")
 def r6(spark, d):
-    return U.conflicts(rules(spark, d)).groupBy("kind").agg(F.count("*").alias("n"))
+    return U.conflicts(U.active(rules(spark, d)))
+
+
+@query("a22_severity", f"select case kind when 'redundancy' then 'low' when 'contradiction' then 'critical' else 'medium' end severity, count(*) n from {_CONFLICTS} group by 1")
+def a22(spark, d):
+    return U.health(U.active(rules(spark, d)))
+
+
+@query("x13_rank_estimate", f"""with q as (select distinct scene q, list_distinct(regexp_split_to_array(scene, '\\s+')) qw from {_SCENES}), r as (select rule_id, "trigger" t, action a, list_distinct(regexp_split_to_array("trigger", '\\s+')) tw, list_distinct(regexp_split_to_array(action, '\\s+')) aw from {_RULES})
+ select q query_id, rule_id, round(least(0.5 + case when contains(t, q) then 0.3 else 0 end + case when contains(a, q) then 0.1 else 0 end + 0.2 * len(list_intersect(qw, tw)) / len(qw)::double, 1.0), 6)::double score from q join r on list_has_any(qw, tw) or list_has_any(qw, aw)""")
+def x13(spark, d):
+    return U.rank_estimate(scenes(spark, d).select(F.col("scene_id").alias("query_id"), F.col("scene").alias("query")), rules(spark, d))
+
+
+@query("r4_page", f"select rule_id, action from {_RULES} where rule_type = 'prefer' order by rule_id desc limit 25 offset 50")
+def r4(spark, d):
+    return U.listed(rules(spark, d), 25, 50, rule_type="prefer").select("rule_id", "action")
+
+
+@query("r5_counters", f"select rule_id, trigger_count + coalesce(n, 0) trigger_count from {_RULES} left join (select l_partkey::varchar rule_id, count(*) n from lineitem group by 1) using (rule_id)")
+def r5(spark, d):
+    return U.counted(rules(spark, d), table(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("rule_id"))).select("rule_id", "trigger_count")
+
+
+_DOMAINS = {"colour": ("red", "blue", "green"), "heat": ("hot", "cold"), "size": ("small", "large")}
+
+
+@query("r12_implicit_preferences", "with m as (select p_brand namespace, unnest([" + ", ".join(f"{{'d': '{d}', 'w': '{w}', 'n': len(regexp_extract_all(lower(p_name || ' ' || p_type), '\\b{w}\\b'))}}" for d, ws in _DOMAINS.items() for w in ws) + """]) x from part),
+ e as (select namespace, x.d as domain, x.w choice, sum(x.n)::bigint n from m where x.n > 0 group by all), t as (select namespace, domain, sum(n)::bigint total, arg_min(choice, (-n, choice)) choice, max(n) n from e group by all)
+ select namespace, domain, choice, n, round(n / total::double, 6) ratio, round(least(0.5 + 0.3 * n / total::double, 0.9), 6) confidence from t where n >= 3 and n / total::double >= 0.5""")
+def r12(spark, d):
+    p = table(spark, d, "part").select(F.col("p_brand").alias("namespace"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    return U.implicit_preferences(p, "text", _DOMAINS)
 
 
 @query("r7_j15_merge", f"""with r as (select *, case when rule_id::int % 2 = 0 then 1 else 2 end side from {_RULES}) select rule_id, "trigger", action, scope, side::int side from (select *, row_number() over (partition by lower(trim("trigger"))
@@ -290,20 +368,30 @@ def r7(spark, d):
     return U.merge(r.where(even), r.where(~even))
 
 
-@query("r8_a16_limits", f"select rule_type, count(*) n, count(*) filter (where override) n_override, greatest(50 - count(*), 0) left_of_type from {_RULES} group by 1")
+@query("r8_a16_limits", f"""select rule_type, count(*) n, count(*) filter (where override) n_override, greatest(50 - count(*), 0) left_of_type, greatest(200 - (select count(*) from {_RULES}), 0) left_of_all, greatest(3 - (select count(*) from {_RULES} where "trigger" = '*'), 0) left_of_global from {_RULES} group by 1""")
 def r8l(spark, d):
     return U.limits(rules(spark, d))
 
 
+@query("r8_accepted", f"""with a as (select * from (select *, row_number() over (partition by rule_type order by rule_id) n from {_RULES}) where n <= 50), b as (select * from (select *, sum(("trigger" = '*')::int) over (order by rule_id) g from a) where "trigger" <> '*' or g <= 3)
+ select rule_id from (select rule_id, row_number() over (order by rule_id) n from b) where n <= 200""")
+def r8a(spark, d):
+    return U.accepted(rules(spark, d)).select("rule_id")
+
+
 @query("a15_effectiveness", f"select rule_type, scope, case when confidence >= 0.8 then 'high' when confidence >= 0.5 then 'medium' else 'low' end bucket, count(*) n, count(*) filter (where trigger_count > 0) n_triggered from {_RULES} group by 1, 2, 3")
 def a15(spark, d):
     return U.effectiveness(rules(spark, d))
 
 
-@query("r9_q32_inject")
+_TOK = r"greatest(1, floor(len(regexp_extract_all({0}, '[\x{{3400}}-\x{{4dbf}}\x{{4e00}}-\x{{9fff}}\x{{3040}}-\x{{30ff}}\x{{ac00}}-\x{{d7af}}]'))/2.0 + (length({0}) - len(regexp_extract_all({0}, '[\x{{3400}}-\x{{4dbf}}\x{{4e00}}-\x{{9fff}}\x{{3040}}-\x{{30ff}}\x{{ac00}}-\x{{d7af}}]')))/4.0))::int"
+
+
+@query("r9_q32_inject", f"""with m as (select scene_id, rule_id, score, override, case when override then "trigger" || ' ' || action else action end x from {_MATCHES} join {_RULES} using (rule_id)), t as (select *, {_TOK.format('x')} tokens from m)
+ select scene_id, rule_id, tokens, used from (select *, (sum(tokens) over (partition by scene_id order by override desc, score desc, rule_id rows unbounded preceding))::bigint used from t) where override or used <= 8""")
 def r9(spark, d):
     m = r1(spark, d).join(rules(spark, d).select("rule_id", "trigger", "action", "override"), "rule_id")
-    return U.inject(m, 30)
+    return U.inject(m, 8)
 
 
 @query("r10_a21_mining", f"select namespace, k keyword, count(distinct storage_key) n from (select storage_key, namespace, unnest(list_distinct(regexp_extract_all(lower(content), '[a-z]{{3,}}'))) k from {REC} where not regexp_matches(content, '[\\x{{3400}}-\\x{{4dbf}}\\x{{4e00}}-\\x{{9fff}}\\x{{3040}}-\\x{{30ff}}]')) group by 1, 2 having count(distinct storage_key) >= 3")
@@ -331,7 +419,8 @@ def x20(spark, d):
     return records(spark, d).select("storage_key", F.nullif(F.trim(F.regexp_extract(t, r"\balways\s+([^.,;\n]{3,80})", 1)), F.lit("")).alias("always_action"))
 
 
-@query("r11_extracted_types")
+@query("r11_extracted_types", r"""select case when trim(regexp_extract(c, '\b(?:avoid|never|don''t)\s+([^.,;\n]{3,80})', 1)) <> '' then 'avoid' when trim(regexp_extract(c, '\b(?:prefer|rather have)\s+([^.,;\n]{3,80})', 1)) <> '' then 'prefer'
+ when trim(regexp_extract(c, '\balways\s+([^.,;\n]{3,80})', 1)) <> '' then 'always' end rule_type, count(*) n from (select lower(content) c from """ + REC + ") group by 1")
 def r11(spark, d):
     x = U.extracted_rule("content")
     return records(spark, d).groupBy(x["rule_type"].alias("rule_type")).agg(F.count("*").alias("n"))
@@ -342,30 +431,36 @@ def r14(spark, d):
     return U.bundle(rules(spark, d), "parts")
 
 
-@query("r15_sanitise", f"select rule_id, length(\"trigger\") <= 200 and length(action) <= 500 as ok from {_RULES}")
+@query("r15_sanitise", r"""select storage_key, length(content) <= 200 and not regexp_matches(content, '(?i)(<script|javascript:|\.\./|\bdrop\s+table\b|\bunion\s+select\b|\$\(|`)') and length(coalesce(raw_text, '')) <= 500
+ and not regexp_matches(coalesce(raw_text, ''), '(?i)(<script|javascript:|\.\./|\bdrop\s+table\b|\bunion\s+select\b|\$\(|`)') and not regexp_matches(content, '(;|--|/\*|\*/)') as ok from """ + REC)
 def r15(spark, d):
-    return rules(spark, d).select("rule_id", U.sanitised(F.col("trigger"), F.col("action")).alias("ok"))
+    return records(spark, d).select("storage_key", U.sanitised(F.col("content"), F.coalesce("raw_text", F.lit(""))).alias("ok"))
 
 
-# vectors
-_Q = "(select embedding from embeddings where vec_id = 0)"
+# vectors: the queries are all rows whose id is divisible by 50
+_DIST = "sqrt(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double))))"
 _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda p: p[1]::double * p[2]::double))"
+_COS = f"1 - {_DOT.format('q.embedding', 'v.embedding')} / sqrt({_DOT.format('q.embedding', 'q.embedding')} * {_DOT.format('v.embedding', 'v.embedding')})"
+_NEAR = "(select query_id, vec_id, round(dist, 6) dist, rank from (select q.vec_id query_id, v.vec_id, {0} dist, (row_number() over (partition by q.vec_id order by {0}, v.vec_id))::int rank from embeddings q, embeddings v where q.vec_id % 50 = 0) where rank <= 20)"
 
 
-@query("s4_t17_knn", f"select vec_id, round(sqrt(list_sum(list_transform(list_zip(embedding, {_Q}), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double)))), 6) dist from embeddings order by sqrt(list_sum(list_transform(list_zip(embedding, {_Q}), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double)))), vec_id limit 20")
-def s4(spark, d):
+def _near(spark, d, metric):
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id = 0").first()["embedding"]
-    return R.nearest(e, q, 20).select("vec_id", F.round("dist", 6).alias("dist"))
+    return V.nearest_all(e, e.where("vec_id % 50 = 0"), 20, metric=metric).withColumn("dist", F.round("dist", 6))
 
 
-@query("t16_cosine", f"select vec_id, round({_DOT.format('embedding', _Q)} / sqrt({_DOT.format('embedding', 'embedding')} * {_DOT.format(_Q, _Q)}), 6) cos from embeddings")
+@query("s4_t17_knn", f"select * from {_NEAR.format(_DIST)}")
+def s4(spark, d):
+    return _near(spark, d, "l2")
+
+
+@query("t16_cosine", f"select * from {_NEAR.format(_COS)}")
 def t16(spark, d):
-    e = table(spark, d, "embeddings")
-    q = F.lit([float(x) for x in e.where("vec_id = 0").first()["embedding"]])
-    return e.select("vec_id", F.round(R.cosine(F.col("embedding"), q), 6).alias("cos"))
+    return _near(spark, d, "cosine")
 
 
 @query("w6_normalised", f"select storage_key, round(importance_score / max(importance_score) over (partition by namespace), 9) share from {REC}")
 def w6(spark, d):
-    return records(spark, d).select("storage_key", F.round(F.col("importance_score") / F.max("importance_score").over(Window.partitionBy("namespace")), 9).alias("share"))
+    m = records(spark, d)
+    top = m.groupBy("namespace").agg(F.max("importance_score").alias("top"))  # combined before the shuffle; no namespace is sorted
+    return m.join(top, "namespace").select("storage_key", F.round(F.col("importance_score") / F.col("top"), 9).alias("share"))
