@@ -159,5 +159,18 @@ def json_set(doc: Column | str, key: str, value: Column) -> Column:
     return F.to_json(F.map_concat(rest, F.create_map(F.lit(key), value.cast("string"))))
 
 
+def extracted(c: Column | str, mark: str, what: str) -> Column:
+    """What follows or precedes the first ``mark``, or surrounds it (50 characters before, 100 after); null without one. Marks of a sentence's end are cut off what follows or precedes."""
+    t = _c(c)
+    at = F.instr(t, F.lit(mark))
+    end = lambda x: F.regexp_replace(F.trim(x), r"[.!?]+$", "")
+    out = {
+        "following": end(F.substr(t, at + len(mark), F.length(t))),
+        "preceding": end(F.substr(t, F.lit(1), at - 1)),
+        "surrounding": F.trim(F.substr(t, F.greatest(at - 50, F.lit(1)), at - F.greatest(at - 50, F.lit(1)) + len(mark) + 100)),
+    }[what]
+    return F.when(at > 0, out)
+
+
 def parse_time(c: Column | str) -> Column:
     return F.try_to_timestamp(_c(c))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions.text import key_form
@@ -59,6 +59,16 @@ def co_occurrence(mentions: DataFrame, memory: Column, entity: Column, least: in
     return x.join(y, (F.col("x.m") == F.col("y.m")) & (F.col("x.e") < F.col("y.e"))).groupBy(F.col("x.e").alias("a"), F.col("y.e").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+def shared_sources(mentions: DataFrame, records: DataFrame, most: int = 20) -> DataFrame:
+    """namespace, a, b, source_key, source_hash: the memories in which two entities (a < b, case aside) of a namespace occur together, the first ``most`` by key as evidence of each pair."""
+    m = mentions.where(F.trim("memory_key") != "").select("namespace", F.col("memory_key").alias("k"), F.lower("entity_text").alias("e")).where("e is not null").distinct()
+    x, y = m.alias("x"), m.alias("y")
+    both = x.join(y, (F.col("x.namespace") == F.col("y.namespace")) & (F.col("x.k") == F.col("y.k")) & (F.col("x.e") < F.col("y.e"))).select("x.namespace", F.col("x.e").alias("a"), F.col("y.e").alias("b"), "x.k")
+    rows = both.join(records.select(F.col("storage_key").alias("k"), F.col("content_hash").alias("source_hash")), "k")
+    w = Window.partitionBy("namespace", "a", "b").orderBy("k")
+    return rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("namespace", "a", "b", F.col("k").alias("source_key"), "source_hash")
+
+
 def derived_facts(pairs: DataFrame) -> DataFrame:
     c = F.round(F.least(F.lit(0.6), 0.3 + 0.05 * F.col("n")), 6)
     return pairs.select("a", "b", c.alias("confidence"), F.concat(F.col("a").cast("string"), F.lit(" co-occurs with "), F.col("b").cast("string")).alias("fact"))

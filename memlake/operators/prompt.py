@@ -66,3 +66,15 @@ def access_log(records: DataFrame, log: DataFrame, at: str, throttle: int = 60,
     gap = F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.lag(at).over(w).cast("timestamp"))
     n = log.withColumn("counts", F.coalesce(gap >= throttle * 1_000_000, F.lit(True))).groupBy(key).agg(F.count_if("counts").alias("new"))
     return records.join(n, key, "left").withColumn("access_count", F.col("access_count") + F.coalesce("new", F.lit(0))).drop("new")
+
+
+def knowledge(df: DataFrame, context: str, most: int, budget: int, key: str = "doc_id", by: str = "namespace") -> DataFrame:
+    """by, key, rel, position, used: per group the most relevant texts (Jaccard of title and text with the context), at most ``most`` and within a token budget for their first 300 characters."""
+    asked = F.array_distinct(L.mixed_tokens(F.lit(context)))
+    cut = F.substring(F.coalesce("text", F.lit("")), 1, 300)
+    whole = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")))
+    rows = df.select(by, key, L.token_estimate(cut).alias("tokens"), F.round(L.jaccard(L.mixed_tokens(whole), asked), 9).alias("rel"))
+    w = Window.partitionBy(by).orderBy(F.desc("rel"), key)
+    rows = rows.withColumn("position", F.row_number().over(w)).where(F.col("position") <= most)  # cut before the sum, so no group is summed whole
+    rows = rows.withColumn("used", F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.where(F.col("used") <= budget).select(by, key, "rel", "position", "used")

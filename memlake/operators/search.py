@@ -28,14 +28,52 @@ def all_word_tokens(c: Column | str) -> Column:
     return L.matches(F.lower(F.col(c) if isinstance(c, str) else c), r"[\p{L}\p{N}_]+")
 
 
+def _shortened(c: Column, most: int) -> Column:
+    """The word and all words left by deleting up to ``most`` of its characters."""
+    less = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1, F.length(w))))
+    out = F.array(c)
+    step = out
+    for _ in range(most):
+        step = F.flatten(F.transform(step, less))
+        out = F.concat(out, step)
+    return F.array_distinct(out)
+
+
 def spelling(words: DataFrame, vocabulary: DataFrame, most: int = 2) -> DataFrame:
-    """(word, fixed): for words that are not in the vocabulary the nearest entry within ``most`` edits that begins with the same letter."""
-    unknown = words.select("word").distinct().join(vocabulary.select(F.col("v").alias("word")), "word", "left_anti").withColumn("p", F.substring("word", 1, 1))
-    v = vocabulary.select("v").distinct().withColumn("p", F.substring("v", 1, 1))
-    near = unknown.join(v, "p").where(F.abs(F.length("word") - F.length("v")) <= most).withColumn("d", F.levenshtein("word", "v", most)).where("d >= 0")
+    """(word, fixed): for words that are not in the vocabulary the nearest entry within ``most`` edits, ties by the entry.
+
+    Two words within d edits have a word in common among those that d deletions leave of
+    them, so candidates come from an equi join; their distance is computed once.
+    """
+    unknown = words.select("word").where("word is not null").distinct().join(vocabulary.select(F.col("v").alias("word")), "word", "left_anti")
+    a = unknown.select("word", F.explode(_shortened(F.col("word"), most)).alias("k"))
+    b = vocabulary.select("v").where("v is not null").distinct().select("v", F.explode(_shortened(F.col("v"), most)).alias("k"))
+    near = a.join(b, "k").select("word", "v").distinct().withColumn("d", F.levenshtein("word", "v", most)).where("d >= 0")
     return near.groupBy("word").agg(F.min_by("v", F.struct("d", "v")).alias("fixed"))
 
 
+def expansions(table: DataFrame, words: DataFrame) -> DataFrame:
+    """(term): what the expansion table (k, v) gives for some word (k)."""
+    return table.join(words, "k", "left_semi").select(F.col("v").alias("term")).distinct()
+
+
+def by_terms(df: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
+    """(key, term): records that hold a term as a word; an equi join, so the list of terms may be long."""
+    words = df.select(key, F.explode(L.word_tokens(text)).alias("term"))
+    return words.join(terms, "term").select(key, "term")
+
+
+def rebuilt_queries(df: DataFrame, query: str, profile: int = 5, extra: int = 5) -> DataFrame:
+    """(namespace, query): the query with up to ``extra`` further words, in their order, of those of the namespace's ``profile`` most important preferences, decisions and facts that share a word with it."""
+    words = F.array(*[F.lit(w) for w in sorted(set(query.lower().split()))])
+    told = df.where(F.col("type").isin("user_preference", "decision", "fact_declaration") & ~F.col("superseded"))
+    w = Window.partitionBy("namespace").orderBy(F.desc("importance_score"), "storage_key")
+    top = told.select("namespace", "content", F.row_number().over(w).alias("r")).where(F.col("r") <= profile).withColumn("t", L.space_tokens("content"))
+    more = top.where(F.arrays_overlap("t", words)).select("namespace", F.explode(F.array_except("t", words)).alias("x")).where(F.length("x") > 2)
+    by = more.groupBy("namespace").agg(F.slice(F.array_sort(F.collect_set("x")), 1, extra).alias("x"))  # words of at most ``profile`` records
+    return by.where(F.size("x") > 0).select("namespace", F.concat_ws(" ", F.lit(query), F.array_join("x", " ")).alias("query"))
+
+
 def merge_results(original: DataFrame, expanded: DataFrame, key: str, least: float = 0.3) -> DataFrame:
     """Originals weigh 1; expanded ones weight x overlap x (0.5 + 0.5 confidence) if that reaches ``least``; the better of both stays."""
     a = original.select(key, F.lit(1.0).alias("score"), F.lit("original").alias("source"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from memlake.plans import extras, graph, messages, more, problems, records
+from memlake.plans import extras, graph, messages, more, problems, records, retrieval
 
-MODULES = [problems, records, messages, graph, extras, more]
+MODULES = [problems, records, messages, graph, extras, more, retrieval]
 
 
 def queries() -> dict:

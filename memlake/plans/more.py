@@ -36,13 +36,6 @@ def t20(spark, d):
     return S.bm25(records(spark, d), "storage_key", S.all_word_tokens("content"), ["rollout", "ledger", "budget"])
 
 
-@query("t7_spelling", "with v(v) as (values ('timeout'),('rollout'),('ledger'),('budget')), w(word) as (values ('timout'),('rolout'),('ledgre'),('budget'),('xyz')) select word, arg_min(v, (levenshtein(word, v), v)) fixed from w, v where word not in (select v from v) and word[1] = v[1] and levenshtein(word, v) <= 2 group by word")
-def t7(spark, d):
-    v = spark.createDataFrame([(x,) for x in ("timeout", "rollout", "ledger", "budget")], "v string")
-    w = spark.createDataFrame([(x,) for x in ("timout", "rolout", "ledgre", "budget", "xyz")], "word string")
-    return S.spelling(w, v)
-
-
 @query("t10_merger", f"""with o as (select storage_key from {REC} where contains(lower(content), 'rollout')), e as (select storage_key, round(0.8 * 0.9 * (0.5 + 0.5*confidence), 6) s from {REC} where contains(lower(content), 'release'))
  select storage_key, case when storage_key in (select storage_key from o) then 1.0::double else s::double end score, case when storage_key in (select storage_key from o) then 'original' else 'expanded' end as source from (select storage_key, null s from o union all select storage_key, s from e where s >= 0.3 and storage_key not in (select storage_key from o))""")
 def t10(spark, d):

@@ -387,11 +387,6 @@ def j13(spark, d):
     return A.adjacent_updates(records(spark, d))
 
 
-@query("d2_d3_d4_supersede")
-def d2(spark, d):
-    return A.supersede_candidates(records(spark, d))
-
-
 @query("d17_consolidate", f"""select storage_key, dc decay, round(confidence*dc, 6) new_confidence, case when type = 'user_preference' then 'keep' when dc < 0.1 then 'forget' when dc < 0.5 then 'decay' else 'keep' end as action from (select *, {DECAY} dc from {REC})""")
 def d17(spark, d):
     return A.consolidation(records(spark, d), now())
