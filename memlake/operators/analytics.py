@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions import language as L
 from memlake.functions import scoring as S
+from memlake.operators import ranks, skew
 
 
 def profile(df: DataFrame) -> DataFrame:
@@ -17,26 +18,21 @@ def profile(df: DataFrame) -> DataFrame:
 
 
 def quality_analysis(df: DataFrame, score: str = "quality") -> DataFrame:
-    return df.groupBy("type").agg(
-        F.round(F.avg(score), 6).alias("mean"), F.round(F.median(score), 6).alias("median"), F.min(score).alias("low"), F.max(score).alias("high"),
+    """Per type mean, median (the mean of the two middle scores), range and tiers; the median comes from counts of equal scores."""
+    by = df.groupBy("type").agg(
+        F.round(F.avg(score), 6).alias("mean"), F.min(score).alias("low"), F.max(score).alias("high"), F.count(score).alias("n"),
         *[F.count_if(S.quality_tier(F.col(score)) == t).alias(t) for t in ("excellent", "good", "fair", "poor")],
     )
+    counts = df.where(F.col(score).isNotNull()).groupBy("type", score).agg(F.count("*").alias("c"))
+    upto = ranks.running_sum(counts, ["type"], [F.col(score).asc()], F.col("c"), "upto").join(by.select("type", "n"), "type")
+    middle = lambda at: F.min(F.when(F.col("upto") > at, F.col(score)))
+    mid = upto.groupBy("type").agg(F.round((middle(F.floor((F.col("n") - 1) / 2)) + middle(F.floor(F.col("n") / 2))) / 2, 6).alias("median"))
+    return by.join(mid, "type").select("type", "mean", "median", "low", "high", "excellent", "good", "fair", "poor")
 
 
-def nearest_rank(values: Column, share: float) -> Column:
-    """Element at int(n * share) of the ascending values, the last one at most: no interpolation."""
-    s = F.array_sort(values)
-    at = F.least(F.floor(F.size(s) * F.lit(share)).cast("int"), F.size(s) - 1)
-    return F.element_at(s, at + 1)
-
-
-def latency_percentiles(df: DataFrame, by: str, value: str, bound: int = 10_000) -> DataFrame:
-    """Nearest-rank p50, p95, p99 per group from ranks, without collecting a group: each row knows its rank and the group's size."""
-    w = Window.partitionBy(by)
-    r = df.where(F.col(value).isNotNull()).select(by, value, (F.row_number().over(w.orderBy(value)) - 1).alias("r"), F.count("*").over(w).alias("n"))
-    at = lambda p: F.least(F.floor(F.col("n") * F.lit(p)), F.col("n") - 1)
-    pick = lambda p: F.max(F.when(F.col("r") == at(p), F.col(value)))
-    out = r.groupBy(by).agg(F.max("n").alias("n"), pick(0.5).alias("p50"), pick(0.95).alias("p95"), pick(0.99).alias("p99"))
+def latency_percentiles(df: DataFrame, by: str, value: str) -> DataFrame:
+    """Nearest-rank p50, p95 (of more than 20 values), p99 per group."""
+    out = ranks.nearest_ranks(df, by, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
     return out.withColumn("p95", F.when(F.col("n") > 20, F.col("p95")))
 
 
@@ -45,22 +41,26 @@ def json_tags(df: DataFrame, column: str, path: str, k: int) -> DataFrame:
     return df.select(F.get_json_object(column, path).alias("tag")).where("tag is not null").groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(k)
 
 
-def jaccard_pairs(df: DataFrame, key: str, tokens: str, by: list[str], threshold: float) -> DataFrame:
+def jaccard_pairs(df: DataFrame, key: str, tokens: str, by: list[str], threshold: float, least_hot: int = skew.LEAST) -> DataFrame:
     """Pairs (key_a < key_b) within ``by`` whose token sets reach the threshold: prefix join on the rarest tokens, then verification.
 
     Tokens are ordered by their count over all rows; two sets at the threshold share one of
-    the first n - ceil(t n) + 1. Nulls and empty sets have no partners.
+    the first n - ceil(t n) + 1, and what follows their first shared token must be long
+    enough for the rest (position). Tokens of many rows are salted. Sets are fetched for
+    pairs that passed. Nulls and empty sets have no partners.
     """
     rows = df.where(F.size(tokens) > 0).select(key, *by, F.col(tokens).alias("tok"), F.size(tokens).alias("n"))
     each = rows.select(key, *by, "n", F.explode("tok").alias("t"))
     df_of = each.groupBy("t").agg(F.count("*").alias("df"))
     order = F.row_number().over(Window.partitionBy(key).orderBy("df", "t"))
     prefix = each.join(df_of, "t").withColumn("p", order).where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
-    a, b = prefix.alias("a"), prefix.alias("b")
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
-    cond = (F.col("a.t") == F.col("b.t")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * threshold - 1e-9)
-    for c in same:
-        cond = cond & c
+    hot = skew.hot_keys(each, "t", least_hot)
+    a, b = skew.salt(prefix, "t", F.col(key), hot).alias("a"), skew.replicate(prefix, "t", hot).alias("b")
+    cond = (F.col("a.t") == F.col("b.t")) & (F.col("a.salt") == F.col("b.salt")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * threshold - 1e-9)
+    rest = F.least(F.col("a.n") - F.col("a.p"), F.col("b.n") - F.col("b.p")) + 1
+    cond = cond & (rest >= (F.col("a.n") + F.col("b.n")) * (threshold / (1 + threshold)) - 1e-9)
+    for c in by:
+        cond = cond & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
     pairs = a.join(b, cond).select(F.col(f"a.{key}").alias("key_a"), F.col(f"b.{key}").alias("key_b")).distinct()
     left = rows.select(F.col(key).alias("key_a"), F.col("tok").alias("x"))
     right = rows.select(F.col(key).alias("key_b"), F.col("tok").alias("y"))

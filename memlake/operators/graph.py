@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions.text import key_form
+from memlake.operators import skew
 from memlake.sources.tables import Scratch
 
 
@@ -48,15 +49,17 @@ def impact(mentions: DataFrame, relations: DataFrame) -> DataFrame:
     return both.select("memory_key", "n_entities", "n_relations", F.round(score, 6).alias("impact"))
 
 
-def co_occurrence(mentions: DataFrame, memory: Column, entity: Column, least: int = 2, most: int = 500) -> DataFrame:
-    """(a < b, n): entity pairs that share at least ``least`` memories.
+def co_occurrence(mentions: DataFrame, memory: Column, entity: Column, least: int = 2, most: int = 5_000) -> DataFrame:
+    """(a < b, n): entity pairs that share at least ``least`` memories. Repeated mentions count once.
 
-    Repeated mentions count once. Pairs come from each memory's sorted entity list; lists
-    longer than ``most`` are joined by rows instead of being expanded in one record.
+    A memory with ``most`` entities and more is divided into shares, each of which meets all
+    entities of the memory, so its pairs come from many tasks.
     """
     m = mentions.select(memory.alias("m"), entity.alias("e")).where("m is not null and e is not null").distinct()
-    x, y = m.alias("x"), m.alias("y")
-    return x.join(y, (F.col("x.m") == F.col("y.m")) & (F.col("x.e") < F.col("y.e"))).groupBy(F.col("x.e").alias("a"), F.col("y.e").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    hot = skew.hot_keys(m, "m", most)
+    x, y = skew.salt(m, "m", F.col("e"), hot).alias("x"), skew.replicate(m, "m", hot).alias("y")
+    both = x.join(y, (F.col("x.m") == F.col("y.m")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.e") < F.col("y.e")))
+    return both.groupBy(F.col("x.e").alias("a"), F.col("y.e").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def shared_sources(mentions: DataFrame, records: DataFrame, most: int = 20) -> DataFrame:
@@ -112,18 +115,18 @@ def shortest_path_length(edges: DataFrame, source, target, hops: int, scratch: S
     return n.select(F.lit(source).alias("source"), F.lit(target).alias("target"), "hops")
 
 
-def min_label_components(edges: DataFrame, scratch: Scratch, rounds: int = 50) -> DataFrame:
-    """(v, label): smallest vertex of each component, by repeated minimum over neighbours with label jumping; for shallow similarity graphs."""
+def min_label_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(v, label): smallest vertex of each component, by repeated minimum over neighbours with label jumping; edges are in both directions. Rounds end when no label changes; there is no cap on them."""
     labels = scratch.write(edges.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    for _ in range(rounds):
+    while True:
         near = edges.join(labels, edges.b == labels.v).groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
         step = labels.join(near, "v").select("v", "label", F.least("label", "near").alias("new"))
         jump = step.select(F.col("v").alias("new"), F.col("new").alias("jump"))
-        step = scratch.write(step.join(jump, "new", "left").select("v", F.col("label").alias("old"), F.least("new", F.coalesce("jump", "new")).alias("label")))
-        if step.where("label <> old").isEmpty():
-            return step.select("v", "label")
-        labels = step.select("v", "label")
-    raise RuntimeError("components did not settle")
+        last, labels = labels, scratch.write(step.join(jump, "new", "left").select("v", F.col("label").alias("old"), F.least("new", F.coalesce("jump", "new")).alias("label")))
+        done = labels.where("label <> old").isEmpty()
+        scratch.drop(last)
+        if done:
+            return labels.select("v", "label")
 
 
 def cascade_delete(df: DataFrame, gone: DataFrame, column: str, key: str = "storage_key") -> DataFrame:
@@ -146,6 +149,11 @@ def fuzzy_aliases(left: DataFrame, right: DataFrame, least: float = 0.8, apart:
     b = right.select("namespace", "entity_type", key_form("alias_form").alias("alias_form")).distinct().withColumn("p", F.substring("alias_form", 1, 2))
     both = a.join(b, ["namespace", "entity_type", "p"]).where((F.abs(F.length("form") - F.length("alias_form")) <= apart) & (F.col("form") != F.col("alias_form")))
 
+    # the ratio is 2 m / (length of both) for m matched letters, and m is at most the shared letters with repeats
+    bag = lambda c: F.array_sort(F.filter(F.split(c, ""), lambda x: x != ""))
+    odd = F.size(F.array_except(bag(F.col("form")), bag(F.col("alias_form"))))
+    both = both.where(2 * (F.length("form") - odd) >= least * (F.length("form") + F.length("alias_form")) - 1e-9)
+
     @F.pandas_udf("double")
     def ratio(x, y):
         from difflib import SequenceMatcher

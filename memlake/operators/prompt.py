@@ -31,20 +31,26 @@ def prompt_lines(df: DataFrame, budget: int, key: str = "storage_key") -> DataFr
     """namespace, bucket, key, position of the records that fit into each namespace's token budget, mandatory ones first; three outdated ones at most."""
     order = F.when(F.col("bucket") == "mandatory", 0).when(F.col("bucket") == "important", 1).when(F.col("bucket") == "optional", 2).otherwise(3)
     rows = df.withColumn("bucket", bucket())
+    # a record costs at least one token, so no more than ``budget`` of a bucket can fit: the rest goes before anything is summed
     w = Window.partitionBy("namespace", "bucket").orderBy(F.desc("importance_score"), key)
-    rows = rows.withColumn("nth", F.row_number().over(w)).where((F.col("bucket") != "outdated") | (F.col("nth") <= 3))
+    rows = rows.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= budget).where((F.col("bucket") != "outdated") | (F.col("nth") <= 3))
     run = Window.partitionBy("namespace").orderBy(order, "nth", key)
     rows = rows.withColumn("used", F.sum(L.token_estimate("content")).over(run.rowsBetween(Window.unboundedPreceding, 0))).withColumn("position", F.row_number().over(run))
     return rows.where(F.col("used") <= budget).select("namespace", "bucket", key, "position", "used")
 
 
 def shortened(df: DataFrame, budget: int, by: str, key: str, text: str, protected: Column) -> DataFrame:
-    """Protected rows share what the budget (characters) leaves them, cut at the end; others are dropped first."""
+    """Protected rows share what the budget (characters) leaves them, cut at the end; others are dropped first. Empty texts always fit.
+
+    Of texts that are not empty no more than ``budget`` can fit, so groups are cut to that many first.
+    """
+    rows = df.withColumn("p", protected.cast("int")).where(F.col(text).isNotNull())
     w = Window.partitionBy(by).orderBy(F.desc("p"), key)
-    rows = df.withColumn("p", protected.cast("int")).withColumn("before", F.coalesce(F.sum(F.length(text)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    some = rows.where(F.length(text) > 0).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= budget)
+    some = some.withColumn("before", F.coalesce(F.sum(F.length(text)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     room = F.greatest(F.lit(0), F.lit(budget) - F.col("before")).cast("int")
-    whole = F.length(text) <= room
-    return rows.where(whole | ((F.col("p") == 1) & (room > 0))).select(by, key, F.substr(text, F.lit(1), room).alias("shown"))
+    shown = some.where((F.length(text) <= room) | ((F.col("p") == 1) & (room > 0))).select(by, key, F.substr(text, F.lit(1), room).alias("shown"))
+    return shown.unionByName(rows.where(F.length(text) == 0).select(by, key, F.lit("").alias("shown")))
 
 
 def hints(df: DataFrame, stale: Column, conflicting: DataFrame, key: str = "storage_key", cap: int = 20) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from memlake.functions import language as L
 from memlake.operators import analytics as A
 from memlake.operators import graph as G
 from memlake.operators import prompt as P
+from memlake.operators import ranks
 from memlake.operators import search as S
 from memlake.plans.records import AGE, CJK, DECAY, REC, _n, age, now, records
 from memlake.sources.tables import table
@@ -149,8 +149,8 @@ def a24(spark, d):
 
 @query("k8_drop_order", f"select storage_key, (row_number() over (partition by namespace order by tier, created_at, importance_score desc, storage_key))::int drop_no from {REC}")
 def k8(spark, d):
-    w = Window.partitionBy("namespace").orderBy("tier", "created_at", F.desc("importance_score"), "storage_key")
-    return records(spark, d).select("storage_key", F.row_number().over(w).alias("drop_no"))
+    m = records(spark, d).select("storage_key", "namespace", "tier", "created_at", "importance_score")
+    return ranks.ranked(m, ["namespace"], [F.asc("tier"), F.asc("created_at"), F.desc("importance_score"), F.asc("storage_key")], "drop_no").select("storage_key", "drop_no")
 
 
 @query("proj4_score", f"select storage_key, coalesce((recall_hint ->> '$.score')::double, (recall_hint ->> '$.boost')::double, importance_score, confidence) score from {REC}")

@@ -12,6 +12,7 @@ from memlake.functions import scoring as S
 from memlake.functions.fixed_values import SECRETS
 from memlake.functions.text import BLANK
 from memlake.operators import analytics as A
+from memlake.operators import ranks
 from memlake.operators import recall as R
 from memlake.operators.classify import summary_counts
 from memlake.sources.tables import table
@@ -269,21 +270,21 @@ def a3(spark, d):
  from (select *, greatest(1, {_n('content', CJK)} + floor((length(content) - {_n('content', CJK)})/4))::int tokens from {REC})) where used <= 2000""")
 def k10(spark, d):
     m = records(spark, d).withColumn("tokens", L.token_estimate("content"))
-    return R.within_budget(m, 2000, "tokens", F.desc("importance_score"), F.asc("storage_key")).select("storage_key", "tokens", "used")
+    return R.within_budget(m, 2000, "tokens", F.col("importance_score"), "storage_key").select("storage_key", "tokens", "used")
 
 
 @query("w7_session_first", f"""with x as (select *, coalesce(metadata ->> '$.session_id', storage_key) sess from {REC}), y as (select *, row_number() over (partition by namespace, sess order by importance_score desc, storage_key) nth from x)
  select storage_key, (row_number() over (partition by namespace order by nth > 1, importance_score desc, storage_key))::int "position" from y""")
 def w7(spark, d):
-    m = records(spark, d).withColumn("session", F.coalesce(F.get_json_object("metadata", "$.session_id"), "storage_key"))
+    m = records(spark, d).select("storage_key", "namespace", "importance_score", F.coalesce(F.get_json_object("metadata", "$.session_id"), "storage_key").alias("session"))
     return R.session_first(m, F.desc("importance_score"), F.asc("storage_key")).select("storage_key", "position")
 
 
 @query("k9_type_priority", f"select storage_key, row_number() over (partition by namespace order by case when type in ('correction','decision') then 0 when type = 'user_preference' then 1 else 2 end, importance_score desc, storage_key)::int pos from {REC}")
 def k9(spark, d):
     p = F.when(F.col("type").isin("correction", "decision"), 0).when(F.col("type") == "user_preference", 1).otherwise(2)
-    w = Window.partitionBy("namespace").orderBy(p, F.desc("importance_score"), "storage_key")
-    return records(spark, d).select("storage_key", F.row_number().over(w).alias("pos"))
+    m = records(spark, d).select("storage_key", "namespace", p.alias("p"), "importance_score")
+    return ranks.ranked(m, ["namespace"], [F.asc("p"), F.desc("importance_score"), F.asc("storage_key")], "pos").select("storage_key", "pos")
 
 
 @query("t18_rrf", f"""with a as (select storage_key, row_number() over (order by importance_score desc, storage_key) r from {REC} where {LIVE} order by importance_score desc, storage_key limit 200),
@@ -308,11 +309,6 @@ def t21(spark, d):
     return R.first_seen([("importance", a), ("time", b)], "storage_key")
 
 
-@query("e1_e2_recall_plan")
-def e2(spark, d):
-    return R.recall_with_plan(records(spark, d), R.RecallPlan("rollout budget", modes=("full_text", "time", "importance"), limit=30, token_budget=1500))
-
-
 @query("k11_mmr")
 def k11(spark, d):
     m = R.RecallFilter().apply(records(spark, d)).withColumn("tok", L.mixed_tokens("content"))

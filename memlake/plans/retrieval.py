@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions import language as L
 from memlake.functions import scoring as S
+from memlake.functions.fixed_values import SECRETS
 from memlake.operators import analytics as A
 from memlake.operators import graph as G
 from memlake.operators import prompt as P
@@ -97,17 +98,16 @@ def e4(spark, d):
     return R.first_seen([("fts", text_ranked(spark, d)), ("vector", vector_ranked(spark, d)), ("hybrid", both), ("graph", newest(linked)), ("time", newest(docs)), ("entity", newest(same))], "doc_id")
 
 
-# semantic recall: an entity type expands to its entities
-_SYN = """(select distinct entity_type k, lower(trim(entity_text)) v from memory_entities where entity_type is not null and regexp_matches(lower(trim(entity_text)), '^[a-z0-9_]{4,}$'))"""
+# semantic recall: expansions are a table (here of a few rows)
+_EXPANSIONS = (("deploy", "rollout"), ("deploy", "release"), ("deploy", "pipeline"), ("data", "schema"), ("data", "migration"), ("data", "index"), ("storage", "backup"), ("storage", "snapshot"))
+_SYN = "(values " + ", ".join(f"('{k}', '{v}')" for k, v in _EXPANSIONS) + ") e(k, v)"
 
 
-@query("t5_t9_semantic", f"""with t as (select distinct v from {_SYN} where k in (select k from {_SYN} group by k order by count(*) desc, k limit 2))
- select t.v as term, count(*) n from t join (select storage_key, unnest(list_distinct(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_]+'))) w from {REC}) r on r.w = t.v group by 1""")
+@query("t5_t9_semantic", rf"""select v as term, count(*) n from (select distinct v from {_SYN} where k in ('deploy', 'data')) t join (select storage_key, unnest(list_distinct(regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}_]+'))) w from {REC}) r on r.w = t.v group by 1""")
 def t9(spark, d):
-    """Records that hold any expansion of the two types with the most entities, by an equi join on words."""
-    a = table(spark, d, "memory_entities").select(F.col("entity_type").alias("k"), F.lower(F.trim("entity_text")).alias("v"))
-    a = a.where(F.col("k").isNotNull() & F.col("v").rlike("^[a-z0-9_]{4,}$")).distinct()
-    terms = X.expansions(a, a.groupBy("k").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "k").limit(2).select("k"))
+    """Records that hold any expansion of the words asked for, by an equi join on words."""
+    a = spark.createDataFrame(_EXPANSIONS, "k string, v string")
+    terms = X.expansions(a, spark.createDataFrame([("deploy",), ("data",)], "k string"))
     return X.by_terms(records(spark, d), "storage_key", "content", terms).groupBy("term").agg(F.countDistinct("storage_key").alias("n"))
 
 
@@ -296,3 +296,52 @@ def x11(spark, d):
 def x16(spark, d):
     m = table(spark, d, "en").dropDuplicates(["id"]).where(F.col("message").rlike(r"\d{4}-\d{2}-\d{2}"))
     return m.select("id", L.parse_time(F.regexp_extract("message", r"\d{4}-\d{2}-\d{2}", 0)).alias("at"))
+
+
+def _plan_sql(base: str, key: str, modes: list[tuple[str, str]], limit: int, budget: int, policy: str) -> str:
+    """Modes are (name, from and order clauses over ``b``)."""
+    u = " union all ".join(f"select *, {i} n, '{m}' m from (select {key}, row_number() over (order by {o}) r from {f} order by {o} limit {limit})" for i, (m, f, o) in enumerate((m, *fo.split(" ORDER ")) for m, fo in modes))
+    keep = {"hide": "where n = 1", "show_top": "where nth = 1", "always": ""}[policy]
+    return f"""with b as ({base}), u as ({u}), g as (select {key}, arg_min(m, n) as mode, list_sort(list_distinct(list(m))) modes from u group by 1),
+ j as (select *, count(*) over (partition by coalesce(version_chain_id, {key}::varchar)) n, row_number() over (partition by coalesce(version_chain_id, {key}::varchar) order by importance_score desc, {key}) nth from g join b using ({key})),
+ t as (select *, greatest(1, {_n('content', CJK)} + floor((length(content) - {_n('content', CJK)})/4))::int tokens from j {keep}),
+ o as (select *, (row_number() over w)::int "position", (sum(tokens) over w)::bigint used from t window w as (order by type in ('correction','decision') desc, importance_score desc, {key}))
+ select {key}, mode, modes, importance_score score, tokens, used, "position" from o where "position" <= {limit} and used <= {budget}"""
+
+
+_SAFE = "not (" + " or ".join("regexp_matches(content, '" + p.replace("'", "''") + "')" for _, p in SECRETS) + ")"
+_FTS = "(select * from b where " + " and ".join(f"(contains(lower(content), '{w}') or contains(lower(coalesce(raw_text, '')), '{w}') or contains(lower(coalesce(original_message, '')), '{w}'))" for w in ("rollout", "budget")) + ") ORDER importance_score desc, storage_key"
+_ENTITY = "(select * from b where storage_key in (select memory_key from memory_entities where lower(entity_text) in ('rollout', 'budget'))) ORDER importance_score desc, storage_key"
+_PLAN = [("full_text", _FTS), ("entity", _ENTITY), ("time", "b ORDER created_at desc, storage_key"), ("importance", "b ORDER importance_score desc, storage_key")]
+
+
+def _recalled(spark, d, policy):
+    plan = R.RecallPlan("rollout budget", modes=("full_text", "entity", "time", "importance"), limit=30, token_budget=1500, conflict_policy=policy)
+    m = table(spark, d, "memory_entities").select(F.col("memory_key").alias("storage_key"), "entity_text")
+    return R.recall_with_plan(records(spark, d), plan, mentions=m)
+
+
+@query("e1_e2_recall_plan", _plan_sql(f"select * from {REC} where {LIVE} and {_SAFE}", "storage_key", _PLAN, 30, 1500, "hide"))
+def e2(spark, d):
+    return _recalled(spark, d, "hide")
+
+
+@query("q7_show_top", _plan_sql(f"select * from {REC} where {LIVE} and {_SAFE}", "storage_key", _PLAN, 30, 1500, "show_top"))
+def q7(spark, d):
+    return _recalled(spark, d, "show_top")
+
+
+_DOC_BASE = f"select doc_id, text as content, ((doc_id * 37) % 81 + 20) / 100.0::double importance_score, created_at, type, null::varchar version_chain_id, embedding from {_DOCS} join embeddings on vec_id = doc_id where type <> 'session_summary' and text is not null and {_SAFE.replace('content', 'text')}"
+_TO_FIRST = "round(sqrt(list_sum(list_transform(list_zip(embedding, (select embedding from embeddings where vec_id = 0)), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double)))), 9)"
+
+
+@query("e2_vector_plan", _plan_sql(_DOC_BASE, "doc_id", [("vector", f"b ORDER {_TO_FIRST}, doc_id"), ("importance", "b ORDER importance_score desc, doc_id")], 20, 20000, "always"))
+def e2v(spark, d):
+    e = table(spark, d, "embeddings")
+    q = e.where("vec_id = 0").first()["embedding"]
+    docs = documents(spark, d).where("text is not null").select(
+        "doc_id", F.col("text").alias("content"), (((F.col("doc_id") * 37) % 81 + 20) / F.lit(100.0)).alias("importance_score"), "created_at", "type", F.lit(None).cast("string").alias("version_chain_id"), F.lit(False).alias("paused")
+    )
+    v = e.select(F.col("vec_id").alias("doc_id"), "embedding")
+    plan = R.RecallPlan("-", modes=("vector", "importance"), limit=20, token_budget=20000, conflict_policy="always", vector=[float(x) for x in q])
+    return R.recall_with_plan(docs.join(v.select("doc_id"), "doc_id", "left_semi"), plan, key="doc_id", vectors=v)

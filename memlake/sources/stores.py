@@ -12,15 +12,28 @@ from memlake.functions import language as L
 MEMORY = "id string, type string, content string, original_message string, confidence double, tier int, importance_score double, created_at timestamp, expires_at timestamp"
 
 
+def _lines(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/lines")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def read_json_store(spark: SparkSession, path: str) -> DataFrame:
     """namespace, storage_key and record columns of documents {namespace: {"memories": {key: record}}}, one document a file."""
+    if _lines(spark, path):
+        return spark.read.schema(f"namespace string, storage_key string, {MEMORY}").json(f"{path}/lines")
     docs = spark.read.text(path, wholetext=True)
     spaces = docs.select(F.explode(F.from_json("value", f"map<string,struct<memories:map<string,struct<{MEMORY.replace(' ', ':').replace(',:', ',')}>>>>")).alias("namespace", "space"))
     return spaces.select("namespace", F.explode("space.memories").alias("storage_key", "r")).select("namespace", "storage_key", "r.*")
 
 
-def search_json_store(df: DataFrame, words: str, at, k: int, **only) -> DataFrame:
-    """Records whose content or message holds the words (case aside), unexpired at ``at``, of given type, tier or least confidence, the most important first."""
+def write_json_store(df: DataFrame, path: str) -> None:
+    """The records as lines {"namespace": ..., "storage_key": ..., record}, in folders by namespace; ``read_json_store`` reads them, too. Text is all that is not spread over lines."""
+    fields = [c.split(" ")[0] for c in MEMORY.split(", ")]
+    df.select("namespace", "storage_key", *fields).write.mode("overwrite").json(f"{path}/lines")
+
+
+def search_json_store(df: DataFrame, words: str, at, k: int | None, **only) -> DataFrame:
+    """Records whose content or message holds the words (case aside), unexpired at ``at``, of given type, tier or least confidence, the most important first; all of them without ``k``."""
     w = F.lit(words.lower())
     hit = F.contains(F.lower("content"), w) | F.coalesce(F.contains(F.lower("original_message"), w), F.lit(False))
     df = df.where(hit & (F.col("expires_at").isNull() | (F.col("expires_at") >= F.lit(at))))
@@ -29,7 +42,7 @@ def search_json_store(df: DataFrame, words: str, at, k: int, **only) -> DataFram
             df = df.where(F.col(c) == only[c])
     if "confidence_min" in only:
         df = df.where(F.col("confidence") >= only["confidence_min"])
-    return df.orderBy(F.desc("importance_score"), "storage_key").limit(k)
+    return df if k is None else df.orderBy(F.desc("importance_score"), "storage_key").limit(k)
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:

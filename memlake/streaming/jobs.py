@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from memlake.functions import language as L
+from memlake.operators import analytics as A
 from memlake.operators import classify
 
 
@@ -43,37 +44,50 @@ def sessions(df: DataFrame, ts: str, by: str, gap: str = "60 seconds", delay: st
     return w.select(F.col("session_window.start").alias("since"), F.col("session_window.end").alias("until"), by, "n")
 
 
-def last_n(df: DataFrame, ts: str, by: str, key: str, text: str, n: int = 20) -> DataFrame:
+def last_n(df: DataFrame, ts: str, by: str, key: str, text: str, n: int = 20, overlap: float = 0.4) -> DataFrame:
     """(by, new_key, old_key): of the last ``n`` rows of a group the newest whose words the new row opposes or updates.
 
-    State per group: the last ``n`` rows, so it is bounded by the number of groups.
+    Marks, tokens and update words are columns computed in the JVM; the state of a group is
+    its last ``n`` rows of these, so it is bounded by the number of groups. Groups should be
+    many (namespace and type, not the type alone).
     """
-    from memlake.operators.analytics import CONTRADICTIONS, UPDATE_MARKERS
+    rows = df.select(F.col(by).alias("g"), F.col(ts).alias("at"), F.col(key).alias("k"), A.marks(text).alias("m"), L.space_tokens(text).alias("t"), A.is_update(text).alias("u"))
 
     def run(group: tuple, batches: Iterator, state: GroupState) -> Iterator:
-        import re
-
         import pandas as pd
 
-        held = list(zip(*state.get)) if state.exists else []
+        held = [(k, set(m), set(t)) for k, m, t in zip(*state.get)] if state.exists else []
+        new = pd.concat(list(batches)).sort_values(["at", "k"], kind="stable")
         out = []
-        for pdf in batches:
-            for k, t in pdf.sort_values([ts, key])[[key, text]].itertuples(index=False):
-                low = (t or "").lower()
-                has = lambda w, s: re.search(rf"(?<![a-z0-9_]){w}(?![a-z0-9_])", s) is not None
-                mine, update = set(low.split()), any(has(m, low) for m in UPDATE_MARKERS)
-                for k0, t0 in reversed(held):
-                    words = set(t0.split())
-                    close = update and mine | words and len(mine & words) / len(mine | words) >= 0.4
-                    if close or any(has(a, low) and has(b, t0) or has(b, low) and has(a, t0) for a, b in CONTRADICTIONS):
-                        out.append((group[0], k, k0))
-                        break
-                held = (held + [(k, low)])[-n:]
-        state.update(([h[0] for h in held], [h[1] for h in held]))
+        for k, m, t, u in new[["k", "m", "t", "u"]].itertuples(index=False):
+            m, t = set(m), set(t)
+            against = {("-" if x[0] == "+" else "+") + x[1:] for x in m}
+            for k0, m0, t0 in reversed(held):
+                if against & m0 or (u and t | t0 and len(t & t0) / len(t | t0) >= overlap):
+                    out.append((group[0], k, k0))
+                    break
+            held = (held + [(k, m, t)])[-n:]
+        state.update(([h[0] for h in held], [sorted(h[1]) for h in held], [sorted(h[2]) for h in held]))
         yield pd.DataFrame(out, columns=[by, "new_key", "old_key"])
 
-    rows = df.select(by, ts, key, text)
-    return rows.groupBy(by).applyInPandasWithState(run, f"{by} string, new_key string, old_key string", "ks array<string>, ts array<string>", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("g").applyInPandasWithState(run, f"{by} string, new_key string, old_key string", "ks array<string>, ms array<array<string>>, ts array<array<string>>", "append", GroupStateTimeout.NoTimeout)
+
+
+def history(df: DataFrame, ts: str, by: str, key: str, n: int = 10) -> DataFrame:
+    """(by, key, before): every row with the keys of up to ``n`` rows of its group before it, oldest first; state is these keys."""
+
+    def run(group: tuple, batches: Iterator, state: GroupState) -> Iterator:
+        import pandas as pd
+
+        held, out = list(state.get[0]) if state.exists else [], []
+        for k in pd.concat(list(batches)).sort_values(["at", "k"], kind="stable")["k"]:
+            out.append((group[0], k, list(held)))
+            held = (held + [k])[-n:]
+        state.update((held,))
+        yield pd.DataFrame(out, columns=[by, key, "before"])
+
+    rows = df.select(F.col(by).cast("string").alias("g"), F.col(ts).alias("at"), F.col(key).cast("string").alias("k"))
+    return rows.groupBy("g").applyInPandasWithState(run, f"{by} string, {key} string, before array<string>", "ks array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
 def append_audit(df: DataFrame, path: str, checkpoint: str):
