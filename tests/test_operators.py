@@ -141,10 +141,16 @@ def test_json_store_and_export(spark, tmp_path):
         stores.read(spark, "none", "x")
 
 
-def test_hot_keys_are_bounded(spark):
-    df = spark.createDataFrame([("h",)] * 60 + [(f"k{i}",) for i in range(40)] + [(None,)] * 70, "k string")
-    assert skew.hot_keys(df, "k", 50) == ["h"]
-    assert skew.hot_threshold(10**9) == 10**6
+def test_hot_keys_are_divided_into_shares(spark):
+    df = spark.createDataFrame([("h",)] * 160 + [(f"k{i}",) for i in range(40)] + [(None,)] * 70, "k string")
+    hot = skew.hot_keys(df, "k", 50)
+    assert hot.n == 1 and [r.salts for r in hot.table.collect()] == [4]
+    shares = {r.salt for r in skew.salt(df.withColumn("i", F.monotonically_increasing_id()), "k", F.col("i"), hot).where("k = 'h'").select("salt").collect()}
+    assert shares == {0, 1, 2, 3}
+    assert skew.replicate(df.distinct(), "k", hot).count() == 4 + 40 + 1
+    assert skew.hot_keys(df, "k", 500) is None
+    # shares grow with the key, not the threshold with the input
+    assert skew.hot_threshold(10**9) == 10**5 and skew.hot_threshold(10**12) == 10**7
 
 
 def test_half_life():
