@@ -274,13 +274,14 @@ def rules(spark, d):
     )
 
 
-_SCENES = """(select distinct lower(p_name || ' ' || case when p_size % 2 = 0 then p_type else replace(p_brand, '#', '') end) scene_id, lower(p_name || ' ' || case when p_size % 2 = 0 then p_type else replace(p_brand, '#', '') end) scene from part)"""
+_SCENES = """(select distinct s scene_id, s scene from (select lower(p_name || ' ' || p_type) s from part union all select lower(p_name || ' brand1') from part))"""
 
 
 def scenes(spark, d):
+    """What parts are called with their type, and with the first brand (which some triggers equal)."""
     p = table(spark, d, "part")
-    c = F.lower(F.concat_ws(" ", "p_name", F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise(F.replace("p_brand", F.lit("#"), F.lit("")))))
-    return p.select(c.alias("scene_id"), c.alias("scene")).distinct()
+    c = F.explode(F.array(F.lower(F.concat_ws(" ", "p_name", "p_type")), F.lower(F.concat_ws(" ", "p_name", F.lit("brand1")))))
+    return p.select(c.alias("scene")).distinct().select(F.col("scene").alias("scene_id"), "scene")
 
 
 _ACTIVE = f"(select * from {_RULES} where status = 'active')"
