@@ -28,7 +28,8 @@ def messages(spark: SparkSession, d: str) -> DataFrame:
     """One row per id, with the number of the message among equal ones in order of id."""
     e = table(spark, d, "en").dropDuplicates(["id"]).select("id", "message")
     nth = F.row_number().over(Window.partitionBy(F.sha2("message", 256)).orderBy("id"))
-    return e.withColumn("nth", nth)
+    # much to compute for few bytes: as many parts as there are cores, whatever the size
+    return e.withColumn("nth", nth).repartition(spark.sparkContext.defaultParallelism, "id")
 
 
 def _rx(c: str, ps) -> str:
