@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,34 +90,68 @@ def match(scenes: DataFrame, rules: DataFrame, k: int = 5) -> DataFrame:
 SEVERITY = {"redundancy": "low", "contradiction": "critical", "overlap": "medium", "global": "critical"}
 
 
+def _near_triggers(triggers: DataFrame) -> DataFrame:
+    """(x < y) of distinct triggers that overlap: either '*' or empty, one within the other, or half of the fewer words shared.
+
+    A trigger within another is found by its rarest piece of three characters. Of two word
+    sets that share half of the fewer, the rarest words of the smaller one, all but half,
+    hold a shared one.
+    """
+    words = F.array_distinct(F.filter(F.split("trigger", r"\s+"), lambda x: x != ""))
+    all_ = triggers.where(F.col("trigger").isNotNull()).select("trigger", words.alias("words"), F.size(words).alias("m"))
+    t = all_.where(~F.col("trigger").isin("*", ""))
+    piece = F.transform(F.sequence(F.lit(1), F.greatest(F.length("trigger") - F.col("len") + 1, F.lit(1))), lambda i: F.substr("trigger", i, F.col("len")))
+    lengths = t.withColumn("len", F.explode(F.sequence(F.lit(1), F.least(F.lit(3), F.length("trigger")))))
+    pieces = lengths.select("trigger", F.explode(F.array_distinct(piece)).alias("k"))  # those shorter than three are for triggers that are so themselves
+    own = pieces.where(F.length("k") == F.least(F.lit(3), F.length("trigger"))).join(pieces.groupBy("k").agg(F.count("*").alias("n")), "k")
+    rarest = own.groupBy(F.col("trigger").alias("inner")).agg(F.min_by("k", F.struct("n", "k")).alias("k"))
+    within = pieces.join(rarest, "k").where((F.col("trigger") != F.col("inner")) & F.contains("trigger", F.col("inner"))).select("trigger", "inner")
+    each = t.select("trigger", "m", F.explode("words").alias("k"))
+    freq = each.groupBy("k").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("trigger").orderBy("n", "k")
+    least = F.greatest(F.ceil(F.col("m") / 2), F.lit(1))
+    prefix = each.join(freq, "k").withColumn("at", F.row_number().over(w)).where(F.col("at") <= F.col("m") - least + 1).select(F.col("trigger").alias("inner"), F.col("m").alias("mi"), "k")
+    both = each.join(prefix, "k").where((F.col("mi") <= F.col("m")) & (F.col("trigger") != F.col("inner"))).select("trigger", "inner").distinct()
+    of = t.select("trigger", "words")
+    both = both.join(of, "trigger").join(of.select(F.col("trigger").alias("inner"), F.col("words").alias("q")), "inner")
+    shared = F.size(F.array_intersect("words", "q"))
+    close = both.where((shared >= 1) & (shared / F.size("q") >= 0.5)).select("trigger", "inner")
+    near = within.unionByName(close).select(F.least("trigger", "inner").alias("x"), F.greatest("trigger", "inner").alias("y")).distinct()
+    special = all_.where(F.col("trigger").isin("*", "")).select(F.col("trigger").alias("inner"))  # two rows at most
+    star = all_.select("trigger").crossJoin(F.broadcast(special)).where(~F.col("trigger").isin("*", "") | (F.col("trigger") > F.col("inner")))
+    return near.unionByName(star.select(F.least("trigger", "inner").alias("x"), F.greatest("trigger", "inner").alias("y")))
+
+
+def _ruled(rules: DataFrame) -> DataFrame:
+    return rules.select("rule_id", F.lower(F.trim("trigger")).alias("trigger"), "action", "rule_type").where("rule_id is not null and trigger is not null")
+
+
+def _opposed(a: str, b: str) -> Column:
+    return F.array_join(F.array_sort(F.array(a, b)), "/").isin(*["/".join(sorted(p)) for p in OPPOSED_TYPES])
+
+
+def _kind() -> Column:
+    """Of the rules x, action_a, rule_type_a and y, action_b, rule_type_b, whose triggers overlap."""
+    same = (F.col("x") == F.col("y")) & (F.col("action_a") == F.col("action_b")) & (F.col("rule_type_a") == F.col("rule_type_b"))
+    over = (F.col("rule_type_a") == F.col("rule_type_b")) & (F.col("action_a") != F.col("action_b"))
+    return F.when(same, "redundancy").when(_opposed("rule_type_a", "rule_type_b"), "contradiction").when(over, "overlap")
+
+
 def conflicts(rules: DataFrame) -> DataFrame:
     """(kind, severity, rule_a < rule_b) of rules whose triggers overlap: equal, either '*', one within the other, or half of the fewer words shared.
 
     Redundant rules have one trigger, action and type; opposed types contradict; equal types with
-    another action overlap. Rules are first taken together by trigger and type, so pairs are
-    looked at between distinct triggers that share a word; triggers of a word's substring are
-    found by its three-letter pieces.
+    another action overlap. Rules are first taken together by trigger, so pairs are looked
+    at between distinct triggers.
     """
-    r = rules.select("rule_id", F.lower(F.trim("trigger")).alias("trigger"), "action", "rule_type")
-    words = F.array_distinct(F.filter(F.split("trigger", r"\s+"), lambda x: x != ""))
-    triggers = r.select("trigger").distinct().withColumn("words", words)
-    piece = F.when(F.length("trigger") < 3, F.array("trigger")).otherwise(F.transform(F.sequence(F.lit(1), F.length("trigger") - 2), lambda i: F.substr("trigger", i, F.lit(3))))
-    keys = triggers.select("trigger", "words", F.explode(F.array_distinct(F.concat("words", piece))).alias("k"))
-    a, b = keys.alias("a"), keys.alias("b")
-    both = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.trigger") < F.col("b.trigger"))).select(F.col("a.trigger").alias("x"), F.col("b.trigger").alias("y"), F.col("a.words").alias("p"), F.col("b.words").alias("q")).distinct()
-    shared = F.size(F.array_intersect("p", "q"))
-    within = F.contains("x", F.col("y")) | F.contains("y", F.col("x"))
-    near = both.where(within | ((shared >= 1) & (shared / F.least(F.size("p"), F.size("q")) >= 0.5))).select("x", "y")
-    star = triggers.where("trigger = '*'").select(F.col("trigger").alias("x")).crossJoin(triggers.where("trigger <> '*'").select(F.col("trigger").alias("y")))  # one row
-    pairs = near.where("x <> '*' and y <> '*'").unionByName(star).unionByName(triggers.select(F.col("trigger").alias("x"), F.col("trigger").alias("y")))
+    r = _ruled(rules)
+    triggers = r.select("trigger").distinct()
+    pairs = _near_triggers(triggers).unionByName(triggers.select(F.col("trigger").alias("x"), F.col("trigger").alias("y")))
     left = r.select(*[F.col(c).alias(f"{c}_a") for c in r.columns]).withColumnRenamed("trigger_a", "x")
     right = r.select(*[F.col(c).alias(f"{c}_b") for c in r.columns]).withColumnRenamed("trigger_b", "y")
-    both = pairs.join(left, "x").join(right, "y").where((F.col("x") != F.col("y")) | (F.col("rule_id_a") < F.col("rule_id_b")))
-    opposed = F.array_join(F.array_sort(F.array("rule_type_a", "rule_type_b")), "/").isin(*["/".join(sorted(p)) for p in OPPOSED_TYPES])
-    same = (F.col("x") == F.col("y")) & (F.col("action_a") == F.col("action_b")) & (F.col("rule_type_a") == F.col("rule_type_b"))
-    over = (F.col("rule_type_a") == F.col("rule_type_b")) & (F.col("action_a") != F.col("action_b"))
-    kind = F.when(same, "redundancy").when(opposed, "contradiction").when(over, "overlap")
-    out = both.select(kind.alias("kind"), F.least("rule_id_a", "rule_id_b").alias("rule_a"), F.greatest("rule_id_a", "rule_id_b").alias("rule_b")).where("kind is not null")
+    one = F.when(F.col("x") == F.col("y"), F.col("rule_id_a") < F.col("rule_id_b")).otherwise(F.col("rule_id_a") != F.col("rule_id_b"))
+    both = pairs.join(left, "x").join(right, "y").where(one)
+    out = both.select(_kind().alias("kind"), F.least("rule_id_a", "rule_id_b").alias("rule_a"), F.greatest("rule_id_a", "rule_id_b").alias("rule_b")).where("kind is not null")
     return out.withColumn("severity", _severity())
 
 
@@ -127,8 +163,38 @@ def _severity() -> Column:
 
 
 def health(rules: DataFrame) -> DataFrame:
-    """(severity, n): conflicts by severity."""
-    return conflicts(rules).groupBy("severity").agg(F.count("*").alias("n"))
+    """(severity, n): conflicts by severity, counted without listing them.
+
+    Rules of one trigger, type and action are one row with their number; products of these
+    numbers count the pairs of rules. Pairs of rows of one rule_id are no conflict and are
+    taken off again.
+    """
+    r = _ruled(rules)
+    g = r.groupBy("trigger", "rule_type", "action").agg(F.count("*").alias("n"))
+    near = _near_triggers(r.select("trigger").distinct())
+    by = g.groupBy("trigger", "rule_type").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("action").isNotNull(), F.col("n"))), F.lit(0)).alias("told"), F.sum(F.when(F.col("action").isNotNull(), F.col("n") * F.col("n"))).alias("squares"), F.sum(F.when(F.col("action").isNotNull(), F.col("n") * (F.col("n") - 1))).alias("twins")).where("rule_type is not null")
+    side = lambda df, t, s: df.select(*[F.col(c).alias(t if c == "trigger" else f"{c}_{s}") for c in df.columns])
+    counts = lambda df, kind, n: df.select(F.lit(kind).alias("kind"), n.cast("long").alias("n"))
+    # two triggers: opposed types, and equal types without the pairs of equal actions
+    types = near.join(side(by, "x", "a"), "x").join(side(by, "y", "b"), "y")
+    n_two = F.when(_opposed("rule_type_a", "rule_type_b"), F.col("n_a") * F.col("n_b")).otherwise(F.lit(0))
+    told = F.when(F.col("rule_type_a") == F.col("rule_type_b"), F.col("told_a") * F.col("told_b")).otherwise(F.lit(0))
+    acts = g.where("rule_type is not null and action is not null")
+    alike = near.join(acts.withColumnRenamed("trigger", "x"), "x").join(acts.select(F.col("trigger").alias("y"), "rule_type", "action", F.col("n").alias("n_b")), ["y", "rule_type", "action"])
+    parts = [counts(types, "contradiction", n_two), counts(types, "overlap", told), counts(alike, "overlap", -F.col("n") * F.col("n_b"))]
+    # one trigger
+    own = side(by, "x", "a").join(side(by, "x", "b"), "x").where("rule_type_a < rule_type_b")
+    parts += [counts(own, "contradiction", n_two), counts(by, "overlap", (F.col("told") * F.col("told") - F.coalesce("squares", F.lit(0))) / 2), counts(by, "redundancy", F.coalesce("twins", F.lit(0)) / 2)]
+    # rows of one rule_id
+    again = r.groupBy("rule_id").agg(F.count("*").alias("_rows")).where("_rows > 1").select("rule_id")
+    twice = r.join(again, "rule_id", "left_semi").groupBy("rule_id", "trigger", "rule_type", "action").agg(F.count("*").alias("n")).withColumn("key", F.struct("trigger", "rule_type", "action"))
+    a, b = (twice.select("rule_id", *[F.col(c).alias(f"{c}_{s}") for c in ("trigger", "rule_type", "action", "n", "key")]) for s in "ab")
+    same = a.join(b, "rule_id").where("key_a <= key_b").withColumn("x", F.least("trigger_a", "trigger_b")).withColumn("y", F.greatest("trigger_a", "trigger_b"))
+    same = same.join(near.withColumn("near", F.lit(True)), ["x", "y"], "left").where("near or x = y")
+    pairs = F.when(F.col("key_a") == F.col("key_b"), F.col("n_a") * (F.col("n_a") - 1) / 2).otherwise(F.col("n_a") * F.col("n_b"))
+    parts.append(same.select(_kind().alias("kind"), (-pairs).cast("long").alias("n")))
+    rows = reduce(DataFrame.unionByName, parts).where("kind is not null").withColumn("severity", _severity())
+    return rows.groupBy("severity").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def implicit_preferences(df: DataFrame, text: str, domains: dict[str, tuple[str, ...]], least: int = 3, share: float = 0.5) -> DataFrame:
