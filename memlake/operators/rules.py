@@ -94,6 +94,34 @@ def _trigger_classes(lows: DataFrame, scenes: DataFrame, words: DataFrame) -> tu
     return form.join(shown, same).select("low", "like"), tokens.join(shown.select(F.col("like").alias("low")), "low", "left_semi").select(F.col("low").alias("like"), "t")
 
 
+def _shapes(texts: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Texts as (text, shape), and (shape, len, held): ``shape`` is a text of equal length and with equal counts of the words that are asked for (w)."""
+    t = texts.select("text", L.matches("text", r"[\p{L}\p{N}_]+").alias("t"))
+    tf = t.select("text", F.explode("t").alias("w")).groupBy("text", "w").agg(F.count("*").alias("tf")).join(asked.select("w").distinct(), "w", "left_semi")
+    held = tf.groupBy("text").agg(F.sort_array(F.collect_list(F.struct("w", "tf"))).alias("held"))
+    form = t.select("text", F.size("t").alias("len")).join(held, "text", "left").withColumn("form", F.to_json(F.struct("len", "held")))
+    shown = form.groupBy("form").agg(F.min("text").alias("shape"))
+    of = form.join(shown, "form")
+    return of.select("text", "shape"), of.where("text = shape").select("shape", "len", F.coalesce("held", F.array().cast("array<struct<w:string,tf:bigint>>")).alias("held"))
+
+
+def _class_weights(asked: DataFrame, classes: DataFrame, shapes: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, class, bm25) of the words asked for (query_id, w) and classes (class, n, texts) of n rules, each text the shapes of a trigger and an action."""
+    of = lambda side: shapes.select(F.col("shape").alias(side), F.col("len").alias(f"{side}_len"), F.col("held").alias(f"{side}_held"))
+    t = classes.select("class", "n", F.explode("texts").alias("x")).select("class", "n", "x.trigger", "x.action").join(of("trigger"), "trigger").join(of("action"), "action")
+    t = t.select("class", "n", (F.col("trigger_len") + F.col("action_len")).alias("len"), F.concat("trigger_held", "action_held").alias("held"))
+    stats = t.agg(F.sum("n").alias("docs"), (F.sum(F.col("n") * F.col("len")) / F.sum("n")).alias("mean"))
+    tf = t.select("class", "n", "len", F.explode("held").alias("x")).groupBy("class", "n", "len", F.col("x.w").alias("w")).agg(F.sum("x.tf").alias("tf"))
+    weight = tf.groupBy("w").agg(F.sum("n").alias("df")).crossJoin(F.broadcast(stats))  # stats: one row
+    s = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
+    posting = tf.join(weight, "w").select("w", "class", s.alias("s"))
+    return asked.join(posting, "w").groupBy("query_id", "class").agg(F.round(F.sum("s"), 9).alias("bm25"))
+
+
+#: So many distinct texts at most are sent to all tasks, after they have been counted.
+SENT_TEXTS = 10_000
+
+
 def match(scenes: DataFrame, rules: DataFrame, k: int = 5) -> DataFrame:
     """(scene_id, rule_id, match_type, score, rank): best k rules per scene, of each rule its best match.
 
@@ -102,33 +130,51 @@ def match(scenes: DataFrame, rules: DataFrame, k: int = 5) -> DataFrame:
     plus bonuses, at most 1. Candidates come from equi joins on tokens; global rules are a few
     by ``limits`` and only the k best of them can count for any scene.
 
-    Rules that no scene tells apart and that have one bonus are a class. They have one score
-    with any scene, so only the k first ids of a class can count, and of the classes in order
-    of score and first id only the k first (k times as many rows as a rule has at most).
+    Words are looked for in distinct triggers and actions only. Rules that no scene tells
+    apart and that have one bonus are a unit. They have one score with any scene, so only the
+    k first ids of a unit can count, and of the units in order of score and first id only the
+    k first (k times as many rows as a rule has at most).
     """
+    scratch = Scratch(rules.sparkSession, "match")
     bonus = S.rule_bonus(F.col("override"), F.col("trigger_count").cast("double"), F.col("confidence"))
-    ru = rules.select("rule_id", "trigger", "action", F.lower("trigger").alias("low"), bonus.alias("bonus"))
-    sc = scenes.select("scene_id", F.lower(F.trim("scene")).alias("scene"))
+    ru = rules.select("rule_id", "trigger", F.lower("trigger").alias("low"), F.coalesce(F.lower("action"), F.lit("")).alias("does"), bonus.alias("bonus"))
+    sc = scratch.write(scenes.select("scene_id", F.lower(F.trim("scene")).alias("scene")))
     every = ru.where("trigger = '*'").orderBy(F.desc("bonus"), "rule_id").limit(k)  # at most k rows
     whole = sc.crossJoin(F.broadcast(every.select("rule_id", "bonus"))).select("scene_id", "rule_id", F.lit("global").alias("match_type"), F.lit(0.6).alias("base"), "bonus")
     local = ru.where("trigger <> '*'")
     most = local.groupBy("rule_id").agg(F.count("*").alias("n")).agg(F.max("n")).head()[0] or 1  # of one rule: 1 where ids are unique
-    texts = _texts(local)
     asked = sc.select(F.col("scene_id").alias("query_id"), F.explode(L.word_tokens("scene")).alias("w"))
-    classes, found = _text_classes(asked, texts.select("doc", "texts"))
     st = sc.select("scene_id", F.explode(rule_tokens("scene")).alias("t")).where(F.length("t") >= 2)
-    likes, tokens = _trigger_classes(local.select("low").distinct(), sc, st)
-    of = texts.select("rule_id", "doc").hint("merge").join(classes, "doc", "left").select("rule_id", F.coalesce("class", F.lit("")).alias("class"))
-    units = local.hint("merge").join(of, "rule_id").join(likes, "low").groupBy("rule_id", "class", "like", "bonus").agg(F.lit(1).alias("_"))
+    said = scratch.write(local.select(F.explode(F.array(F.struct(F.col("low").alias("text"), F.lit(True).alias("trigger")), F.struct(F.col("does").alias("text"), F.lit(False).alias("trigger")))).alias("x")).select("x.*").distinct())
+    of, shapes = _shapes(said.select("text").distinct(), asked)
+    likes, tokens = _trigger_classes(said.where("trigger").select(F.col("text").alias("low")), sc, st)
+    of, shapes, tokens = scratch.write(of), scratch.write(shapes), scratch.write(tokens)
+    triggers = scratch.write(likes.join(of.withColumnRenamed("text", "low").withColumnRenamed("shape", "trigger"), "low"))
+    few = said.count() <= SENT_TEXTS
+    sent = lambda df: F.broadcast(df) if few else df.hint("merge")
+    shaped = local.drop("trigger").join(sent(triggers), "low").join(sent(of.select(F.col("text").alias("does"), F.col("shape").alias("action"))), "does")
+    texts = F.struct("trigger", "action")
+    texts = F.array(texts) if most == 1 else F.sort_array(F.collect_list(texts).over(Window.partitionBy("rule_id")))
+    rows = scratch.write(shaped.withColumn("texts", texts).select("rule_id", "like", "bonus", "texts", F.to_json("texts").alias("class")))
+    classes = rows.groupBy("class", "texts").agg(F.count("*").alias("n")).withColumn("n", (F.col("n") / F.size("texts")).cast("long"))
+    found = _class_weights(asked, classes, shapes)
     w = Window.partitionBy("class", "like", "bonus").orderBy("rule_id")
-    first = Scratch(rules.sparkSession, "match").write(units.withColumn("at", F.row_number().over(w)).where(F.col("at") <= k).select("class", "like", "bonus", "rule_id", "at"))
-    pairs = first.where("at = 1").select("class", "like").distinct()
-    text = found.withColumnRenamed("query_id", "scene_id").join(pairs, "class").select("scene_id", "class", "like", F.lit("fts").alias("match_type"), F.least(F.greatest(F.col("bm25") / 10, F.lit(0.3)), F.lit(0.95)).alias("base"))
-    exact = sc.withColumnRenamed("scene", "like").join(pairs, "like").select("scene_id", "class", "like", F.lit("exact").alias("match_type"), F.lit(1.0).alias("base"))
-    near = st.join(tokens, "t").select("scene_id", "like").distinct().join(pairs, "like").select("scene_id", "class", "like", F.lit("partial").alias("match_type"), F.lit(0.5).alias("base"))
-    base = exact.unionByName(text).unionByName(near).groupBy("scene_id", "class", "like").agg(F.max(F.struct("base", "match_type")).alias("m"))
+    units = rows if most == 1 else rows.select("rule_id", "class", "like", "bonus").distinct()
+    first = scratch.write(units.select("class", "like", "bonus", "rule_id", F.row_number().over(w).alias("at")).where(F.col("at") <= k))
+    pairs = first.where("at = 1").groupBy("class", "like").agg(F.max(F.coalesce("bonus", F.lit(1.0))).alias("top"))  # no bonus gives the score 1
+    text = found.withColumnRenamed("query_id", "scene_id").join(pairs, "class").select("scene_id", "class", "like", F.lit("fts").alias("match_type"), F.least(F.greatest(F.col("bm25") / 10, F.lit(0.3)), F.lit(0.95)).alias("base"), "top")
+    exact = sc.withColumnRenamed("scene", "like").join(pairs, "like").select("scene_id", "class", "like", F.lit("exact").alias("match_type"), F.lit(1.0).alias("base"), "top")
+    near = st.join(tokens, "t").select("scene_id", "like").distinct().join(pairs, "like").select("scene_id", "class", "like", F.lit("partial").alias("match_type"), F.lit(0.5).alias("base"), "top")
+    base = exact.unionByName(text).unionByName(near).groupBy("scene_id", "class", "like").agg(F.max(F.struct("base", "match_type")).alias("m"), F.max("top").alias("top"))
     score = F.round(F.least(F.lit(1.0), F.col("base") + F.col("bonus")), 6)
-    heads = base.join(first.where("at = 1"), ["class", "like"]).select("scene_id", "class", "like", "bonus", "rule_id", "m.base", "m.match_type").withColumn("score", score)
+    base = scratch.write(base.withColumn("most", F.round(F.least(F.lit(1.0), F.col("m.base") + F.col("top")), 6)).drop("top"))
+    # one unit at least of each class and like has the score "most", so units below the last of the first so many of these are not needed
+    w = Window.partitionBy("scene_id").orderBy(F.desc("most"))
+    least = base.select("scene_id", "most", F.row_number().over(w).alias("at")).where(F.col("at") <= k * most)
+    least = least.groupBy("scene_id").agg(F.when(F.count("*") == k * most, F.min("most")).alias("least"))
+    base = base.join(least, "scene_id").where(F.col("least").isNull() | (F.col("most") >= F.col("least")))
+    heads = base.join(first.where("at = 1"), ["class", "like"]).select("scene_id", "class", "like", "bonus", "rule_id", "m.base", "m.match_type", "least").withColumn("score", score)
+    heads = heads.where(F.col("least").isNull() | (F.col("score") >= F.col("least"))).drop("least")
     w = Window.partitionBy("scene_id").orderBy(F.desc("score"), "rule_id")
     heads = heads.withColumn("at", F.row_number().over(w)).where(F.col("at") <= k * most).drop("at", "rule_id")
     ids = first.select(F.col("class").alias("c"), F.col("like").alias("l"), F.col("bonus").alias("b"), "rule_id")

@@ -124,6 +124,17 @@ def test_injection_over_many_equal_rules(spark):
     assert sorted((r.rule_id, r.tokens, r.used) for r in got) == [(f"{2 * n:06}", 3, 3 * n + 3) for n in range(3)]
 
 
+def test_match_reads_words_of_distinct_texts_only(spark, tmp_path):
+    """The result reads the rules once, for the global ones; 40,000 rules of two triggers and two actions are two shapes each."""
+    rows = spark.range(40_000).selectExpr("cast(id as string) rule_id", "if(id % 2 = 0, 'red bolt', 'old ring') trigger", "if(id % 3 = 0, 'use it', 'red') action", "false override", "0 trigger_count", "if(id = 7, null, 0.0D) confidence")
+    rows.write.parquet(f"{tmp_path}/rules")
+    m = U.match(spark.createDataFrame([("a", "red bolt"), ("b", "ring")], "scene_id string, scene string"), spark.read.parquet(f"{tmp_path}/rules"), 2)
+    plan = m._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count(f"{tmp_path}/rules") == 1
+    # an unknown bonus gives the score 1
+    assert sorted((r.scene_id, r["rank"], r.rule_id, r.match_type, r.score) for r in m.collect()) == [("a", 1, "0", "exact", 1.0), ("a", 2, "10", "exact", 1.0), ("b", 1, "7", "partial", 1.0), ("b", 2, "1", "partial", 0.5)]
+
+
 def test_rank_estimate_scores_classes(spark):
     words = ["red", "bolt", "old", "ring", "bearing", "use", "it"]
     rows = [(str(n), f"{words[n % 7]} {words[n // 7 % 7]} x{n % 11}", f"{words[n // 49 % 7]} {n % 13}") for n in range(12_000)] + [("3", "Red Bolt", "it"), ("3", "red bolt", "it")]
