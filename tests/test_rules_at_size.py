@@ -37,6 +37,20 @@ def test_conflicts_and_their_counts_agree_with_brute_force(spark):
     assert {r.severity: r.n for r in U.health(df).collect()} == Counter(U.SEVERITY[k] for k, _, _ in want)
 
 
+def test_conflicts_join_lists_not_rules(spark, monkeypatch):
+    """Rules are divided into lists of about 50; what is joined are lists, and types are compared once per two lists."""
+    monkeypatch.setattr(U, "LISTED", 50, raising=False)
+    rows = [(str(n), ["*", "red bolt", "old bolt", "old ring"][0 if n % 97 == 0 else 1 + n % 7 // 3], ["x", "y", None][n % 5 // 2], ["always", "prefer", "avoid", "forbid", None][n // 2 % 5]) for n in range(600)]
+    rows += [("5", "old bolt", "y", "avoid"), ("5", "old ring", "x", "avoid")]
+    df = U.conflicts(spark.createDataFrame(rows, RULE))
+    got = [(r.kind, r.rule_a, r.rule_b) for r in df.collect()]
+    assert sorted(got) == sorted(_brute(rows)) and len({r[0] for r in got}) == 3
+    assert {(r.kind, r.severity) for r in df.select("kind", "severity").distinct().collect()} == {(k, U.SEVERITY[k]) for k in ("redundancy", "contradiction", "overlap")}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and not any("rule_id" in line for line in joins) and plan.index("explode(list_b") < plan.index("explode(list_a") < plan.index("Join")
+
+
 def test_conflicts_are_counted_without_listing_them(spark):
     n = 200_000
     df = spark.range(n).selectExpr("cast(id as string) rule_id", "if(id % 1000 = 0, '*', 'red bolt') trigger", "cast(id % 2 as string) action", "'prefer' rule_type")
