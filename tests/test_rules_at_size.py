@@ -149,6 +149,14 @@ def test_match_reads_words_of_distinct_texts_only(spark, tmp_path):
     assert sorted((r.scene_id, r["rank"], r.rule_id, r.match_type, r.score) for r in m.collect()) == [("a", 1, "0", "exact", 1.0), ("a", 2, "10", "exact", 1.0), ("b", 1, "7", "partial", 1.0), ("b", 2, "1", "partial", 0.5)]
 
 
+def test_match_is_the_same_without_sending_texts(spark, monkeypatch):
+    rows = [(str(n), ["red bolt", "old ring", "*"][n % 3 if n % 31 else 2], ["use it", "red"][n % 2], n % 2 == 0, n % 7, n % 10 / 10) for n in range(200)]
+    scenes = [("a", "red bolt"), ("b", "ring use"), ("c", "nothing")]
+    monkeypatch.setattr(U, "SENT_TEXTS", 0)
+    df = U.match(spark.createDataFrame(scenes, "scene_id string, scene string"), spark.createDataFrame(rows, "rule_id string, trigger string, action string, override boolean, trigger_count int, confidence double"))
+    assert {(r.scene_id, r["rank"]): (r.rule_id, r.match_type, r.score) for r in df.collect()} == _matches(scenes, rows)
+
+
 def test_rank_estimate_scores_classes(spark):
     words = ["red", "bolt", "old", "ring", "bearing", "use", "it"]
     rows = [(str(n), f"{words[n % 7]} {words[n // 7 % 7]} x{n % 11}", f"{words[n // 49 % 7]} {n % 13}") for n in range(12_000)] + [("3", "Red Bolt", "it"), ("3", "red bolt", "it")]
